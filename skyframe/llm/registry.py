@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import warc
+from skyframe.llm import licenses, warc
 
-MODULES = [warc]
+MODULES = [warc, licenses]
 
 
 def queries() -> dict:

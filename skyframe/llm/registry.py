@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import licenses, warc
+from skyframe.llm import langid, licenses, quality, warc
 
-MODULES = [warc, licenses]
+MODULES = [warc, licenses, quality, langid]
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import langid, licenses, quality, warc
+from skyframe.llm import langid, licenses, packing, quality, warc
 
-MODULES = [warc, licenses, quality, langid]
+MODULES = [warc, licenses, quality, langid, packing]
 
 
 def queries() -> dict:

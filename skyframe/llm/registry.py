@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import html, langid, licenses, packing, quality, warc
+from skyframe.llm import decontaminate, html, langid, licenses, packing, quality, warc
 
-MODULES = [warc, licenses, quality, langid, packing, html]
+MODULES = [html, langid, licenses, packing, quality, warc, decontaminate]
 
 
 def queries() -> dict:

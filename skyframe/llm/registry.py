@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import decontaminate, html, langid, licenses, packing, quality, warc
+from skyframe.llm import decontaminate, html, langid, licenses, linededup, packing, quality, warc
 
-MODULES = [html, langid, licenses, packing, quality, warc, decontaminate]
+MODULES = [html, langid, linededup, licenses, packing, quality, warc, decontaminate]
 
 
 def queries() -> dict:

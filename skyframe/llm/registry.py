@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import decontaminate, html, jaccard, langid, licenses, linededup, packing, quality, warc
+from skyframe.llm import decontaminate, html, jaccard, langid, licenses, linededup, packing, quality, secrets, warc
 
-MODULES = [html, jaccard, langid, linededup, licenses, packing, quality, warc, decontaminate]
+MODULES = [html, jaccard, langid, linededup, licenses, secrets, packing, quality, warc, decontaminate]
 
 
 def queries() -> dict:

@@ -180,14 +180,17 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     parsed = written(parse_pages(pages), "pages")
-    seen = parsed.select("host", "identity", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "safe"), lambda e: ~e["safe"]))["hashes"]).alias("hash"))
-    templates = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).drop("n")
-    # only elements that hold text of the article need an answer
+    site = lambda host, h: F.xxhash64(host, h)  # noqa: E731  one key for a host's subtree
+    seen = parsed.select("identity", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "safe"), lambda e: ~e["safe"]))["hashes"]).alias("h"), "host").select(site("host", "h").alias("key"), "identity")
+    templates = seen.distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key")
+    # only elements that hold text of the article, and aren't its paragraphs, need an answer; other pages are done
     holds = F.filter(F.arrays_zip("hashes", "begins", "ends", "safe"), lambda e: ~e["safe"] & F.exists(F.slice("keep", e["begins"] + 1, e["ends"] - e["begins"]), lambda k: k))
-    asked = parsed.select("row", "host", F.explode(holds).alias("e")).select("row", "host", F.col("e.hashes").alias("hash"), F.struct(F.col("e.begins").alias("b"), F.col("e.ends").alias("e")).alias("at"))
-    gone = asked.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    asked = parsed.select("row", "host", F.explode(holds).alias("e")).select("row", site("host", F.col("e.hashes")).alias("key"), F.struct(F.col("e.begins").alias("b"), F.col("e.ends").alias("e")).alias("at"))
+    gone = asked.join(templates, "key").groupBy("row").agg(F.collect_list("at").alias("gone"))
+    done = parsed.filter(F.size(holds) == 0).select("page_id", "url", F.array_join(F.filter("blocks", lambda t, i: F.get("keep", i)), "\n").alias("text"))
     left = F.filter("blocks", lambda t, i: F.get("keep", i) & ~F.coalesce(F.exists("gone", lambda g: (g["b"] <= i) & (i < g["e"])), F.lit(False)))
-    out = parsed.select("row", "page_id", "url", "blocks", "keep").join(gone, "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
+    rest = parsed.filter(F.size(holds) > 0).select("row", "page_id", "url", "blocks", "keep").join(gone, "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
+    out = done.union(rest)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

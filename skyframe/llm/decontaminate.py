@@ -112,8 +112,10 @@ class Index:
         key = w * bands + band
         key = np.concatenate([key, key - 1])  # each diagonal is in two bands
         coarse = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-        key = key[np.bincount(coarse, minlength=1 << 22)[coarse] >= self.needed[key // bands]]
-        key, n = np.unique(key, return_counts=True)
+        many = np.flatnonzero(np.bincount(coarse, minlength=1 << 22)[coarse] >= self.needed[key // bands])
+        # a window's q-gram counts once in a band, however often the text repeats it there
+        pair = np.unique(key[many] * (self.longest + 1) + self.at[hit[many % len(hit)]]) if len(many) else many
+        key, n = np.unique(pair // (self.longest + 1), return_counts=True)
         key = key[n >= self.needed[key // bands]]
         return [(int(x // bands), int((x % bands - 1) * self.step[x // bands] - self.longest)) for x in key]
 
@@ -136,6 +138,8 @@ class Index:
                 low, high = max(a, starts[doc]), min(diagonal + 2 * int(self.step[w]) + len(pattern) + e, ends[doc])
                 if high - low < len(pattern) - e:
                     continue
+                if best.get((doc, self.item[w]), (1, 0))[0] == 0:
+                    continue
                 d = align(pattern, all_[low:high], min(2 * int(self.step[w]) + 2 * e, high - low) + 1, e)
                 if d <= e:
                     key = (doc, self.item[w])

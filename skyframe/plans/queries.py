@@ -461,7 +461,7 @@ def earth_position(spark, sf_dir):
 
 # ---- photometry and colour -----------------------------------------------------------------------------------------
 
-GAIA_IN = "g AS (SELECT c_custkey AS id, 10 + c_custkey % 800 / 100.0::DOUBLE AS g, 10 + c_custkey % 800 / 100.0::DOUBLE + (c_custkey % 97 / 20.0::DOUBLE - 0.4) * 0.6 AS bp, 10 + c_custkey % 800 / 100.0::DOUBLE - (c_custkey % 97 / 20.0::DOUBLE - 0.4) * 0.4 AS rp FROM customer)"
+GAIA_IN = "g AS (SELECT id, g, g + c * 0.6::DOUBLE AS bp, g - c * 0.4::DOUBLE AS rp FROM (SELECT c_custkey AS id, 10 + c_custkey % 800 / 100.0::DOUBLE AS g, fmod(c_custkey * 0.0618033988749895::DOUBLE, 5::DOUBLE) - 0.4::DOUBLE AS c FROM customer))"
 
 
 def _poly(p: list[float]) -> str:
@@ -483,7 +483,7 @@ GAIA_BANDS = ["V", "R", "B", "SR", "SI", "SG"]
 @query(f"WITH {GAIA_IN}, k AS (SELECT *, bp - rp AS c FROM g) SELECT id, " + ", ".join(map(_gaia_sql, GAIA_BANDS)) + " FROM k")
 def gaia_transform(spark, sf_dir):
     k = F.col("c_custkey")
-    mag, colour = 10 + k % 800 / 100.0, k % 97 / 20.0 - 0.4
+    mag, colour = 10 + k % 800 / 100.0, F.pmod(k * 0.0618033988749895, F.lit(5.0)) - 0.4
     g = views.table(spark, sf_dir, "customer").select(k.alias("id"), mag.alias("g"), (mag + colour * 0.6).alias("bp"), (mag - colour * 0.4).alias("rp"))
     return g.select("id", *[F.round(light.gaia_magnitude(b, F.col("g"), F.col("bp"), F.col("rp")), 7).alias(b.lower()) for b in GAIA_BANDS])
 

@@ -860,3 +860,71 @@ def live_sessions(spark, sf_dir):
 def light_curve(spark, sf_dir):
     m = robust.best_mean(views.lc(spark, sf_dir), ["star"], "v")
     return m.select("star", r6(21 - F.col("mean") / 10000, "magnitude"), r6("mean", "mean"), r6("sem", "sem"), "used")
+
+
+# ---- kernels on frames: no SQL, see tests/test_kernels.py ----------------------------------------------------------
+
+def _scene(spark, sf_dir):
+    """Frames of 200 x 200 with a star wherever a part is, on a flat noisy sky."""
+    import numpy as np
+    import pandas as pd
+
+    k = F.col("p_partkey")
+    places = views.table(spark, sf_dir, "part").filter("p_partkey <= 64").select((k % 2).alias("frame"), (F.floor((k - 1) / 2) % 5 * 36 + 26).alias("x"), (F.floor((k - 1) / 10) % 5 * 36 + 26).alias("y"), (3000 + k * 50).cast("double").alias("peak"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = np.mgrid[:200, :200]
+        img = 100.0 + ((x * 7919 + y * 104729) % 21 - 10)
+        for s in pdf.itertuples(index=False):
+            img = img + s.peak * np.exp(-((x - s.x) ** 2 + (y - s.y) ** 2) / 8.0)
+        return pd.DataFrame({"frame": int(pdf["frame"].iloc[0]), "x": x.ravel(), "y": y.ravel(), "v": img.ravel()})
+
+    return places.groupBy("frame").applyInPandas(draw, "frame long, x long, y long, v double")
+
+
+@query()
+def find_stars(spark, sf_dir):
+    from skyframe.operators import frames
+
+    return frames.found_stars(_scene(spark, sf_dir)).select("frame", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("hfd", 3).alias("hfd"), F.round("snr", 1).alias("snr"))
+
+
+@query()
+def hfd(spark, sf_dir):
+    from skyframe.operators import frames
+
+    p = views.table(spark, sf_dir, "part").filter("p_partkey <= 50").select((F.col("p_partkey") % 2).alias("frame"), F.col("p_partkey").alias("id"), (F.floor((F.col("p_partkey") - 1) / 2) % 5 * 36 + 27).alias("x"), (F.floor((F.col("p_partkey") - 1) / 10) % 5 * 36 + 25).alias("y"))
+    return frames.measured(_scene(spark, sf_dir), p).select("frame", "id", F.round("hfd", 3).alias("hfd"), F.round("flux", 1).alias("flux"))
+
+
+@query()
+def gaussian_blur(spark, sf_dir):
+    from skyframe.operators import frames
+
+    return frames.blurred(views.px(spark, sf_dir), 2.0).select("frame", "x", "y", F.round("v", 3).alias("v"))
+
+
+@query()
+def rotate(spark, sf_dir):
+    from skyframe.operators import frames
+
+    return frames.rotated(views.px(spark, sf_dir), 30.0).select("frame", "x", "y", F.round("v", 3).alias("v"))
+
+
+@query()
+def kepler(spark, sf_dir):
+    from skyframe.operators import frames
+
+    k = F.col("c_custkey")
+    e = views.table(spark, sf_dir, "customer").select(k.alias("id"), (0.5 + k % 30 / 10.0).alias("q"), (k % 13 / 10.0).alias("e"), (k % 90 / 60.0).alias("i"), (k % 360 / 57.3).alias("node"), (k * 7 % 360 / 57.3).alias("peri"), (k % 2000 - 1000).cast("double").alias("dt"))
+    return frames.orbits(e).select("id", r6("x", "x"), r6("y", "y"), r6("z", "z"))
+
+
+@query()
+def hyperbola_fit(spark, sf_dir):
+    from skyframe.operators import frames
+
+    k = F.col("p_partkey")
+    p = views.table(spark, sf_dir, "part").select((k % 10).alias("run"), (k % 400).cast("double").alias("position"))
+    p = p.withColumn("hfd", light.hyperbola(F.col("position"), 150.0 + F.col("run"), F.lit(2.0), F.lit(80.0)))
+    return frames.focus_fits(p).select("run", F.round("best", 4).alias("best"), F.round("low", 4).alias("low"), F.round("width", 4).alias("width"))

@@ -20,7 +20,7 @@ def sessions(frames: DataFrame, by: list[str], order: list[str], jump: float, ga
 
 def frame_files(spark: SparkSession, path: str, pattern: str = "*.fit*", each: int = 4) -> DataFrame:
     """New files of a folder as a stream of (path, modificationTime, length, content), oldest first."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", each).load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", each).load(path)
 
 
 STACK = "session string, x int, y int, stack int, frames long, mean double"

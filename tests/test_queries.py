@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from skyframe.plans import queries
+from skyframe.plans import more, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -92,9 +92,8 @@ def _alone(rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> v, l: the least vertex of each vertex's component."""
     both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("l"))
+    labels = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("l")), "labels")
     while True:
-        labels = written(labels, "labels")
         near = both.join(labels.select(F.col("v").alias("w"), "l"), "w").groupBy("v").agg(F.min("l").alias("near"))
         step = labels.join(near, "v").select("v", "l", F.least("l", "near").alias("x"))
         jump = step.join(labels.select(F.col("v").alias("x"), F.col("l").alias("y")), "x").select("v", F.least("x", "y").alias("l"), (F.least("x", "y") < F.col("l")).alias("changed"))
@@ -138,32 +137,41 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (n - F.col(f"{x}pos") >= need) & (m - F.col(f"{y}pos") >= need)
 
 
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries of the blocks that hold several components."""
+    key = ["h", "block"]
+    return entries.join(entries.groupBy(*key).agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select(*key), key)
+
+
 def link(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """sets (c, n, hashes) -> v, l: components of the sets that link with another one."""
-    entries = written(_blocks(_prefixes(sets, percent), percent).withColumn("l", F.col("c")), "blocks")
-    edges = None
+    key = ["h", "block"]
+    entries = written(_open(_blocks(_prefixes(sets, percent), percent).withColumn("l", F.col("c"))), "blocks")
+    edges = labels = None
     for turn in range(rounds + 1):
-        key = ["h", "block"]
-        open_ = entries.groupBy(*key).agg(F.min("l").alias("x"), F.max("l").alias("y"), F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "pos", "l")).alias("lead")).filter("x < y").select(*key, "lead")
+        if entries.isEmpty():
+            break
         if turn < rounds:
-            pairs = entries.join(open_.select(*key, F.col("lead.c").alias("b"), F.col("lead.n").alias("bn"), F.col("lead.pos").alias("bpos"), F.col("lead.l").alias("bl")), key)
-            pairs = pairs.filter((F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b")
+            lead = entries.groupBy(*key).agg(F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "pos", "l")).alias("lead"))
+            other = lead.select(*key, *[F.col(f"lead.{x}").alias(y) for x, y in (("c", "b"), ("n", "bn"), ("pos", "bpos"), ("l", "bl"))])
+            once = F.lit(True)
         else:
-            rest = entries.join(open_.select(*key), key)
-            other = rest.select(*key, F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"))
-            pairs = rest.join(other, key).filter((F.col("c") < F.col("b")) & (F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b")
+            other = entries.select(*key, F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"))
+            once = F.col("c") < F.col("b")
+        pairs = entries.join(other, key).filter(once & (F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b")
         found = written(_verified(written(pairs.distinct(), "pairs"), sets, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
         if turn == rounds:
-            return labels
+            break
         # the leaders have met their blocks; what derives its answer from one is in its component now
-        met = open_.select(*key, F.col("lead.c").alias("c"), F.lit(True).alias("met"))
-        left = entries.join(open_.select(*key), key).join(met, [*key, "c"], "left").filter("met is null").drop("met", "l")
-        left = left.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("l", F.coalesce("l", "c"))
-        entries = written(left, "blocks")
-        if entries.isEmpty():
-            return labels
+        met = other.select(*key, F.col("b").alias("c"), F.lit(True).alias("met"))
+        left = entries.join(met, [*key, "c"], "left").filter("met is null").drop("met")
+        if labels is not None:
+            left = left.drop("l").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("l", F.coalesce("l", "c"))
+        entries = written(_open(left), "blocks")
+    return sets.sparkSession.createDataFrame([], "v long, l long") if labels is None else labels
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -> DataFrame:

@@ -84,11 +84,6 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
-def _alone(rows: DataFrame) -> DataFrame:
-    """rows (c, h), distinct -> c and u, its shingles that no other c has."""
-    return rows.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("c")).filter("k = 1").groupBy("c").agg(F.count("*").alias("u"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> v, l: the least vertex of each vertex's component."""
     both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
@@ -178,7 +173,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    share = 4 if percent >= 90 else 2  # of the shingles, a quarter or half is enough to set most documents apart
+    share = 4 if percent >= 90 else 3  # of the shingles, a quarter or third is enough to set most documents apart
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("t", F.xxhash64("text"))
 
@@ -194,10 +189,12 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -
 
     seen = written(rows.mapInPandas(first, "doc_id long, t long, n long, f1 long, f2 long, some array<long>"), "shingled")
     same = ["f1", "f2", "n"]
-    classes = seen.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("some").alias("some")).withColumn("c", F.monotonically_increasing_id())
+    classes = seen.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("t").alias("t")).withColumn("c", F.monotonically_increasing_id())
     classes = written(classes, "classes")
-    alone = _alone(classes.select("c", F.explode("some").alias("h")))
-    left = classes.select("c", "t", *same).join(alone, "c", "left").filter(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).drop("u")
+    # a shingle stands in one set only if all documents that have it are of one class: no copies need to be set aside
+    held = seen.select("f1", F.explode("some").alias("h")).groupBy("h").agg(F.min("f1").alias("f1"), F.max("f1").alias("other"))
+    alone = held.filter("f1 = other").groupBy("f1").agg(F.count("*").alias("u"))
+    left = classes.select("c", "t", *same).join(alone, "f1", "left").filter(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).drop("u")
     left = written(left, "near")
     texts = left.select("t").distinct()
     if left.count() <= SMALL_ROWS:

@@ -227,4 +227,15 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jaccard": op2_jaccard}
-ORACLE: dict[str, str] = {}
+#: Every pair by shared shingles: for small tables.
+ORACLE = {
+    "op2_jaccard": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+u AS (SELECT r, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+c(r, root) AS (SELECT r, r FROM s UNION SELECT e.y, c.root FROM c JOIN e ON c.r = e.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id FROM c JOIN s ON s.r = c.r JOIN s t ON t.r = c.root GROUP BY c.r, s.doc_id, len(s.sh)
+""",
+}

@@ -76,4 +76,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d WHERE text IS NOT NULL),
+tk AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[ \t\r\x0B\f]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM ln),
+ky AS (SELECT r, i, len(t) AS n, unnest(CASE WHEN len(t) < 3 THEN [] WHEN len(t) < 12 THEN ['all ' || array_to_string(t, ' ')] ELSE ['all ' || array_to_string(t, ' '), 'first ' || len(t) || ' ' || array_to_string(t[1:len(t) // 2], ' '), 'second ' || len(t) || ' ' || array_to_string(t[1:2], ' ') || '  ' || array_to_string(t[len(t) // 2 + 1:], ' ')] END) AS k FROM tk),
+hd AS (SELECT k, count(DISTINCT r) AS docs FROM ky GROUP BY k HAVING count(DISTINCT r) >= 5),
+tot AS (SELECT r, sum(len(t)) AS total FROM tk GROUP BY r),
+cp AS (SELECT r FROM (SELECT DISTINCT r, i, n FROM ky JOIN hd USING (k)) JOIN tot USING (r) GROUP BY r, total HAVING sum(n) >= 0.5 * total),
+vt AS (SELECT k FROM ky JOIN hd USING (k) WHERE r NOT IN (SELECT r FROM cp) GROUP BY k, docs HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) >= 0.05 * docs),
+dr AS (SELECT DISTINCT r, i FROM ky JOIN vt USING (k)),
+out AS (SELECT ln.r, string_agg(CASE WHEN dr.i IS NULL THEN line END, chr(10) ORDER BY ln.i) AS kept, count(*) AS n_lines, count(dr.i) AS n_dropped FROM ln LEFT JOIN dr ON ln.r = dr.r AND ln.i = dr.i GROUP BY ln.r)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM d LEFT JOIN out USING (r)
+""",
+}

@@ -43,7 +43,7 @@ def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float
 def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
     """A star and its 3 nearest: the longest side, the others' ratios to it (falling), and the centre. Equal quads, by
     their members, count once."""
-    at = stars.select(F.col("id").alias("other"), F.struct("other", "x", "y").alias("p")) if "other" in stars.columns else stars.select(F.col("id").alias("other"), F.struct(F.col("id").alias("other"), "x", "y").alias("p"))
+    at = stars.select(F.col("id").alias("other"), F.struct(F.col("id").alias("other"), "x", "y").alias("p"))
     around = neighbours.filter("rank <= 3").join(at, "other").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("ps")).filter(F.size("ps") == 3)
     both = around.join(at.select(F.col("other").alias("id"), F.col("p").alias("p0")), "id")
     pts = [F.col("p0"), *[F.get(F.col("ps"), F.lit(i))["p"] for i in range(3)]]

@@ -205,7 +205,7 @@ def px_saturated_cells(spark, sf_dir):
     return pixels.saturated_cells_kept(views.px(spark, sf_dir), 6_000_000)
 
 
-@query("WITH " + PXL + ", r AS (SELECT frame, min(v) AS black, max(v) AS white FROM pl GROUP BY frame) SELECT x, y, round(sqrt(greatest(least((v - 20) / 200.0::DOUBLE, 1), 0)), 6) AS shown FROM pl WHERE frame = 0")
+@query("WITH " + PXL + " SELECT x, y, round(sqrt(greatest(least((v - 20) / 200.0::DOUBLE, 1), 0)), 6) AS shown FROM pl WHERE frame = 0")
 def px_stretch(spark, sf_dir):
     return views.px_levels(spark, sf_dir).filter("frame = 0").select("x", "y", r6(light.stretch(F.col("v"), 20.0, 220.0), "shown"))
 
@@ -742,7 +742,7 @@ def iau_designation(spark, sf_dir):
 @query("SELECT c_custkey AS id, c_name AS name, replace(c_name || '_x', '_', ' ') AS clean, replace(c_name, '#', '') AS plain FROM customer")
 def name_cleaning(spark, sf_dir):
     n = F.col("c_name")
-    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.unshifted(text.shifted(n)).alias("name"), text.clean_name(F.concat(F.lit(" "), n, F.lit("_x , more"))).alias("clean"), F.replace(text.without_special(F.concat(F.lit("a:b?").substr(5, 1), n, F.lit("*|<>"))), F.lit("#"), F.lit("")).alias("plain"))
+    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.unshifted(text.shifted(n)).alias("name"), text.clean_name(F.concat(F.lit(" "), n, F.lit("_x , more"))).alias("clean"), F.replace(text.without_special(F.concat(n, F.lit("*|<>"))), F.lit("#"), F.lit("")).alias("plain"))
 
 
 @query("SELECT s_suppkey AS id, 'Star ' || s_suppkey || ',' || printf('%.5f', 2460000.5::DOUBLE + s_suppkey / 8.0::DOUBLE) || ',' || printf('%.3f', (s_suppkey % 8) / 8.0::DOUBLE + 9 + 0.25) || ',' || printf('%.4f', CASE WHEN s_suppkey % 2 = 0 THEN 0.0625 ELSE 2 / (s_suppkey % 63 + 1)::DOUBLE END) || ',V,NO,STD,' || CASE WHEN s_suppkey % 3 = 0 THEN 'ENSEMBLE,na' ELSE 'C1,10.750' END || ',K2,' || printf('%.3f', CASE WHEN s_suppkey % 3 = 0 THEN 11.5 ELSE 11.75 END) || ',1.25,na,na,na' AS line FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey, 'Star ' || s_suppkey || ',' || printf('%.5f', 2460000.5::DOUBLE + s_suppkey / 8.0::DOUBLE) || ',' || printf('%.3f', (s_suppkey % 8) / 8.0::DOUBLE + 9) || ',' || printf('%.4f', CASE WHEN s_suppkey % 2 = 0 THEN 0.0625 ELSE 2 / (s_suppkey % 63 + 1)::DOUBLE END) || ',V,NO,STD,ENSEMBLE,na,K2,11.500,1.25,na,na,na' FROM supplier WHERE s_suppkey % 3 = 0")
@@ -856,7 +856,7 @@ def live_sessions(spark, sf_dir):
     return sessions(views.lc(spark, sf_dir), ["star"], ["t", "event_id"], 2000, 86400).groupBy("star", "session").agg(F.count("*").alias("frames"), F.sum("v").alias("total"))
 
 
-@query(BEST.replace("SELECT star, round(mean, 6)", "SELECT star, round(21 - mean / 10000, 6) AS magnitude, round(mean, 6)").replace(", coalesce(used, 0) AS used FROM", ", coalesce(used, 0) AS used FROM"))
+@query(BEST.replace("SELECT star, round(mean, 6)", "SELECT star, round(21 - mean / 10000, 6) AS magnitude, round(mean, 6)"))
 def light_curve(spark, sf_dir):
     m = robust.best_mean(views.lc(spark, sf_dir), ["star"], "v")
     return m.select("star", r6(21 - F.col("mean") / 10000, "magnitude"), r6("mean", "mean"), r6("sem", "sem"), "used")

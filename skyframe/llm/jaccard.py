@@ -99,10 +99,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b, and what else they have) that link."""
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
-    return two.filter(linked(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"), percent)).select("a", "b")
+    return two.filter(linked(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"), percent)).select(*pairs.columns)
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -138,11 +138,17 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.join(entries.groupBy(*key).agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select(*key), key)
 
 
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """labels (v, l) after merged (label, new label), whose labels may be sets that had none of their own."""
+    old = labels.join(merged.select(F.col("v").alias("l"), F.col("l").alias("r")), "l", "left").select("v", F.coalesce("r", "l").alias("l"))
+    return old.union(merged.join(labels, "v", "left_anti").select("v", "l"))
+
+
 def link(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """sets (c, n, hashes) -> v, l: components of the sets that link with another one."""
     key = ["h", "block"]
     entries = written(_open(_blocks(_prefixes(sets, percent), percent).withColumn("l", F.col("c"))), "blocks")
-    edges = labels = None
+    labels = None
     for turn in range(rounds + 1):
         if entries.isEmpty():
             break
@@ -153,11 +159,12 @@ def link(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
         else:
             other = entries.select(*key, F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"))
             once = F.col("c") < F.col("b")
-        pairs = entries.join(other, key).filter(once & (F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b")
+        pairs = entries.join(other, key).filter(once & (F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b", F.col("l").alias("la"), F.col("bl").alias("lb"))
         found = written(_verified(written(pairs.distinct(), "pairs"), sets, percent), "links")
         if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
+            # only components that a link joins are looked at; the others keep their label
+            merged = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            labels = merged if labels is None else written(_relabelled(labels, merged), "labels")
         if turn == rounds:
             break
         # the leaders have met their blocks; what derives its answer from one is in its component now

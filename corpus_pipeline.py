@@ -39,15 +39,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links (five words, similarity 0.8 or more) connect, the one with the smallest doc_id stays."""
-    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    groups = jaccard.join(rows.select(F.col("row").alias("doc_id"), "doc.text"), SHINGLE, PERCENT)
-    groups = written(groups.select(F.col("doc_id").alias("row"), "component_id"), "groups")
-    large = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
-    members = groups.join(large, "component_id").join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row")
+    """Of documents that links (five words, similarity 0.8 or more) connect, the one with the smallest doc_id stays; of
+    rows that repeat both doc_id and text, one. Rows are told apart by a hash of both, so no copy of the texts is made."""
+    key = F.xxhash64("doc_id", "text")
+    groups = jaccard.join(docs.select(key.alias("doc_id"), "text"), SHINGLE, PERCENT)
+    groups = written(groups.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("rows")), "groups")
+    large = groups.groupBy("component_id").agg(F.sum("rows").alias("n")).filter("n > 1").select("component_id")
+    members = groups.join(large, "component_id").join(docs.select(key.alias("key"), "doc_id").distinct(), "key")
     members = written(members, "members")
-    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("stays")).select(F.col("stays.row").alias("row"))
-    return _without(rows, F.col("row"), members.select("row").join(stays, "row", "left_anti")).select("doc.*")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("stays")).select(F.col("stays.key").alias("key"))
+    left = _without(docs, key, members.select("key").join(stays, "key", "left_anti").distinct())
+    again = members.filter("rows > 1").select("key").distinct()
+    if again.isEmpty():
+        return left
+    again = written(again, "again")
+    once = left.withColumn("__key", key).join(again.toDF("__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return _without(left, key, again).unionByName(once.select(*left.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

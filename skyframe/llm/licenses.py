@@ -1,9 +1,10 @@
 """License scans, in DataFrame functions alone.
 
 A text is reduced to its words in lower case, one space between them. Rules are regular expressions over these words,
-each gated by a keyword: a rule is only tried on texts that hold its keyword, and most texts hold none. Detections are
-intervals. One that lies inside another of the same or better priority is suppressed (a sweep over the intervals in
-order of their start, with the furthest end so far for each priority: linear in the detections of a text).
+each gated by a keyword: a rule is only tried on texts that hold its keyword. Texts that hold nothing of what any rule needs
+(`may_match`) are skipped as a whole. Detections are intervals. One that lies inside another of the same or better
+priority is suppressed (a sweep over the intervals in order of their start, with the furthest end so far for each
+priority: linear in the detections of a text).
 
 Priorities: 0 identifiers and addresses, 1 grants ("licensed under ..."), 2 a licence's name with the word licence,
 3 names alone and general notices.
@@ -118,7 +119,9 @@ NOTICES = [
     ("permissive", "free to use", r"(?:you are|is|are) free to use(?: copy)?(?: share)?(?: modify)?", 3, 0.4),
 ]
 
-GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|shared|covered|governed) (?:to you )?(?:under|by|with) (?:a |an |the )?(?:terms (?:and conditions )?of )?(?:a |an |the )?"
+GRANTED = "licensed licenced released distributed available published provided shared covered governed".split()
+HEAD = rf"(?:{'|'.join(GRANTED)}) (?:to you )?(?:under|by|with) "
+GRANT = HEAD + r"(?:a |an |the )?(?:terms (?:and conditions )?of )?(?:a |an |the )?"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -126,11 +129,30 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     out = []
     for label, key, name, spdx, url in NAMES:
         out += [(label, "spdx", rf"spdx licen[sc]e identifier {spdx}", 0, 1.0), (label, url.split(" ")[0], url, 0, 0.95), (label, key, GRANT + name + r"(?: (?:public )?licen[sc]e)?", 1, 0.9), (label, key, name + r" (?:public )?licen[sc]es?", 2, 0.8)]
-        if " " in key or key in ("cc0", "gpl", "lgpl", "wtfpl"):
+        if alone(key):
             out.append((label, key, name, 3, 0.6))
     return out + NOTICES
 
 
+def alone(key: str) -> bool:
+    """Whether a name with this keyword counts without a grant or the word licence."""
+    return " " in key or key in ("cc0", "gpl", "lgpl", "wtfpl")
+
+
+def may_match(words: Column) -> Column:
+    """False only for words (lower case) in which no rule and no phrase of BASE can match: identifiers and references
+    hold 'licen', addresses their first two words, grants HEAD, all else its keyword."""
+    needed = {"licen"} | {" ".join(u.split(" ")[:2]) for *_, u in NAMES} | {k for _, k, *_ in NAMES if alone(k)} | {k for _, k, *_ in NOTICES} | {p for p, _ in BASE}
+    needed = sorted(k for k in needed if not any(o != k and o in k for o in needed))
+    gate = F.lit(False)
+    for k in needed:
+        gate = gate | F.contains(words, F.lit(k))
+    grant = F.lit(False)
+    for g in GRANTED:
+        grant = grant | F.contains(words, F.lit(g + " "))
+    return gate | grant & words.rlike(HEAD)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text between single spaces, with a space before and after; empty without words. Case stays."""
     body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
@@ -174,14 +196,7 @@ def detections(words: Column, table_: list | None = None) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> the contract's columns and hits, the detections with their places among the words."""
     table_ = rules()
-    keys = sorted({k for _, k, *_ in table_} | {p for p, _ in BASE})
-    keys = [k for k in keys if not any(o != k and o in k for o in keys)]
-    # words that are common by themselves (mit, php) open no text: their rules also need one of these
-    opens = [k for k in keys if " " in k or k in ("spdx", "apache", "mozilla", "cc0", "gpl", "affero", "unlicen", "wtfpl", "copyright", "opensource", "creativecommons", "opendatacommons", "proprietary", "unauthori")] + ["licen", "released under", "distributed under", "available under", "terms as"] + sorted({u.split(" ")[0] for *_, u in NAMES if u.split(" ")[1] in ("org", "net", "com", "co", "se")} - set(keys))
-    gate = F.lit(False)
-    lowered = F.lower("words")
-    for k in dict.fromkeys(opens):
-        gate = gate | F.contains(lowered, F.lit(k))
+    gate = may_match(F.lower("words"))
     df = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     df = df.select("doc_id", F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), F.when(gate, ascii_lower(F.col("words"))).alias("words"))
     none = F.expr("cast(array() as array<struct<b:int,e:int>>)")

@@ -35,3 +35,15 @@ def test_brute_force(spark):
 def test_many_rules_and_empty(spark):
     assert len(licenses.rules()) > 200
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string, words string")).count() == 0
+
+
+def test_no_rule_is_kept_from_a_text(spark):
+    """Every address, and every grant of every name, alone in a text."""
+    texts = ["this code is provided under the MIT terms", "https://www.eclipse.org/legal/epl-v10.html", "mariadb.com/bsl11", "bittorrent.com/legal", "gnu.org/copyleft/lesser", "w3.org/Consortium/Legal"]
+    texts += [f"see https://{re.sub('[(]?[?]:.*', '', u)}" for *_, u in licenses.NAMES]
+    texts += [f"it is {g} {to}{how} the {k} terms" for g in licenses.GRANTED for to in ("", "to you ") for how in ("under", "by", "with") for k in ("MIT", "BSD", "zlib", "ISC", "Python", "PHP", "curl", "OpenSSL")]
+    texts += ["provided without a name", "mit und bsd", "eclipse organ", "shared with perl friends", "available under the same terms as Perl itself", "it is free to use", "permission to use copy modify and or distribute this software for any purpose with or without fee"]
+    got = {r[0]: tuple(r)[1:8] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t
+    assert [got[i][5] for i in range(6)] == ["mit", "epl-1.0", "busl-1.1", "bittorrent-1.1", "lgpl", "w3c"]

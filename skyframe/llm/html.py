@@ -1,8 +1,8 @@
 """HTML extraction by site templates.
 
 Pass 1 reads each page once into its text blocks and the hashes of its element subtrees, and writes both to the shared
-folder. Spark counts on how many pages of a host each subtree is found; pages that share a title (copies of one
-article) count once. Pass 2 deletes every subtree that recurs on `min_pages` pages of the host. Elements whose name,
+folder. Spark counts on how many pages of a host each subtree is found; pages with the same article text (copies of one
+article; without such text, the same title) count once. Pass 2 deletes every subtree that recurs on `min_pages` pages of the host. Elements whose name,
 role or class says what they are (navigation, forms, adverts, comments ...) go even where they don't recur, and
 paragraphs and headings of an article stay even where they do.
 
@@ -169,7 +169,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for row, page_id, url, html in zip(pdf["row"], pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 title, texts, keep, elements = read(html if isinstance(html, str) else "")
                 host = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url) if isinstance(url, str) else None
-                identity = _signed(title or "\n".join(t for t, k in zip(texts, keep, strict=True) if k))
+                identity = _signed("\n".join(t for t, k in zip(texts, keep, strict=True) if k) or title)
                 out.append((row, page_id, url, host[1].lower() if host else "", identity, [t if k else "" for t, k in zip(texts, keep, strict=True)], keep, [e[0] for e in elements], [e[1] for e in elements], [e[2] for e in elements], [e[3] for e in elements]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")]).astype({"page_id": "Int64"})
 

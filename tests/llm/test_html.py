@@ -31,3 +31,12 @@ def test_templates_and_cases(spark):
 
 def test_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_one_title_on_all_pages(spark):
+    page = "<html><head><title>My site</title></head><body><div><a href='/'>Start</a> <a href='/a'>About us</a></div><div>Words of page {i}</div><div>Seen on four {j}</div></body>"
+    rows = [(i, "http://shell.org/", page.format(i=i, j=i // 4)) for i in range(8)]
+    rows += [(100 + i, "http://copies.org/", page.format(i=0, j=0)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Words of page {i}\nSeen on four {i // 4}" for i in range(8))
+    assert all(got[100 + i] == "Start About us\nWords of page 0\nSeen on four 0" for i in range(8))

@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines; a document that held nothing else goes."""
-    out = linededup.drop_lines(docs)
+    """Drops recurring lines, however short; a document that held nothing else goes."""
+    out = linededup.drop_lines(docs, min_tokens=1)
     out = out.filter((F.col("dedup.n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 

@@ -9,7 +9,9 @@ half so share a template.
 A template recurs if it is found in `min_docs` documents. Copies of a document don't make its lines boilerplate: a
 document of which half the words stand in recurring lines has no vote, and a template is dropped if `min_docs`
 documents with a vote, and `min_share` of all documents that hold it, have it. Dropped lines go from all documents,
-copies included. Lines with fewer than MIN_TOKENS tokens stay.
+copies included. Lines with fewer than `min_tokens` tokens stay: with 1
+only empty lines have no template (the pipeline), with MIN_TOKENS those of one and two tokens don't either (the query,
+whose SQL says so).
 
 Counts are by hash of template, pre-aggregated before the shuffle; texts meet only the numbers of their own lines.
 
@@ -34,7 +36,7 @@ def masked(line: Column) -> Column:
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(even)
 
 
-def templates(text: Column) -> Column:
+def templates(text: Column, min_tokens: int = MIN_TOKENS) -> Column:
     """For each line: w, its tokens, and keys, the hashes of its templates."""
     lines = F.transform(F.split(text, "\n", -1), masked)
     counted = F.transform(lines, lambda m: F.struct(m.alias("m"), F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("w")))
@@ -44,7 +46,7 @@ def templates(text: Column) -> Column:
         whole = F.xxhash64(s["m"])
         first = F.xxhash64(F.lit("first"), s["w"], _before(s["m"], half))
         second = F.xxhash64(F.lit("second"), s["w"], _before(s["m"], F.lit(LEADING)), _before(s["m"], half - s["w"]))
-        return F.when(s["w"] < MIN_TOKENS, F.expr("cast(array() as array<bigint>)")).when(s["w"] < LONG, F.array(whole)).otherwise(F.array(whole, first, second))
+        return F.when(s["w"] < min_tokens, F.expr("cast(array() as array<bigint>)")).when(s["w"] < LONG, F.array(whole)).otherwise(F.array(whole, first, second))
 
     return F.transform(counted, lambda s: F.struct(s["w"].alias("w"), keys(s).alias("keys")))
 
@@ -53,9 +55,9 @@ def _before(text: Column, count: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), count)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 5, copy_share: float = 0.5, min_share: float = 0.05) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 5, copy_share: float = 0.5, min_share: float = 0.05, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with text -> the same columns with text replaced, then n_lines and n_dropped in a struct `dedup`."""
-    keyed = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), templates(F.col("text")).alias("lines")), "lines")
+    keyed = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), templates(F.col("text"), min_tokens).alias("lines")), "lines")
     lines = keyed.select("row", F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"]).alias("total"), F.posexplode("lines").alias("at", "line")).select("row", "total", "at", F.col("line.w").alias("w"), F.explode("line.keys").alias("key"))
     votes = keyed.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
     recurring = votes.groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)

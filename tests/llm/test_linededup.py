@@ -53,5 +53,18 @@ def test_brute_force(spark):
     assert not any(t and " ".join(long[:12]) in t for _, t in got)
 
 
+def test_short_lines_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = [own(20) + ("\nThe same long line stands here\nLes." if i < 8 else f"\nown{chr(97 + i)}") + ("\n\nAnd ornd." if i < 5 else "\nOnly four" if i < 9 else "") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    gone = {"The same long line stands here", "Les.", "And ornd."}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
+    assert sum("Only four" in t for t in got.values()) == 4 and got[0].endswith("\n")
+
+
 def test_empty(spark):
     assert d.drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

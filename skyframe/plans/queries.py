@@ -864,13 +864,18 @@ def light_curve(spark, sf_dir):
 
 # ---- kernels on frames: no SQL, see tests/test_kernels.py ----------------------------------------------------------
 
+def _scene_frame(k):
+    """Two frames for each 50 parts, with 25 places each."""
+    return F.floor((k - 1) / 50) * 2 + F.pmod(k, F.lit(2))
+
+
 def _scene(spark, sf_dir):
     """Frames of 200 x 200 with a star wherever a part is, on a flat noisy sky."""
     import numpy as np
     import pandas as pd
 
     k = F.col("p_partkey")
-    places = views.table(spark, sf_dir, "part").filter("p_partkey <= 64").select((k % 2).alias("frame"), (F.floor((k - 1) / 2) % 5 * 36 + 26).alias("x"), (F.floor((k - 1) / 10) % 5 * 36 + 26).alias("y"), (3000 + k * 50).cast("double").alias("peak"))
+    places = views.table(spark, sf_dir, "part").select(_scene_frame(k).alias("frame"), (F.pmod(F.floor((k - 1) / 2), F.lit(5)) * 36 + 26).alias("x"), (F.pmod(F.floor((k - 1) / 10), F.lit(5)) * 36 + 26).alias("y"), (3000 + (F.pmod(k - 1, F.lit(50)) + 1) * 50).cast("double").alias("peak"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = np.mgrid[:200, :200]
@@ -893,7 +898,7 @@ def find_stars(spark, sf_dir):
 def hfd(spark, sf_dir):
     from skyframe.operators import frames
 
-    p = views.table(spark, sf_dir, "part").filter("p_partkey <= 50").select((F.col("p_partkey") % 2).alias("frame"), F.col("p_partkey").alias("id"), (F.floor((F.col("p_partkey") - 1) / 2) % 5 * 36 + 27).alias("x"), (F.floor((F.col("p_partkey") - 1) / 10) % 5 * 36 + 25).alias("y"))
+    p = views.table(spark, sf_dir, "part").select(_scene_frame(F.col("p_partkey")).alias("frame"), F.col("p_partkey").alias("id"), (F.pmod(F.floor((F.col("p_partkey") - 1) / 2), F.lit(5)) * 36 + 27).alias("x"), (F.pmod(F.floor((F.col("p_partkey") - 1) / 10), F.lit(5)) * 36 + 25).alias("y"))
     return frames.measured(_scene(spark, sf_dir), p).select("frame", "id", F.round("hfd", 3).alias("hfd"), F.round("flux", 1).alias("flux"))
 
 

@@ -128,3 +128,12 @@ def test_filters_on_frames(spark):
     px = spark.createDataFrame([(f, x, y, float(x + y)) for f in (0, 1) for x in range(12) for y in range(10)], "frame long, x long, y long, v double")
     assert frames.rotated(px, 90.0).filter("frame = 0").agg(F.max("x"), F.max("y")).first()[:2] == (9, 11)
     assert frames.blurred(px, 1.0).count() == 240
+
+
+def test_scenes_hold_every_part(spark, tmp_path):
+    from skyframe.plans import queries
+
+    spark.range(0, 121).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.find_stars(spark, str(tmp_path)).collect()
+    assert {f: sum(r["frame"] == f for r in found) for f in range(6)} == {0: 25, 1: 25, 2: 25, 3: 25, 4: 10, 5: 10} and len(found) == 121
+    assert sorted(r["id"] for r in queries.hfd(spark, str(tmp_path)).collect()) == list(range(121))

@@ -45,3 +45,13 @@ def small_batches(spark: SparkSession, rows: int = 200) -> None:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def id_text(name: str) -> Column:
+    """An id as text, for Python workers: pandas would round large ids of a batch that holds a null."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def with_long(df: DataFrame, *names: str) -> DataFrame:
+    """Ids that are text back to numbers."""
+    return df.select(*[F.col(c).cast("long").alias(c) if c in names else F.col(c) for c in df.columns])

@@ -1,15 +1,17 @@
 """Best-fit packing of documents into sequences of at most `cap` tokens.
 
 Texts are tokenised once, into a table of pieces (their lengths and checksums; no ids). What is packed is the histogram
-of lengths, at most `cap` rows at any size of the input. For each length, longest first, an index of single, pair and
-triple sums of the lengths that are left gives combinations that fill the gap exactly; each is consumed as often as the
-counts allow, so every step uses up a length. What can't be completed goes by best fit, decreasing. The outcome is a
-short list of patterns (lengths and how many sequences have them). Pieces get a rank within their length, in salted
-groups so that a length of very many documents is no single task, and the rank gives the sequence and the place in it.
-
-Edge cases: a null or empty text has the closing id alone; texts that repeat are packed each by itself; special tokens'
-strings in a text are ordinary text; an empty table gives no rows; other columns are ignored. A document longer than
-cap is cut so that its first piece takes the remainder.
+of lengths, at most `cap` rows at any size of the input. For each length, longest first, hash indexes of the single, pair
+and triple sums of the lengths that are left give combinations that fill the gap exactly; each is consumed as often as
+the counts allow, so every step uses up a length. What can't be completed goes by best fit, decreasing. If that leaves
+more sequences than the tokens need, the last exact combinations are opened again, 1, 2, 4 ... of them, and go by best
+fit with the rest, until nothing is to be gained. The outcome is a short list of patterns (lengths and how many
+sequences have them). Pieces get a rank within their length, in salted groups whose number grows with the length's
+count, so that a length of very many documents is no single task; the rank gives the sequence and the place in it.
+
+Edge cases: a null or empty text has the closing id alone; texts that repeat are packed each by itself; a special
+token's string in a text is that token, as the tokeniser has it; an empty table gives no rows; other columns are ignored.
+A document longer than cap is cut so that its first piece takes the remainder.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.llm.common import small_batches, table, written
+from skyframe.llm.common import id_text, small_batches, table, with_long, written
 
-CAP, END, SALTS = 2048, 0, 128
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CAP, END = 2048, 0
+GROUP_ROWS, GROUPS = 20_000, 100_000  # rows of a salted group, and about how many groups there are at most
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str | None = None):
-    """Text -> ids (uint32). The vocabulary's rank file is read, whose ids equal those of the JSON file of the same name."""
+    """Text -> ids (uint32), those of the JSON file's tokeniser. Texts without a special token's string take the rank file
+    of the same vocabulary, whose ids are the same in a fifth of the time."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -42,14 +46,16 @@ def encoder(path: str | None = None):
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        exact = Tokenizer.from_file(path)
+        special = [t.content for t in exact.get_added_tokens_decoder().values()]
 
         def encode(text: str) -> np.ndarray:
-            try:
-                return np.array(fast.encode_ordinary(text), np.uint32)
-            except (ValueError, RuntimeError):  # its pattern gives up on some very long runs
-                slow = Tokenizer.from_file(path)
-                slow.encode_special_tokens = True
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not any(x in text for x in special):
+                try:
+                    return np.array(fast.encode_ordinary(text), np.uint32)
+                except (ValueError, RuntimeError):  # its pattern gives up on some very long runs
+                    pass
+            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
@@ -72,74 +78,98 @@ def pieces(docs: DataFrame, cap: int = CAP, path: str | None = None) -> DataFram
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = np.append(encode(text) if isinstance(text, str) else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4")
                 out += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), cap))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tokens, PIECES)
+    return with_long(docs.select(id_text("doc_id"), "text").mapInPandas(tokens, PIECES), "doc_id")
 
 
-def plan(counts: dict[int, int], cap: int = CAP) -> list[tuple[tuple[int, ...], int]]:
-    """counts: pieces of each length. Patterns: lengths of a sequence, and how many sequences have them. Combinations of
-    up to 3 lengths are indexed; as the eager use of short pieces can cost a few sequences later, smaller indexes are
-    tried too, down to best fit alone, and the plan with the fewest sequences is taken."""
-    return min((_plan(counts, cap, depth) for depth in (3, 2, 1, 0)), key=lambda p: sum(k for _, k in p))
+class Complements:
+    """Indexes of the sums of one, two and three lengths that are left. An entry is the combination of its sum whose
+    shortest part is longest (short pieces are kept, as they fill any gap); as counts only fall, an entry that is used up
+    moves on and never returns."""
+
+    def __init__(self, left: list[int]):
+        self.left, self.pairs, self.triples = left, {}, {}
+
+    def _has(self, *combo: int) -> bool:
+        return all(self.left[x] >= combo.count(x) for x in combo)
 
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if total > 0 and self.left[total] else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        a = self.pairs.get(total, total // 2)
+        while a > 0 and not self._has(a, total - a):
+            a -= 1
+        self.pairs[total] = a
+        return (total - a, a) if a > 0 else None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        a, found = self.triples.get(total, total // 3), None
+        while a > 0:
+            found = self.pair(total - a) if self.left[a] else None
+            if found and found[1] >= a and self._has(a, *found):
+                break
+            a -= 1
+        self.triples[total] = a
+        return (*found, a) if a > 0 else None
 
-def _plan(counts: dict[int, int], cap: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
-    left = np.zeros(cap + 1, np.int64)
+
+def exact(counts: dict[int, int], cap: int = CAP) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """counts: pieces of each length. Combinations of up to four lengths that fill a sequence exactly, with how many
+    sequences have each, in the order in which they were found; and the counts of what has no complement."""
+    left = [0] * (cap + 1)
     for n, k in counts.items():
-        left[n] = k
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(*combo: int) -> None:
-        need: dict[int, int] = {}
-        for x in combo:
-            need[x] = need.get(x, 0) + 1
-        k = min(left[x] // m for x, m in need.items())
-        if k > 0:
-            for x, m in need.items():
-                left[x] -= k * m
-            out.append((combo, int(k)))
-
-    def enough(a: np.ndarray, *others) -> np.ndarray:
-        """Where left still has a, given that the others are taken too."""
-        need = np.ones(len(a), np.int64)
-        for o in others:
-            need += a == o
-        return left[a] >= need
-
-    def pairs_of(total: int, longest: int, *taken: int) -> tuple[int, int] | None:
-        a = np.arange(min(longest, total - 1), (total + 1) // 2 - 1, -1)
-        if total < 2 or not len(a):
-            return None
-        b = total - a
-        ok = np.flatnonzero(enough(a, *taken, b) & enough(b, *taken, a))
-        return (int(a[ok[0]]), int(b[ok[0]])) if len(ok) else None
-
-    if left[cap]:
-        take(cap)
-    for longest in range(cap - 1, 0, -1):
-        gap = cap - longest
-        if depth > 0 and left[longest] and gap <= longest:
-            take(longest, gap)
-        while depth > 1 and left[longest] and (p := pairs_of(gap, longest, longest)):
-            take(longest, *p)
-        while depth > 2 and left[longest] and gap > 2:
-            have = (left > 0).astype(float)
-            have[longest + 1 :] = 0
-            sums = np.rint(np.fft.irfft(np.fft.rfft(have, 2 * cap + 2) ** 2, 2 * cap + 2))[: cap + 1] > 0
-            a = np.arange(min(longest, gap - 2), 0, -1)
-            found = None
-            for x in a[enough(a, longest) & sums[gap - a]]:
-                if (p := pairs_of(gap - int(x), int(x), longest, int(x))):
-                    found = (longest, int(x), *p)
+        left[n] = int(k)
+    index, out, rest = Complements(left), [], {}
+    for longest in range(cap, 0, -1):
+        while left[longest]:
+            gap = cap - longest
+            if gap == 0:
+                combo = (longest,)
+            else:
+                left[longest] -= 1  # the others are looked for beside it
+                more = index.single(gap) or index.pair(gap) or index.triple(gap)
+                left[longest] += 1
+                if not more:
+                    rest[longest], left[longest] = left[longest], 0
                     break
-            if not found:
-                break
-            take(*found)
-    # best fit, decreasing: groups of equal sequences by their gap
+                combo = (longest, *more)
+            k = min(left[x] // combo.count(x) for x in combo)
+            for x in combo:
+                left[x] -= k
+            out.append((combo, k))
+    return out, rest
+
+
+def plan(counts: dict[int, int], cap: int = CAP) -> list[tuple[tuple[int, ...], int]]:
+    """counts: pieces of each length. Patterns: lengths of a sequence, and how many sequences have them."""
+    filled, rest = exact(counts, cap)
+    total = sum(k for _, k in filled)
+    least = -(-sum(n * k for n, k in counts.items()) // cap)  # no packing has fewer
+    best, opened = None, 0
+    while best is None or sum(k for _, k in best) > least and opened < total:
+        if best is not None:
+            opened = min(total, max(1, opened * 2))
+        kept, loose, more = [], dict(rest), opened
+        for combo, k in reversed(filled):
+            use = min(k, more)
+            more -= use
+            for x in combo if use else ():
+                loose[x] = loose.get(x, 0) + use
+            if k > use:
+                kept.append((combo, k - use))
+        now = kept + best_fit(loose, cap)
+        if best is None or sum(k for _, k in now) < sum(k for _, k in best):
+            best = now
+    return best
+
+
+def best_fit(counts: dict[int, int], cap: int = CAP) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, decreasing: groups of equal sequences by their gap."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for n in range(cap - 1, 0, -1):
-        k = int(left[n])
+    for n in sorted(counts, reverse=True):
+        k = counts[n]
         while k:
             fit = min((g for g, groups in open_.items() if g >= n and groups), default=None)
             if fit is None:
@@ -155,7 +185,7 @@ def _plan(counts: dict[int, int], cap: int, depth: int) -> list[tuple[tuple[int,
                 open_[fit].append((combo, times - used))
             open_.setdefault(fit - each * n, []).append((combo + (n,) * each, used))
             k -= used * each
-    return out + [g for groups in open_.values() for g in groups]
+    return [g for groups in open_.values() for g in groups]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]], cap: int = CAP) -> dict[str, np.ndarray]:
@@ -177,25 +207,35 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], cap: int = CAP) -> dict[s
 
 def pack(docs: DataFrame, cap: int = CAP, path: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> the contract's columns."""
-    rows = written(pieces(docs, cap, path), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = np.zeros((cap + 1, SALTS), np.int64)  # at most so many rows, whatever the input
+    rows = written(pieces(docs, cap, path), "pieces")
+    counts = np.zeros(cap + 1, np.int64)  # at most so many rows, whatever the input
+    for n, k in rows.groupBy("length").count().collect():
+        counts[n] = k
+    salts = 1 + counts // max(GROUP_ROWS, int(counts.sum()) // GROUPS)
+    salted = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts.tolist()), F.col("length").cast("int")))
+    rows = rows.withColumn("salt", salted.cast("int"))
+    # where the ranks of each group begin within its length: GROUPS groups at most, and one for each length
+    start = np.cumsum(salts) - salts
+    sizes = np.zeros(int(salts.sum()), np.int64)
     for n, salt, k in rows.groupBy("length", "salt").count().collect():
-        counts[n, salt] = k
-    before = np.cumsum(counts, 1) - counts
-    s = slots(plan({n: int(k) for n, k in enumerate(counts.sum(1)) if k}, cap), cap)
+        sizes[start[n] + salt] = k
+    before = np.cumsum(sizes) - sizes
+    before -= np.repeat(before[start], salts)
+    s = slots(plan({n: int(k) for n, k in enumerate(counts) if k}, cap), cap)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
 
     def place(batches):
         for pdf in batches:
             n, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy() - 1
-            rank = rank + before[n, pdf["salt"].to_numpy()]
+            rank = rank + before[start[n] + pdf["salt"].to_numpy()]
             at = np.empty(len(n), np.int64)
             for x in np.unique(n):
                 own, (a, b) = n == x, s["first"][x : x + 2]
                 at[own] = a + np.searchsorted(s["begin"][a:b], rank[own], side="right") - 1
             yield pdf.drop(columns=["salt", "rank"]).assign(sequence_id=s["sequence"][at] + rank - s["begin"][at], offset=s["offset"][at])
 
-    return ranked.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    placed = ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return with_long(placed, "doc_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """WARC: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page_id into shards whose bounds come from an exact histogram of payload bytes, so the
-same table gives the same files under any partitioning. A shard's files roll by compressed size. Headers and digests
+Records are sorted by page_id and payload digest, and the exact running sum of their payload bytes in that order gives
+the shards, so the same table gives the same files under any partitioning; a page_id of very many records is parted
+like any other range. Each shard is one task (its number is the partition's), and its files roll by compressed size. Headers and digests
 are made anew from the payload. Every file is written under a temporary name; the manifest, committed by Spark, names
 the files of the attempts that succeeded; these are then renamed (which may be repeated) and the final manifest is
 written. Readers go by the manifest, so leftovers of lost tasks are never read.
@@ -26,12 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import scratch, small_batches, table
+from pyspark.sql.window import Window
+
+from skyframe.llm.common import scratch, small_batches, table, with_long, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "shard long, seq long, temp string, file string, bytes long, records long, first_id long, last_id long, sha1 string"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+GROUP_ROWS = 100_000  # rows whose running sum is one task's
+MANIFEST = "shard long, seq long, temp string, file string, bytes long, records long, first_id string, last_id string, sha1 string"
+RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def _fs(uri: str):
@@ -55,15 +59,15 @@ def _head(fields: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(lines).encode()
 
 
-def _name(page_id: int | None, digest: str) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}>"
+def _name(page_id: str | None, digest: str) -> str:
+    return f"<urn:x-page:{page_id or ''}:{digest}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, date: str = DATE) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None = None, date: str = DATE) -> bytes:
     """One gzip member: a response, or a revisit if refers_to is given."""
     digest = digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    target = url.replace("\r", "%0D").replace("\n", "%0A") if url else f"urn:x-page:{'' if page_id is None else page_id}"
+    target = url.replace("\r", "%0D").replace("\n", "%0A") if url else f"urn:x-page:{page_id or ''}"
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _name(page_id, digest)), ("WARC-Date", date), ("WARC-Target-URI", target)]
     block = http + payload if refers_to is None else http
     if refers_to is not None:
@@ -78,60 +82,59 @@ def _info(name: str, date: str) -> bytes:
     return _gz(_head(fields, len(body)) + body + b"\r\n\r\n")
 
 
-def shard_bounds(rows: DataFrame, shard_bytes: int, bins: int = 2048) -> list[int]:
-    """Upper bounds (inclusive) of all shards but the last, from rows (page_id, n). Each pass sums the bytes of at most
-    `bins` equal id ranges for each range that is still too heavy; the passes end when no heavy range can be cut."""
-    lo, hi, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if lo is None or not total or total <= shard_bytes:
+def shard_bounds(rows: DataFrame, shard_bytes: int, group_rows: int = GROUP_ROWS) -> list[tuple[int, int]]:
+    """First keys (page_id, sub) of all shards but the first, from rows (page_id, sub, n): a shard ends where the running
+    sum of n passes a multiple of shard_bytes. Rows of equal keys stay together. What reaches the driver is a row for
+    each group of group_rows rows and one for each shard."""
+    key = ["page_id", "sub"]
+    groups = max(1, -(-rows.count() // group_rows))
+    if groups > 1:
+        rows = written(rows.repartitionByRange(groups, *key).withColumn("part", F.spark_partition_id()), "ordered")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    sums = {r[0]: r[1] for r in rows.groupBy("part").agg(F.sum("n")).collect()}
+    parts = sorted(sums)
+    before = dict(zip(parts, np.cumsum([0, *[sums[p] for p in parts]]).tolist(), strict=False))
+    if not parts:
         return []
-    done: list[tuple[int, int]] = []  # (upper bound, bytes)
-    heavy = [(lo, hi)]
-    while heavy:
-        at = F.lit(None).cast("long")
-        for k, (a, b) in enumerate(heavy):
-            width = (b - a) // bins + 1
-            at = F.when(F.col("page_id").between(a, b), F.lit(k * bins) + F.expr(f"(page_id - {a}L) div {width}L")).otherwise(at)
-        sums = {int(r[0]): int(r[1]) for r in rows.groupBy(at.alias("at")).agg(F.sum("n")).collect() if r[0] is not None}
-        again = []
-        for key, n in sums.items():
-            a, b = heavy[key // bins]
-            width = (b - a) // bins + 1
-            x = a + key % bins * width
-            y = min(b, x + width - 1)
-            if n > shard_bytes and y > x and len(again) < 64:
-                again.append((x, y))
-            else:
-                done.append((y, n))
-        heavy = again
-    out, run = [], 0
-    for y, n in sorted(done):
-        if run and run + n > shard_bytes:
-            out.append(last)
-            run = 0
-        run, last = run + n, y
-    return out
+    base = F.get(F.lit([int(before.get(p, 0)) for p in range(parts[-1] + 1)]), F.col("part"))
+    each = rows.groupBy("part", *key).agg(F.sum("n").alias("n"))
+    run = base + F.sum("n").over(Window.partitionBy("part").orderBy(*key)) - F.col("n")
+    firsts = each.withColumn("shard", F.floor(run / F.lit(shard_bytes))).groupBy("shard").agg(F.min(F.struct(*key)).alias("k"))
+    return [(r["k"][0], r["k"][1]) for r in firsts.orderBy("shard").collect()[1:]]
 
 
 def write_warc(pages: DataFrame, out: str, *, min_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, date: str = DATE) -> DataFrame:
     """Writes pages (page_id, url, html) below out and returns the final manifest."""
     spark = pages.sparkSession
     small_batches(spark)
-    body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
-    light = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n"))
+    body = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    sha = F.sha1(body.cast("binary"))
+    sub = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+    page_id = F.col("page_id").cast("long")
+    light = written(pages.select(page_id.alias("page_id"), sha.alias("sha"), F.octet_length(body).alias("n")), "digests")
     known = light.filter(F.col("n") >= min_bytes)
     first = known.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).filter("k > 1").drop("k")
     marks = known.join(first, "sha").filter("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
-    bounds = shard_bounds(light.select("page_id", (F.col("n") + 400).alias("n")), shard_bytes)
-
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds, dtype=np.int64), ids.fillna(-(2**63)).astype("int64").to_numpy(), side="left").astype(np.int64))
+    bounds = shard_bounds(light.select(F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"), sub.alias("sub"), (F.col("n") + 400).alias("n")), shard_bytes)
+    shards = len(bounds) + 1
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, subs: pd.Series) -> pd.Series:
+        a, b = (np.array([k[j] for k in bounds], np.int64) for j in (0, 1))
+        x, y = ids.to_numpy(np.int64), subs.to_numpy(np.int64)
+        low, high = np.searchsorted(a, x, side="left"), np.searchsorted(a, x, side="right")
+        for k in np.flatnonzero(high - low):  # bounds within this id
+            high[k] = low[k] + np.searchsorted(b[low[k] : high[k]], y[k], side="right")
+        return pd.Series(high.astype(np.int32))
 
     # a mark reaches the writer just before the page that it is for: one shuffle of the payloads, and no join with them
-    both = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
-    both = both.unionByName(rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "refers_to": F.lit(None).cast("long"), "kind": F.lit(1)}))
-    both = both.withColumn("shard", shard_of("page_id")).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
+    null = F.lit(None).cast("string")
+    both = marks.select("page_id", null.alias("url"), null.alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
+    rows = pages.select(page_id.alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), sha.alias("sha"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    both = both.unionByName(rows)
+    both = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63))), sub)).repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
+    both = both.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
 
     def write(batches):
         fs, root = _fs(out)
@@ -145,12 +148,10 @@ def write_warc(pages: DataFrame, out: str, *, min_bytes: int = 0, shard_bytes: i
 
         for pdf in batches:
             for page_id, url, html, digest, refers, kind, at in pdf[["page_id", "url", "html", "sha", "refers_to", "kind", "shard"]].itertuples(index=False, name=None):
-                page_id = None if pd.isna(page_id) else int(page_id)
                 if kind == 0:
-                    mark = (page_id, digest, int(refers))
+                    mark = (page_id, digest, refers)
                     continue
-                payload = html.encode()
-                data = record(page_id, url if isinstance(url, str) else None, payload, mark[2] if mark and mark[:2] == (page_id, digest) else None, date)
+                data = record(page_id, url, html.encode(), mark[2] if mark and mark[:2] == (page_id, digest) else None, date)
                 if stream is not None and (at != shard or row["bytes"] + len(data) > roll_bytes):
                     yield close()
                     stream = None
@@ -190,12 +191,12 @@ def write_warc(pages: DataFrame, out: str, *, min_bytes: int = 0, shard_bytes: i
                     raise FileNotFoundError(f"{root}/{temp}")
             yield pdf
 
-    files.repartition(n, "file").mapInPandas(rename, MANIFEST).drop("temp").write.parquet(f"{out}/manifest")
+    files.repartition(n).mapInPandas(rename, MANIFEST).drop("temp").write.parquet(f"{out}/manifest")
     fs, root = _fs(out)
     for d in ("_temporary", "_attempts"):
         if fs.get_file_info(f"{root}/{d}").type.name == "Directory":
             fs.delete_dir(f"{root}/{d}")
-    return spark.read.parquet(f"{out}/manifest")
+    return with_long(spark.read.parquet(f"{out}/manifest"), "first_id", "last_id")
 
 
 def members(stream, chunk: int = 1 << 20):
@@ -233,7 +234,7 @@ def parse(member: bytes) -> dict | None:
         raise ValueError(f"damaged payload {f['WARC-Record-ID']}")
     n = len(payload) if full else int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
     url = f["WARC-Target-URI"]
-    return {"page_id": int(name) if name else None, "url": None if url.startswith("urn:x-page:") else url, "payload_bytes": n, "payload_digest": digest, "record_type": f["WARC-Type"], "refers_to": int(f["WARC-Refers-To"].split(":")[2]) if "WARC-Refers-To" in f else None, "payload": payload if full else None}
+    return {"page_id": name or None, "url": None if url.startswith("urn:x-page:") else url, "payload_bytes": n, "payload_digest": digest, "record_type": f["WARC-Type"], "refers_to": f["WARC-Refers-To"].split(":")[2] if "WARC-Refers-To" in f else None, "payload": payload if full else None}
 
 
 def read_warc(manifest: DataFrame, out: str) -> DataFrame:
@@ -250,13 +251,13 @@ def read_warc(manifest: DataFrame, out: str) -> DataFrame:
                             del r["payload"]
                             rows.append(r)
                         if len(rows) >= 5000:
-                            yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(rows)
                             rows = []
                     if rows:
-                        yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pd.DataFrame(rows)
 
     n = max(1, min(10_000, manifest.count()))
-    return manifest.select("file").repartition(n, "file").mapInPandas(read, RECORDS)
+    return with_long(manifest.select("file").repartition(n).mapInPandas(read, RECORDS), "page_id", "refers_to")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

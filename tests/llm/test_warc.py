@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from collections import Counter
 
 from skyframe.llm import warc
 from skyframe.llm.common import scratch
@@ -43,7 +44,34 @@ def test_full_payloads_read_back(spark):
     for r in m.collect():
         with at.open_input_stream(f"{root}/{r['file']}", compression=None) as s:
             got |= {x["page_id"]: (x["payload"], x["url"]) for x in map(warc.parse, warc.members(s)) if x}
-    assert got[5][0] == ("é" * 5000).encode() and got[6][0] == b"b\r\n\r\nc" and got[4][0] is None and got[3][0] == b"" and got[2][1] is None
+    assert got["5"][0] == ("é" * 5000).encode() and got["6"][0] == b"b\r\n\r\nc" and got["4"][0] is None and got["3"][0] == b"" and got["2"][1] is None
+
+
+def test_shards_hold_their_size(spark):
+    """Dense ids, one id of very many records, and ids far apart: no shard passes the limit by more than one record."""
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then id else id * 1000000007 end page_id", "crc32(cast(id as string)) sub", "1000L n")
+    for group_rows in (3000, 10**6):
+        bounds = warc.shard_bounds(rows.repartition(5), 50_000, group_rows)
+        assert len(bounds) == 399 and bounds == sorted(bounds)
+    import bisect
+
+    keys = sorted((r[0], r[1]) for r in rows.collect())
+    sizes = Counter(bisect.bisect_right(bounds, k) for k in keys)
+    assert set(sizes.values()) == {50}
+
+
+def test_each_shard_is_a_task(spark):
+    df = spark.range(300).selectExpr("id page_id", "'u' url", "concat(id, repeat('x', 600)) html")
+    m = warc.write_warc(df, scratch(spark, "t"), shard_bytes=10_000)
+    assert m.groupBy("shard").count().count() == m.count() == 30
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "u", "a"), (None, "u", "b"), (big + 2, "u", "a")], "page_id long, url string, html string").coalesce(1)
+    out = scratch(spark, "t")
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_warc(warc.write_warc(df, out), out).collect()}
+    assert got == {big: None, None: None, big + 2: big}
 
 
 def test_empty(spark):

@@ -5,9 +5,10 @@ window of m characters that occurs with at most e edits shares at least m - q +
 within e + 1 neighbouring diagonals. So the shared q-grams are counted in overlapping bands of diagonals, each at least
 e + 1 wide twice over; bands that reach the bound are verified by a banded alignment, whose distance is reported.
 
-Texts are scanned whole, in the partitions that they are read in; nothing is shuffled. The windows of at most
-`block_chars` characters of the benchmark go to the executors at once; a larger benchmark is taken in blocks, one scan
-of the documents for each.
+Texts are scanned whole, in the partitions that they are read in; nothing is shuffled. Within a worker, places of a text
+are looked up in slices, as many as have about HITS q-grams of windows, so that memory doesn't grow with a text's length
+or repetitions. The windows of at most `block_chars` characters of the benchmark go to the executors at once; a larger
+benchmark is taken in blocks, one after the other, one scan of the documents and one written result for each.
 
 Edge cases: null and empty texts match nothing; an item without text is never found; items shorter than q characters
 must occur exactly, between spaces or the text's ends; rows with the same doc_id are separate rows; equal items are
@@ -23,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import small_batches, table
+from skyframe.llm.common import id_text, small_batches, table, with_long, written
 
 Q, RATE, WINDOW, STRIDE = 8, 0.1, 160, 80
 BLOCK_CHARS = 5_000_000
-FOUND = "doc_id long, item_id long, distance int, begins long"
+FOUND = "doc_id string, item_id string, distance int, begins long"
+HITS, PLACES = 1_000_000, 1 << 18  # looked up at once: q-grams of windows, and places of a text
 _TABLE_BITS = 20
 
 
@@ -66,49 +68,64 @@ def align(pattern: np.ndarray, text: np.ndarray, width: int, margin: int) -> int
 
 
 class Index:
-    """The windows of some items, and where each q-gram stands in them."""
+    """The distinct windows of some items, and where each q-gram stands in them."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, window: int = WINDOW, stride: int = STRIDE):
-        self.short, self.item, self.window, self.edits, self.needed = [], [], [], [], []
+    def __init__(self, items: list[tuple[str | None, str]], rate: float = RATE, window: int = WINDOW, stride: int = STRIDE):
+        self.short, self.items, self.window, self.edits, self.needed = [], [], [], [], []
+        known: dict[str, int] = {}
         for item, text in items:
             text = normal(text)
             if 0 < len(text) < Q:
                 self.short.append((item, text))
             starts = [0] if len(text) <= window else [*range(0, len(text) - window, stride), len(text) - window]
             for s in starts if len(text) >= Q else []:
+                at = known.setdefault(text[s : s + window], len(known))
+                if at < len(self.items):
+                    self.items[at].append(item)
+                    continue
                 w = codes(text[s : s + window])
                 e = min(int(rate * len(w)), (len(w) - Q) // Q)
-                self.item.append(item)
+                self.items.append([item])
                 self.window.append(w)
                 self.edits.append(e)
                 self.needed.append(len(w) - Q + 1 - Q * e)
         self.edits, self.needed = np.array(self.edits, np.int64), np.array(self.needed, np.int64)
         self.step = np.maximum(self.edits + 1, 16)
         self.longest = max(map(len, self.window), default=0)
-        self.gap = self.longest + 2 * int(self.step.max(initial=16)) + Q
+        self.span = self.longest + 2 * int(self.step.max(initial=16))  # places that a band may reach over
+        self.gap = self.span + Q
         h = np.concatenate([grams(w) for w in self.window]) if self.window else np.zeros(0, np.uint32)
         which = np.repeat(np.arange(len(self.window)), [len(w) - Q + 1 for w in self.window])
         at = np.concatenate([np.arange(len(w) - Q + 1) for w in self.window]) if self.window else np.zeros(0, np.int64)
         order = np.argsort(h, kind="stable")
-        self.which, self.at = which[order], at[order]
+        self.which, self.at = which[order].astype(np.int32), at[order].astype(np.int32)
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.hash >> np.uint32(32 - _TABLE_BITS)] = True
 
-    def candidates(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """Windows and the first diagonals of bands that reach the bound."""
-        if len(c) < Q or not len(self.hash):
-            return []
-        h = grams(c)
-        pos = np.flatnonzero(self.table[h >> np.uint32(32 - _TABLE_BITS)])
-        k = np.minimum(np.searchsorted(self.hash, h[pos]), len(self.hash) - 1)
-        ok = self.hash[k] == h[pos]
-        pos, k = pos[ok], k[ok]
+    def candidates(self, c: np.ndarray):
+        """Windows and the first diagonals of bands that reach the bound, slice by slice. Slices overlap by a band's
+        reach, so that each band lies within one."""
+        begin, size = 0, PLACES
+        while begin + Q <= len(c) and len(self.hash):
+            h = grams(c[begin : begin + size + self.span + Q - 1])
+            pos = np.flatnonzero(self.table[h >> np.uint32(32 - _TABLE_BITS)])
+            k = np.minimum(np.searchsorted(self.hash, h[pos]), len(self.hash) - 1)
+            ok = self.hash[k] == h[pos]
+            pos, k = pos[ok], k[ok]
+            if size > self.span and self.count[k].sum() > HITS:
+                size //= 2
+                continue
+            yield from self._bands(pos + begin, k, len(c))
+            begin += size
+            size = min(PLACES, 2 * size)
+
+    def _bands(self, pos: np.ndarray, k: np.ndarray, length: int) -> list[tuple[int, int]]:
         n = self.count[k]
         hit = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        w = self.which[hit]
+        w = self.which[hit].astype(np.int64)
         band = (np.repeat(pos, n) - self.at[hit] + self.longest) // self.step[w] + 1
-        bands = len(c) + self.longest + 4
+        bands = length + self.longest + 4
         key = w * bands + band
         key = np.concatenate([key, key - 1])  # each diagonal is in two bands
         coarse = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
@@ -119,7 +136,7 @@ class Index:
         key = key[n >= self.needed[key // bands]]
         return [(int(x // bands), int((x % bands - 1) * self.step[x // bands] - self.longest)) for x in key]
 
-    def scan(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+    def scan(self, texts: list[str]) -> list[tuple[int, str | None, int, int]]:
         """Text, item, least distance and the place (in the text in lower case with single spaces) of each pair."""
         parts, starts, ends, at = [], [], [], 0
         for t in texts:
@@ -129,7 +146,7 @@ class Index:
             ends.append(at + len(c))
             at += len(c) + self.gap
         all_ = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, str | None], tuple[int, int]] = {}
         for w, diagonal in self.candidates(all_):
             e, pattern = int(self.edits[w]), self.window[w]
             a = diagonal - e
@@ -138,29 +155,28 @@ class Index:
                 low, high = max(a, starts[doc]), min(diagonal + 2 * int(self.step[w]) + len(pattern) + e, ends[doc])
                 if high - low < len(pattern) - e:
                     continue
-                if best.get((doc, self.item[w]), (1, 0))[0] == 0:
+                if all(best.get((doc, i), (1, 0))[0] == 0 for i in self.items[w]):
                     continue
                 d = align(pattern, all_[low:high], min(2 * int(self.step[w]) + 2 * e, high - low) + 1, e)
                 if d <= e:
-                    key = (doc, self.item[w])
-                    best[key] = min(best.get(key, (d, low - starts[doc])), (d, low - starts[doc]))
+                    for key in ((doc, i) for i in self.items[w]):
+                        best[key] = min(best.get(key, (d, low - starts[doc])), (d, low - starts[doc]))
         for doc, t in enumerate(texts):
             for item, s in self.short:
                 if f" {s} " in f" {t} ":
                     best[doc, item] = (0, f" {t} ".index(f" {s} "))
-        return [(*k, *v) for k, v in sorted(best.items())]
+        return [(*k, *v) for k, v in sorted(best.items(), key=str)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int = WINDOW, stride: int = STRIDE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> FOUND, a row for each document row and item in it."""
     small_batches(docs.sparkSession)
-    bench = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    bench = benchmark.filter("text is not null").select(id_text("item_id"), "text")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(id_text("doc_id"), "text")
 
-    def scanned(block: int) -> DataFrame:
-        own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    def scanned(own: DataFrame) -> DataFrame:
         index = Index(sorted(((r[0], r[1]) for r in own.collect()), key=str), rate, window, stride)  # block_chars about
 
         def search(batches):
@@ -168,18 +184,21 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int
                 ids, texts_, size, out = [], [], 0, []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     if isinstance(text, str) and text:
-                        ids.append(None if pd.isna(doc_id) else int(doc_id))
+                        ids.append(doc_id)
                         texts_.append(normal(text))
                         size += len(texts_[-1])
                     if size > 1_000_000:
                         out += [(ids[d], *r) for d, *r in index.scan(texts_)]
                         ids, texts_, size = [], [], 0
                 out += [(ids[d], *r) for d, *r in index.scan(texts_)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "begins"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "begins"])
 
-        return texts.mapInPandas(search, FOUND)
+        return with_long(texts.mapInPandas(search, FOUND), "doc_id", "item_id")
 
-    return reduce(DataFrame.union, [scanned(b) for b in range(blocks)])
+    if blocks == 1:
+        return scanned(bench)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return reduce(DataFrame.union, [written(scanned(bench.filter(part == b)), "found") for b in range(blocks)])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,21 +157,21 @@ def train(docs: DataFrame, sample: int = 2400) -> dict | None:
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with text -> the same columns, then lang_pred and score."""
+    """docs with text -> the same columns, then lang_pred and score. Python sees the texts alone."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
 
-    def add(batches):
-        for pdf in batches:
-            got = [features(t) for t in pdf["text"]] if model else [None] * len(pdf)
-            lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            at = [i for i, f in enumerate(got) if f is not None]
-            if at:
-                names, s = predict(model, np.stack([got[i] for i in at]))
-                lang[at], score[at] = names, s
-            yield pdf.assign(lang_pred=lang, score=score)
-
-    return docs.mapInPandas(add, f"{docs.select('*')._jdf.schema().toDDL()}, lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        got = [features(t) for t in texts] if model else [None] * len(texts)
+        lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        at = [i for i, f in enumerate(got) if f is not None]
+        if at:
+            lang[at], score[at] = predict(model, np.stack([got[i] for i in at]))
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    udf = F.pandas_udf(predicted, "lang_pred string, score double").asNondeterministic()  # else a filter runs it twice
+    docs = docs.drop("lang_pred", "score")
+    rows = docs.select(F.struct("*").alias("doc"), udf(F.col("text").cast("string")).alias("found"))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], "found.lang_pred", "found.score")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

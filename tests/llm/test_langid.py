@@ -1,6 +1,10 @@
+import os
 import zlib
 
+import pytest
+
 from skyframe.llm import langid
+from skyframe.llm.common import table
 
 WORDS = {"en": "the and with which there house", "de": "der und nicht auch über häuser", "fr": "les des être où très maisons", "es": "los ñandú está con también casas", "sv": "och är inte också hus på"}
 
@@ -28,3 +32,22 @@ def test_nothing_learned(spark):
     assert langid.train(docs) is None
     assert langid.identify(docs, None).first()["lang_pred"] == "und"
     assert langid.identify(docs.limit(0), None).count() == 0
+
+
+def test_held_out_documents_of_the_tables(spark):
+    """Each step by itself: the family, and the language of those whose family is right."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs = table(spark, sf, "documents")
+    got = langid.identify(docs.filter(langid.held_out(docs.doc_id)), langid.train(docs)).filter("lang is not null and lang_pred <> 'und'").collect()
+    right = [langid.family(r["lang"]) == langid.family(r["lang_pred"]) for r in got]
+    within = [r["lang"] == r["lang_pred"] for r, ok in zip(got, right, strict=True) if ok]
+    assert len(got) > 150 and sum(right) / len(got) > 0.97 and sum(within) / len(within) > 0.97
+
+
+def test_large_ids_and_clashing_columns(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "the house", "en", "a"), (None, None, None, "b"), (big + 2, "das haus", "de", "c")], "doc_id long, text string, lang string, found string").coalesce(1)
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert [(r["doc_id"], r["found"]) for r in got] == [(big, "a"), (None, "b"), (big + 2, "c")]

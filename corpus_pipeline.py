@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from skyframe.llm import decontaminate, jaccard, langid, linededup, packing
 from skyframe.llm.common import table, written
 
-SMALL_ROWS = 2_000_000  # keys of 8 bytes are broadcast up to this, else both sides are shuffled
+SMALL_ROWS = 500_000  # keys of some 50 bytes are broadcast up to this, else both sides are shuffled
 SHINGLE, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, key: F.Column, keys: DataFrame) -> DataFrame:
-    """docs whose key is not in keys (distinct, one column)."""
-    keys = written(keys.toDF("__key"), "keys")
+def _without(docs: DataFrame, key: list[F.Column], keys: DataFrame) -> DataFrame:
+    """docs whose key columns are no row of keys (distinct)."""
+    names = [f"__key{i}" for i in range(len(key))]
+    keys = written(keys.toDF(*names), "keys")
     keys = F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
-    return docs.withColumn("__key", key).join(keys, "__key", "left_anti").drop("__key")
+    docs = docs.withColumns(dict(zip(names, key, strict=True)))
+    same = [docs[n].eqNullSafe(keys[n]) for n in names]
+    return docs.join(keys, same, "left_anti").drop(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,28 +43,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links (five words, similarity 0.8 or more) connect, the one with the smallest doc_id stays; of
-    rows that repeat both doc_id and text, one. Rows are told apart by a hash of both, so no copy of the texts is made."""
-    key = F.xxhash64("doc_id", "text")
-    groups = jaccard.join(docs.select(key.alias("doc_id"), "text"), SHINGLE, PERCENT)
-    groups = written(groups.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("rows")), "groups")
-    large = groups.groupBy("component_id").agg(F.sum("rows").alias("n")).filter("n > 1").select("component_id")
-    members = groups.join(large, "component_id").join(docs.select(key.alias("key"), "doc_id").distinct(), "key")
-    members = written(members, "members")
-    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("stays")).select(F.col("stays.key").alias("key"))
-    left = _without(docs, key, members.select("key").join(stays, "key", "left_anti").distinct())
-    again = members.filter("rows > 1").select("key").distinct()
+    rows that repeat both doc_id and text, one. A row is known by its doc_id and the digest of its text, so no copy of
+    the texts is made and no group meets in one task."""
+    own = ["doc_id", "text_md5"]
+    key = [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]
+    found = jaccard.groups(docs.select("doc_id", "text"), SHINGLE, PERCENT)
+    found = written(found.groupBy(*own, "component").agg(F.count("*").alias("rows")), "groups")
+    of_several = found.filter("component is not null")
+    stays = of_several.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), *own)).alias("stays")).select("stays.doc_id", "stays.text_md5")
+    goes = of_several.alias("f").join(stays.alias("s"), F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.text_md5") == F.col("s.text_md5")), "left_anti")
+    left = _without(docs, key, goes.select(*own).distinct())
+    again = found.filter("rows > 1").select(*own).distinct()
     if again.isEmpty():
         return left
     again = written(again, "again")
-    once = left.withColumn("__key", key).join(again.toDF("__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    named = left.withColumns({"__id": key[0], "__md5": key[1]}).alias("d")
+    once = named.join(again.alias("a"), F.col("d.__id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.__md5") == F.col("a.text_md5")), "left_semi").dropDuplicates(["__id", "__md5"])
     return _without(left, key, again).unionByName(once.select(*left.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    key = F.xxhash64("text")
+    """Documents that hold a benchmark passage go; they are known by the digest of their text."""
+    key = F.sha2("text", 256)
     found = decontaminate.find(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, key, found.select("doc_id").distinct())
+    return _without(docs, [key], found.select("doc_id").distinct())
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,12 +169,14 @@ class Index:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int = WINDOW, stride: int = STRIDE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> FOUND, a row for each document row and item in it."""
+    """docs (doc_id, a number or a string, and text), benchmark (item_id, text) -> FOUND, a row for each document row and
+    item in it."""
     small_batches(docs.sparkSession)
     bench = benchmark.filter("text is not null").select(id_text("item_id"), "text")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    texts = docs.select(id_text("doc_id"), "text")
+    named = dict(docs.dtypes)["doc_id"] == "string"
+    texts = docs.select(F.col("doc_id") if named else id_text("doc_id"), "text")
 
     def scanned(own: DataFrame) -> DataFrame:
         index = Index(sorted(((r[0], r[1]) for r in own.collect()), key=str), rate, window, stride)  # block_chars about
@@ -193,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int
                 out += [(ids[d], *r) for d, *r in index.scan(texts_)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "begins"])
 
-        return with_long(texts.mapInPandas(search, FOUND), "doc_id", "item_id")
+        return with_long(texts.mapInPandas(search, FOUND), "item_id", *(() if named else ("doc_id",)))
 
     if blocks == 1:
         return scanned(bench)

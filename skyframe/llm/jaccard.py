@@ -11,13 +11,16 @@ Set relations:
 - The rest is indexed by its prefix in the global order (rarest shingle first). An index list is parted into blocks by
   set size, overlapping so that each two sets that may link meet in a block; entries of a block whose position shows
   that they can't link with the smallest set of it are skipped, and so are blocks with fewer than two entries left.
-- Each block has a leader, the set with the fewest shingles of its own; the others are verified against it. A set that
-  links with its leader derives its answer from the leader's: it is of its component, and only blocks that hold
-  several components are looked at again, with the next leader. After `rounds` rounds, the pairs of different
-  components left in a block, within the bound by position, are verified one by one, which finishes exactly what any
-  number of leaders might leave.
+- Each block has a leader, the set with the fewest shingles of its own; the others' intersections with it are counted.
+  From these answers those of the other sets of the block are derived: a set that links with its leader is of its
+  component; and for any two sets, what each differs from the leader by bounds their intersection from both sides, so
+  that most pairs are known to link, or not to, without a look at their shingles. Only blocks that hold several
+  components are looked at again, with the next leader. After `rounds` rounds, the pairs of different components that
+  are left undecided are verified one by one, in parts of about PART sets by PART sets, so that a block of many sets is
+  no single task; this finishes exactly what any number of leaders might leave.
 
 No group's pairs are emitted whole, and nothing is collected: components are found by min-label propagation over tables.
+Copies meet their class by broadcast where the class is hot (HOT_SHARE bounds how many can be), else by shuffle.
 
 Edge cases: a null text, or one without words, has an empty set, links with nothing and is its own component; a text
 with fewer than k words has one shingle, the whole sequence; rows that repeat a doc_id are separate rows of that id; a
@@ -35,10 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.llm.common import small_batches, table, written
+from skyframe.llm.common import id_text, small_batches, table, with_long, written
 
 K, PERCENT = 3, 90
-SMALL_ROWS = 2_000_000  # a side of two longs is broadcast up to this
+SMALL_ROWS = 1_000_000  # text digests are broadcast up to this
+HOT_ROWS, HOT_SHARE = 5_000, 1000  # a class is hot from HOT_ROWS rows and a HOT_SHARE-th of all on
+PART = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -98,11 +103,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, and what else they have) that link."""
+def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, and what else they have) with the size of their sets' intersection, both."""
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
-    return two.filter(linked(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"), percent)).select(*pairs.columns)
+    return two.select(*pairs.columns, F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"))
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -144,32 +149,57 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return old.union(merged.join(labels, "v", "left_anti").select("v", "l"))
 
 
-def link(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _known(x: str, y: str, percent: int) -> tuple[Column, Column]:
+    """Whether two entries of a block are known to link, and known not to, by their answers with the block's leaders:
+    in a leader's shingles they share at least `a + b - leader`, at most the less of both; elsewhere at most the less of
+    what they have there."""
+    need = _needed(F.col(f"{x}n"), F.col(f"{y}n"), percent)
+    answers = F.arrays_zip(F.col(f"{x}met").alias("p"), F.col(f"{y}met").alias("q"))
+    least = F.aggregate(answers, F.lit(0).cast("long"), lambda m, z: F.greatest(m, z["p"]["both"] + z["q"]["both"] - z["p"]["n"]))
+    most = F.aggregate(answers, F.lit(1 << 60).cast("long"), lambda m, z: F.least(m, F.least(z["p"]["both"], z["q"]["both"]) + F.least(F.col(f"{x}n") - z["p"]["both"], F.col(f"{y}n") - z["q"]["both"])))
+    return least >= need, most < need
+
+
+def link(sets: DataFrame, percent: int, rounds: int = 3, part: int = PART) -> DataFrame:
     """sets (c, n, hashes) -> v, l: components of the sets that link with another one."""
     key = ["h", "block"]
-    entries = written(_open(_blocks(_prefixes(sets, percent), percent).withColumn("l", F.col("c"))), "blocks")
+    none = F.expr("cast(array() as array<struct<n:long,both:long>>)")
+    entries = written(_open(_blocks(_prefixes(sets, percent), percent).withColumns({"l": F.col("c"), "met": none})), "blocks")
     labels = None
     for turn in range(rounds + 1):
         if entries.isEmpty():
             break
         if turn < rounds:
-            lead = entries.groupBy(*key).agg(F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "pos", "l")).alias("lead"))
-            other = lead.select(*key, *[F.col(f"lead.{x}").alias(y) for x, y in (("c", "b"), ("n", "bn"), ("pos", "bpos"), ("l", "bl"))])
-            once = F.lit(True)
+            lead = entries.groupBy(*key).agg(F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "pos", "l", "met")).alias("lead"))
+            other = lead.select(*key, *[F.col(f"lead.{x}").alias(y) for x, y in (("c", "b"), ("n", "bn"), ("pos", "bpos"), ("l", "bl"), ("met", "bmet"))])
+            pairs = entries.join(other, key).filter("c <> b")
         else:
-            other = entries.select(*key, F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"))
-            once = F.col("c") < F.col("b")
-        pairs = entries.join(other, key).filter(once & (F.col("l") != F.col("bl")) & _may_link("", "b", percent)).select(F.col("c").alias("a"), "b", F.col("l").alias("la"), F.col("bl").alias("lb"))
-        found = written(_verified(written(pairs.distinct(), "pairs"), sets, percent), "links")
+            # every part of a block meets every part: a pair in the one place that its two parts name
+            parts = entries.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
+            cut = entries.join(parts, key).withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+            cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            cut = cut.select("*", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
+            other = cut.select(*key, "x", "y", F.col("own").alias("bown"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"), F.col("met").alias("bmet"))
+            pairs = cut.join(other, [*key, "x", "y"]).filter((F.col("c") < F.col("b")) & ((F.col("own") != F.col("bown")) | (F.col("x") == F.col("y"))))
+        linked_, unlinked = _known("", "b", percent)
+        pairs = pairs.withColumns({"sure": linked_, "never": unlinked})
+        wanted = pairs.filter((F.col("l") != F.col("bl")) & ~F.col("never") & _may_link("", "b", percent))
+        wanted = written(wanted.select(F.col("c").alias("a"), "b", F.col("n").alias("an"), "bn", F.col("l").alias("la"), F.col("bl").alias("lb"), "sure").distinct(), "pairs")
+        asked = wanted if turn < rounds else wanted.filter("not sure")
+        answers = written(_counted(asked.select("a", "b", "an", "bn", "la", "lb").distinct(), sets), "answers")
+        found = answers.filter(linked(F.col("both"), F.col("an"), F.col("bn"), percent)).select("la", "lb").union(wanted.filter("sure").select("la", "lb"))
         if not found.isEmpty():
             # only components that a link joins are looked at; the others keep their label
             merged = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
             labels = merged if labels is None else written(_relabelled(labels, merged), "labels")
         if turn == rounds:
             break
-        # the leaders have met their blocks; what derives its answer from one is in its component now
-        met = other.select(*key, F.col("b").alias("c"), F.lit(True).alias("met"))
-        left = entries.join(met, [*key, "c"], "left").filter("met is null").drop("met")
+        # the leaders have met their blocks: what derives its answer from one is in its component now, and the others
+        # keep their intersection with it; without one that was counted, they know nothing of it
+        seen = answers.select(F.col("a").alias("c"), "b", F.col("bn").cast("long").alias("ln"), "both").dropDuplicates(["c", "b"])
+        left = entries.join(other.select(*key, "b"), key).filter("c <> b").join(seen, ["c", "b"], "left")
+        known = F.struct(F.coalesce("ln", F.lit(None).cast("long")).alias("n"), F.col("both").alias("both"))
+        left = left.withColumn("met", F.concat("met", F.array(known))).select(*entries.columns)
         if labels is not None:
             left = left.drop("l").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("l", F.coalesce("l", "c"))
         entries = written(_open(left), "blocks")
@@ -178,11 +208,17 @@ def link(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+    return groups(docs, k, percent, rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text_md5, n_shingles, component_id and component: a number that is the
+    component's own, also where rows repeat a doc_id; null without words."""
     spark = docs.sparkSession
     small_batches(spark)
     share = 4 if percent >= 90 else 3  # of the shingles, a quarter or third is enough to set most documents apart
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("t", F.xxhash64("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(id_text("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("t"))
 
     def first(batches):
         shingles = Shingler(k)
@@ -192,11 +228,11 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -
                 h = shingles(text)
                 d = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                 out.append((doc_id, t, len(h), d[0], d[1], h[h % share == 0]))
-            yield pd.DataFrame(out, columns=["doc_id", "t", "n", "f1", "f2", "some"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "t", "n", "f1", "f2", "some"])
 
-    seen = written(rows.mapInPandas(first, "doc_id long, t long, n long, f1 long, f2 long, some array<long>"), "shingled")
+    seen = written(with_long(rows.mapInPandas(first, "doc_id string, t string, n long, f1 long, f2 long, some array<long>"), "doc_id"), "shingled")
     same = ["f1", "f2", "n"]
-    classes = seen.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("t").alias("t")).withColumn("c", F.monotonically_increasing_id())
+    classes = seen.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.count("*").alias("rows")).withColumn("c", F.monotonically_increasing_id())
     classes = written(classes, "classes")
     # a shingle stands in one set only if all documents that have it are of one class: no copies need to be set aside
     held = seen.select("f1", F.explode("some").alias("h")).groupBy("h").agg(F.min("f1").alias("f1"), F.max("f1").alias("other"))
@@ -217,16 +253,21 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -
                 out.append((len(h), d[0], d[1], h))
             yield pd.DataFrame(out, columns=["n", "f1", "f2", "hashes"])
 
-    # one text of each class: those of a class's least text hash
+    # one text of each class: those of a class's least text digest
     again = rows.join(texts, "t", "left_semi").dropDuplicates(["t"]).select("text").mapInPandas(second, "n long, f1 long, f2 long, hashes array<long>").dropDuplicates(same)
     sets = written(again.join(left.select("c", *same), same).select("c", "n", "hashes"), "sets")
     labels = link(sets, percent, rounds)
-    named = classes.select("c", *same, "least").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("l", F.coalesce("l", "c"))
+    named = classes.select("c", *same, "least", "rows").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("component", F.coalesce("l", "c"))
     named = written(named, "named")
-    roots = named.groupBy("l").agg(F.min("least").alias("component_id"))
-    by_class = named.join(roots, "l").select(*same, "component_id")
-    out = seen.select("doc_id", *same).join(by_class, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # most components are one class; the others' least ids are few
+    roots = named.filter("l is not null").groupBy("component").agg(F.min("least").alias("root"))
+    by_class = written(named.join(roots, "component", "left").select(*same, "rows", "component", F.coalesce("root", "least").alias("component_id")), "by-class")
+    hot = max(HOT_ROWS, seen.count() // HOT_SHARE)
+    base = seen.select("doc_id", "t", *same)
+    often = base.join(F.broadcast(by_class.filter(F.col("rows") >= hot).drop("rows")), same, "left")
+    rest = often.filter("component is null").select(*base.columns).join(by_class.filter(F.col("rows") < hot).drop("rows"), same, "left")
+    out = often.filter("component is not null").unionByName(rest)
+    return out.select("doc_id", F.col("t").alias("text_md5"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,5 +64,21 @@ def test_brute_force(spark, k, percent, rounds):
     assert len({c for _, _, c in got}) < len(docs) - 20
 
 
+def test_hot_classes_and_parts(spark, monkeypatch):
+    docs = corpus(5)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard.link, "__defaults__", (3, 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for rounds in (0, 2):
+        assert sorted((tuple(r) for r in jaccard.join(df, 3, 80, rounds).collect()), key=str) == brute(docs, 3, 80)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a b c d"), (None, "a b c d"), (big + 2, "e f g h"), (big + 4, "e f g h")], "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in jaccard.join(df).collect()), key=str)
+    assert got == sorted([(big, 2, big), (None, 2, big), (big + 2, 2, big + 2), (big + 4, 2, big + 2)], key=str)
+
+
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,31 +1,35 @@
 """Quality rules: base counts of a text, and a line labeller whose verdict decides retention.
 
 A linear-chain conditional random field with two labels (content, boilerplate) is trained by gradient ascent on the
-lines of a bounded sample of labelled documents; a document's quality label is the (weak) label of its lines. Viterbi
-decoding labels the lines of every whole text; a document is kept if at least `share` of its words stand in content
-lines and the base rules did not fail it.
-
-Bounds of the training sample: `per_class` documents of each quality (those with the smallest hash of doc_id) and the
-first `max_lines` lines of each. Decoding has no bounds.
-
-Edge cases: a null or empty text has no words, so the base rules fail it; without both qualities among the labels the
-model is neutral and the base rules alone decide; rows with the same doc_id are separate rows; an empty table gives no
-rows; other columns are ignored.
+lines of a bounded sample of labelled documents. Lines get weak labels of their own, so that a sequence holds both: in a
+good document all is content but lines that recur elsewhere between other lines, that the document repeats, or that look
+like links, menus or junk; in a bad document all is boilerplate but plain prose. Viterbi decoding labels the lines of
+every whole text; a document is kept if at least `share` of its words stand in content lines and the base rules did not
+fail it.
+
+Bound of the training sample: `per_class` documents of each quality (those with the smallest hash of doc_id), with all
+their lines, in sequences of SEQUENCE lines. Decoding has no bounds.
+
+Edge cases: a null or empty text has no words, so the base rules fail it; without both kinds of lines the model is
+neutral and the base rules alone decide; rows with the same doc_id are separate rows; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import small_batches, table
+from skyframe.llm.common import id_text, small_batches, table, with_long
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-N_FEATURES = 14
-COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
+N_FEATURES = 16
+SEQUENCE = 64
+COLUMNS = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 _CLASS = None
 
 
@@ -60,15 +64,16 @@ def repeated(codes: np.ndarray, distinct: int) -> int:
     return int(mark.sum())
 
 
-def describe(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray]:
-    """The base counts; for each line with a word, its words; and its features."""
+def describe(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """The base counts; for each line with a word, its words, its features and its number among the text's different lines."""
     text = text or ""
     kind = classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     lines = text.split("\n")
     ids: dict[bytes, int] = {}
     codes: list[int] = []
     seen: dict[str, int] = {}
-    rows, size, uniq, dups, at = [], [], [], [], 0
+    rows, size, uniq, dups, which, at = [], [], [], [], [], 0
+    order: dict[str, int] = {}
     starts = []
     for line in lines:
         words = line.encode("utf-8", "surrogatepass").split()
@@ -82,11 +87,12 @@ def describe(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarr
             size.append(len(words))
             uniq.append(len(set(own)))
             dups.append(k)
+            which.append(order.setdefault(line, len(order)))
         at += len(line) + 1
     n = len(codes)
     base = (n, len(kind) - int((kind == 6).sum()), int((kind == 4).sum()), sum(k > 0 for k in dups), repeated(np.array(codes), max(1, len(ids))))
     if not n:
-        return base, np.zeros(0), np.zeros((0, N_FEATURES))
+        return base, np.zeros(0), np.zeros((0, N_FEATURES)), np.zeros(0, np.int64)
     size = np.array(size, float)
     cuts = np.array([x for p in zip(starts, rows, strict=True) for x in p])
     pad = np.append(kind, 0)
@@ -94,24 +100,45 @@ def describe(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarr
     chars = np.array(rows) - np.array(starts)
     share = count / np.maximum(chars, 1)[:, None]
     uniq = np.array(uniq) / size
-    dups = np.array(dups)
+    which = np.array(which)
+    copies = np.bincount(which)[which] - 1
+    end = np.arange(len(size))
     last = kind[np.array(rows) - 1]
-    feats = np.stack([np.ones(len(size)), share[:, 0], 2 * share[:, 1], 4 * share[:, 2], 10 * share[:, 3], 4 * share[:, 4], np.minimum(count[:, 3] / size, 2), np.minimum(count[:, 4] / size, 3), (last == 5) * 1.0, uniq, (uniq < 0.4) * 1.0, np.minimum(dups, 3) / 3, np.minimum(size, 60) / 30, np.minimum(chars / size, 30) / 10], 1)
-    return base, size, feats
+    feats = np.stack([np.ones(len(size)), share[:, 0], 2 * share[:, 1], 4 * share[:, 2], 10 * share[:, 3], 4 * share[:, 4], np.minimum(count[:, 3] / size, 2), np.minimum(count[:, 4] / size, 3), (last == 5) * 1.0, uniq, (uniq < 0.4) * 1.0, np.minimum(copies, 3) / 3, np.minimum(size, 60) / 30, np.minimum(chars / size, 30) / 10, (end == 0) * 1.0, (end == len(size) - 1) * 1.0], 1)
+    return base, size, feats, which
+
+
+def weak_labels(docs: list[tuple[int, np.ndarray, list[int]]]) -> list[np.ndarray]:
+    """docs: quality, features and keys (equal for equal lines) of the lines. 1 where a line counts as content."""
+    around: dict[int, set] = {}
+    for _, x, keys in docs:
+        for i, k in enumerate(keys):
+            around.setdefault(k, set()).add((keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None))
+    # copies of a document have a line between the same others; boilerplate stands between different ones on both sides
+    often = {k for k, pairs in around.items() if min(len({a for a, _ in pairs}), len({b for _, b in pairs})) >= 3}
+    out = []
+    for quality, x, keys in docs:
+        words, signs = 30 * x[:, 12], x[:, 6]
+        again = np.array([k in often for k in keys], bool) | (x[:, 11] > 0)
+        junk = (signs > 0.2) | (x[:, 2] > 1.2) | (x[:, 9] < 0.4) | (words <= 4) & (x[:, 8] == 0)
+        prose = (words >= 5) & (x[:, 8] == 1) & (signs < 0.05) & (x[:, 2] < 0.6) & (x[:, 9] >= 0.5)
+        out.append(~again & (~junk if quality == 1 else prose))
+    return out
 
 
-def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """docs: features of the lines, label (1 content). Returns emission weights (score of content) and transitions[from, to]."""
+def fit_crf(docs: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """docs: features of the lines, their labels (1 content). Returns emission weights (score of content) and
+    transitions[from, to]."""
     w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
-    docs = [d for d in docs if len(d[0])]
-    if len({y for _, y in docs}) < 2:
+    docs = [(x[i : i + SEQUENCE], y[i : i + SEQUENCE]) for x, y in docs for i in range(0, len(x), SEQUENCE)]
+    if len({int(v) for _, y in docs for v in np.unique(y)}) < 2:
         return w, t
     n, longest = len(docs), max(len(x) for x, _ in docs)
-    x, on, y = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), bool), np.array([d[1] for d in docs])
-    for i, (f, _) in enumerate(docs):
-        x[i, : len(f)], on[i, : len(f)] = f, True
-    heavy = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # either quality counts as much
-    heavy /= np.maximum(on.sum(1), 1)
+    x, on, y = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), bool), np.zeros((n, longest))
+    for i, (f, label) in enumerate(docs):
+        x[i, : len(f)], on[i, : len(f)], y[i, : len(f)] = f, True, label
+    main = y.sum(1) * 2 >= on.sum(1)  # either kind of sequence counts as much
+    heavy = np.where(main, 0.5 / max(1, main.sum()), 0.5 / max(1, (~main).sum())) / on.sum(1)
     vw, vt = np.zeros_like(w), np.zeros_like(t)
     for _ in range(steps):
         e = np.zeros((n, longest, 2))
@@ -127,12 +154,12 @@ def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = 200, rate: float =
             bwd[:, k] = np.where(on[:, k + 1, None], step, 0)
         total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd + bwd - total[:, None, None])[..., 1] * on
-        gw = np.einsum("n,nl,nlf->f", heavy, (y[:, None] * on) - p, x) - ridge * w
+        gw = np.einsum("n,nl,nlf->f", heavy, y - p, x) - ridge * w
         gt = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
                 q = np.exp(fwd[:, :-1, a] + t[a, b] + e[:, 1:, b] + bwd[:, 1:, b] - total[:, None]) * on[:, 1:]
-                gt[a, b] = (heavy[:, None] * ((y == a) & (y == b))[:, None] * on[:, 1:]).sum() - (heavy[:, None] * q).sum()
+                gt[a, b] = (heavy[:, None] * ((y[:, :-1] == a) & (y[:, 1:] == b) & on[:, 1:])).sum() - (heavy[:, None] * q).sum()
         gt -= ridge * t
         vw, vt = 0.9 * vw + gw, 0.9 * vt + gt
         w, t = w + rate * vw, t + rate * vt
@@ -163,7 +190,7 @@ def viterbi(emission: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200, max_lines: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200) -> tuple[np.ndarray, np.ndarray]:
     spark = documents.sparkSession
     small_batches(spark)
     labels = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").withColumn("h", F.xxhash64("doc_id"))
@@ -172,12 +199,19 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200, max_li
 
     def feats(batches):
         for pdf in batches:
-            got = [describe(t)[2][:max_lines] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [g.astype(np.float32).tobytes() for g in got]})
-
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInPandas(feats, "doc_id long, quality int, x binary").collect()
+            out = []
+            for doc_id, quality, text in zip(pdf["doc_id"], pdf["quality"], pdf["text"], strict=True):
+                text = text if isinstance(text, str) else ""
+                _, _, x, which = describe(text)
+                lines = list(dict.fromkeys(t for t in text.split("\n") if t.strip(SPACES)))
+                keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in lines]
+                out.append((doc_id, quality, x.astype(np.float32).tobytes(), [keys[i] for i in which]))
+            yield pd.DataFrame(out, columns=["doc_id", "quality", "x", "keys"])
+
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(id_text("doc_id"), "quality", "text").mapInPandas(feats, "doc_id string, quality int, x binary, keys array<long>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
-    return fit_crf([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES).astype(float), int(r["quality"])) for r in rows])
+    docs = [(int(r["quality"]), np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES).astype(float), r["keys"]) for r in rows]
+    return fit_crf([(x, y) for (_, x, _), y in zip(docs, weak_labels(docs), strict=True)])
 
 
 def judge(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float = 0.5) -> DataFrame:
@@ -190,14 +224,14 @@ def judge(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], share: flo
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                base, size, x = describe(text if isinstance(text, str) else None)
+                base, size, x, _ = describe(text if isinstance(text, str) else None)
                 n, *_, again = base
                 failed = n < 50 or 100 * again > 50 * n
                 content = float((size * viterbi(x @ w, t)).sum() / n) if n and not neutral else float(n > 0)
                 out.append((doc_id, *base, failed, not failed and content >= share, content))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return documents.select("doc_id", "text").mapInPandas(rules, COLUMNS)
+    return with_long(documents.select(id_text("doc_id"), "text").mapInPandas(rules, COLUMNS), "doc_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 import itertools
+import os
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from skyframe.llm import quality
+from skyframe.llm.common import table
 
 TEXTS = [None, "", " \n ", "a b c a b c", "a b c d\na b c d\n\nx y", "é b c  # $ <>", "one two three " * 30, "x\x1cy z", "word " * 60, "\n".join(f"Line number {i} says something new {i * 7}." for i in range(40))]
 
@@ -44,6 +49,54 @@ def test_learned_verdict(spark):
     assert all((got[i]["content_share"] > 0.5) == (i < len(good)) for i in got)
 
 
+def plain(rng, n):
+    return (" ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(n)) + ".").capitalize()
+
+
+def test_boilerplate_in_good_documents(spark):
+    """Menus, links and recurring lines between prose get their own label, and prose between them keeps its."""
+    rng = random.Random(3)
+    menus = ["Home | News | Sport | Contact | Login", "Share", "Read more", ">>> next <<< prev", "* * * * *"]
+
+    def doc():
+        lines = [(plain(rng, rng.randint(8, 30)), 1) for _ in range(rng.randint(4, 9))]
+        for m in rng.sample(menus, 3):
+            lines.insert(rng.randint(0, len(lines)), (m, 0))
+        return lines
+
+    good = [doc() for _ in range(60)]
+    bad = [[("BUY### NOW*** %%% $$$ CHEAP!!" + "|" * i, 0) for i in range(1, 9)] for _ in range(30)]
+    docs = spark.createDataFrame([(i, "\n".join(t for t, _ in x)) for i, x in enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(90) if i % 4], "doc_id long, quality int")
+    w, t = quality.train(docs, labels)
+    right = total = 0
+    for i in range(0, 60, 4):  # held out
+        got = quality.viterbi(quality.describe("\n".join(x for x, _ in good[i]))[2] @ w, t)
+        right += sum(int(a) == b for a, (_, b) in zip(got, good[i], strict=True))
+        total += len(got)
+    assert right / total > 0.97
+
+
+def test_held_out_quarter_of_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.train(docs, labels.filter(~out))
+    held = labels.filter(out).select("doc_id", "quality")
+    got = quality.judge(docs.join(held, "doc_id"), model).filter("not base_failed").join(held, "doc_id").collect()
+    good, bad = [r for r in got if r["quality"] == 1], [r for r in got if r["quality"] == 0]
+    assert len(good) > 500 and len(bad) > 30
+    assert sum(r["kept"] for r in good) / len(good) > 0.97 and sum(not r["kept"] for r in bad) / len(bad) > 0.9
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a"), (None, "b"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in quality.judge(docs, (np.zeros(quality.N_FEATURES), np.zeros((2, 2)))).collect()] == [big, None, big + 2]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert quality.judge(empty, quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0

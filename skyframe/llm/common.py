@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,35 @@ def id_text(name: str) -> Column:
 def with_long(df: DataFrame, *names: str) -> DataFrame:
     """Ids that are text back to numbers."""
     return df.select(*[F.col(c).cast("long").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, chunk: int = 256) -> Column:
+    """What step(state, item) -> state, array of `kind` emits over an array, state by state. Emissions are gathered chunk
+    by chunk: an accumulator is copied at each step, so it holds no more than a chunk."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, new = step(acc["s"], item)
+        return F.struct(state.alias("s"), F.concat(acc["out"], new).alias("out"))
+
+    def over(whole: Column) -> Column:
+        begin = F.struct(start.alias("s"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("all"))
+
+        def part(acc: Column, at: Column) -> Column:
+            places = upto(at, F.least(at + chunk, F.size(whole)))
+            more = lambda a: F.struct(a["s"].alias("s"), F.concat(acc["all"], F.array(a["out"])).alias("all"))
+            return F.aggregate(places, F.struct(acc["s"].alias("s"), none.alias("out")), lambda a, i: one(a, F.get(whole, i)), more)
+
+        return F.aggregate(upto(F.lit(0), F.size(whole), chunk), begin, part, lambda acc: F.flatten(acc["all"]))
+
+    return bound(items, over)
+
+
+def upto(begin: Column, end: Column, step: int = 1) -> Column:
+    """begin, begin + step ... below end."""
+    return F.when(begin < end, F.sequence(begin, end - 1, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), for which value is made once; as a plain column it might be made anew for each item of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

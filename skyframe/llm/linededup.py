@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import table, written
+from skyframe.llm.common import bound, table, upto, written
 
 MIN_CONSTANT = 3
 SMALL_ROWS = 2_000_000  # keys of 8 bytes are broadcast up to this, else both sides are shuffled
@@ -102,9 +102,14 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, copy_share: float = 0.5, near
     gone = _met(found.drop("docs"), boilerplate, "key", hot).groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     out = keyed.select("row", "doc").join(gone, "row", "left").withColumn("split", F.split("doc.text", "\n", -1))
     split = F.col("split")
-    # what stands between two dropped lines is kept as a slice: linear in the lines
+    # the lines between two dropped ones, place by place: linear in the lines
     ends = F.concat("gone", F.array(F.size(split)))
-    left = F.flatten(F.transform(ends, lambda g, k: F.slice(split, F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 2, g - F.coalesce(F.get(ends, k - 1), F.lit(-1)) - 1)))
+
+    def lines_between(z: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(z["ends"], k - 1), F.lit(-1)) + 1
+        return F.flatten(F.transform(z["ends"], lambda g, k: F.transform(upto(after(k), g), lambda i: F.get(z["split"], i))))
+
+    left = bound(F.struct(split.alias("split"), ends.alias("ends")), lines_between)
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     dedup = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return out.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns], dedup.alias("dedup"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import ascii_lower, table
+from skyframe.llm.common import ascii_lower, running, table
 
 #: Fixed by the contract: phrase and label.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -159,17 +159,23 @@ def words_of(text: Column) -> Column:
     return F.when(body == "", "").otherwise(F.concat(F.lit(" "), body, F.lit(" ")))
 
 
+def _spaces(c: Column) -> Column:
+    return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("int")
+
+
+SPAN = "struct<b:int,e:int>"
+
+
 def spans(words: Column, pattern: Column) -> Column:
-    """Places of a pattern that stand between spaces: array of struct (b, e), characters from 0."""
+    """Places of a pattern that stand between spaces: array of struct (b, e), its first word and the word after it."""
     marked = F.split(F.regexp_replace(words, F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )")), F.lit("\x01$1\x02")), "\x01")
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<b:int,e:int>>)").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        n = F.instr(piece, "\x02")
-        found = F.when(n > 0, F.array(F.struct(acc["at"].alias("b"), (acc["at"] + n - 1).cast("int").alias("e")))).otherwise(F.expr("cast(array() as array<struct<b:int,e:int>>)"))
-        return F.struct((acc["at"] + F.length(piece) - F.when(n > 0, 1).otherwise(0)).cast("int").alias("at"), F.concat(acc["out"], found).alias("out"))
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        end = at["n"] + _spaces(F.call_function("substring_index", piece, F.lit("\x02"), F.lit(1)))
+        found = F.when(F.contains(piece, F.lit("\x02")), F.array(F.struct((at["n"] - 1).alias("b"), end.alias("e"))))
+        return F.struct((at["n"] + _spaces(piece)).alias("n")), F.coalesce(found, F.expr(f"cast(array() as array<{SPAN}>)"))
 
-    return F.aggregate(marked, start, step, lambda acc: acc["out"])
+    return running(marked, F.struct(F.lit(0).alias("n")), step, SPAN)
 
 
 HIT = "struct<b:int,neg_e:int,priority:int,label:string,confidence:double>"
@@ -181,16 +187,16 @@ def detections(words: Column, table_: list | None = None) -> Column:
     lit = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(pr).alias("priority"), F.lit(label).alias("label"), F.lit(float(c)).alias("confidence")) for label, k, p, pr, c in table_])
     tried = F.filter(lit, lambda r: F.contains(words, r["key"]))
     hits = F.array_sort(F.flatten(F.transform(tried, lambda r: F.transform(spans(words, r["pattern"]), lambda s: F.struct(s["b"].alias("b"), (-s["e"]).alias("neg_e"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))))
-    ends = [f"m{k}" for k in range(4)]
-    start = F.struct(*[F.lit(-1).alias(m) for m in ends], F.expr(f"cast(array() as array<{HIT}>)").alias("out"))
+    ends = [f"m{k}" for k in range(4)]  # the furthest end so far, for each priority
 
-    def step(acc: Column, h: Column) -> Column:
+    def step(acc: Column, h: Column) -> tuple[Column, Column]:
         inside = F.lit(False)
         for k, m in enumerate(ends):
             inside = inside | ((h["priority"] >= k) & (acc[m] >= -h["neg_e"]))
-        return F.struct(*[F.when(h["priority"] == k, F.greatest(acc[m], -h["neg_e"])).otherwise(acc[m]).alias(m) for k, m in enumerate(ends)], F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(h))).alias("out"))
+        state = F.struct(*[F.when(h["priority"] == k, F.greatest(acc[m], -h["neg_e"])).otherwise(acc[m]).alias(m) for k, m in enumerate(ends)])
+        return state, F.when(~inside, F.array(h)).otherwise(F.expr(f"cast(array() as array<{HIT}>)"))
 
-    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+    return running(hits, F.struct(*[F.lit(-1).alias(m) for m in ends]), step, HIT)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -198,20 +204,19 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     table_ = rules()
     gate = may_match(F.lower("words"))
     df = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    df = df.select("doc_id", F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), F.when(gate, ascii_lower(F.col("words"))).alias("words"))
-    none = F.expr("cast(array() as array<struct<b:int,e:int>>)")
+    df = df.select("doc_id", F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) - 1).cast("long").alias("n_words"), F.when(gate, ascii_lower(F.col("words"))).alias("words"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     df = df.select("*", *[F.when(F.contains("words", F.lit(f" {p} ")), spans(F.col("words"), F.lit(p))).otherwise(none).alias(f"base{k}") for k, (p, _) in enumerate(BASE)], F.when(F.col("words").isNotNull(), detections(F.col("words"), table_)).otherwise(F.expr(f"cast(array() as array<{HIT}>)")).alias("found"))
     places = F.concat(*[F.transform(f"base{k}", lambda s: s["b"]) for k in range(len(BASE))])
-    word_at = lambda at: F.regexp_count(F.substring("words", F.lit(1), at), F.lit(" ")).cast("long") - 1
     base = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, label) for k, (_, label) in enumerate(BASE)]))
     df = df.withColumns({"places": places, "base": base})
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda h: h["label"]))))
     return df.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
-        F.when(F.size("places") > 0, word_at(F.array_min("places"))).alias("first_word"), F.when(F.size("places") > 0, word_at(F.array_max("places"))).alias("last_word"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda h: h["confidence"])), F.lit(0.0)).alias("score"),
-        F.transform("found", lambda h: F.struct(h["label"].alias("label"), h["priority"].alias("priority"), word_at(h["b"]).alias("first_word"), word_at(-h["neg_e"]).alias("last_word"))).alias("hits"),
+        F.transform("found", lambda h: F.struct(h["label"].alias("label"), h["priority"].alias("priority"), h["b"].cast("long").alias("first_word"), (-h["neg_e"] - 1).cast("long").alias("last_word"))).alias("hits"),
     )
 
 

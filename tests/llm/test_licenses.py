@@ -1,3 +1,4 @@
+import random
 import re
 
 from skyframe.llm import licenses
@@ -11,6 +12,12 @@ TEXTS = [
 ]
 
 
+def brute_base(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    at = [i for p, _ in licenses.BASE for i in range(len(w)) if w[i] == p.split()[0] and w[i : i + len(p.split())] == p.split()]
+    return len(w), len(at), min(at), max(at)
+
+
 def brute(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     at = [(i, label) for p, label in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
@@ -47,3 +54,15 @@ def test_no_rule_is_kept_from_a_text(spark):
     for i, t in enumerate(texts):
         assert got[i] == brute(t), t
     assert [got[i][5] for i in range(6)] == ["mit", "epl-1.0", "busl-1.1", "bittorrent-1.1", "lgpl", "w3c"]
+
+
+def test_very_long_text(spark):
+    """Twenty thousand detections in one text."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["released under the MIT license", "all rights reserved", "cc by", "w3c software license", "it is free to use", "the gnu gpl v3"]) + " x" * rng.randint(1, 9) for _ in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = licenses.scan_licenses(docs).first()
+    assert tuple(row)[1:5] == brute_base(text) and len(row["hits"]) >= 20_000
+    w = text.lower().split()
+    assert all(w[h["first_word"]] in "released all cc w3c is the gnu".split() for h in row["hits"][::97])
+    assert {"mit", "reserved", "cc-by", "w3c", "gpl-3.0"} <= set(row["labels"].split(","))

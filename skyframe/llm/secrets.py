@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import table
+from skyframe.llm.common import bound, running, table, upto
 
 FINDINGS = 6000
 NAMES = r"(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth_key|private_key|client_secret)"
@@ -40,10 +40,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("text").rlike(f"[{OPEN}{SHUT}]"), F.translate("text", OPEN + SHUT, "  ")).otherwise(F.col("text"))
     pieces = F.when(text.rlike("[0-9]|-----BEGIN|eyJ|(?i:" + NAMES + ")"), F.split(F.regexp_replace(text, f"({token})", f"{OPEN}$1{SHUT}"), OPEN, -1))
     df = docs.select("doc_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), pieces.alias("p")).filter(F.size("p") > 1)
-    ends = F.aggregate("p", F.expr("cast(array(0) as array<int>)"), lambda a, x: F.concat(a, F.array((F.element_at(a, -1) + F.length(x) - F.contains(x, F.lit(SHUT)).cast("int")).cast("int"))))
-    df = df.withColumn("ends", ends)
+    after = lambda n, x: (n + F.length(x) - F.contains(x, F.lit(SHUT)).cast("int")).cast("int")
+    ends = running(F.col("p"), F.struct(F.lit(0).alias("n")), lambda s, x: (F.struct(after(s["n"], x).alias("n")), F.array(s["n"])), "int")
     part = lambda x, k: F.call_function("substring_index", x, F.lit(SHUT), F.lit(k))
-    each = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("ends", i).alias("begins"), part(F.get("p", i), 1).alias("candidate"), F.right(part(F.get("p", i - 1), -1), F.lit(40)).alias("before"), F.left(part(F.get("p", i), -1), F.lit(20)).alias("after")))
+
+    def found(z: Column) -> Column:
+        own = lambda i: F.struct(F.get(z["ends"], i).alias("begins"), part(F.get(z["p"], i), 1).alias("candidate"), F.right(part(F.get(z["p"], i - 1), -1), F.lit(40)).alias("before"), F.left(part(F.get(z["p"], i), -1), F.lit(20)).alias("after"))
+        return F.transform(upto(F.lit(1), F.size(z["p"])), own)
+
+    each = bound(F.struct("p", ends.alias("ends")), found)
     return df.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*")
 
 

@@ -1,9 +1,11 @@
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyframe.llm import secrets
+from skyframe.llm.common import table
 
 KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 TEXTS = [
@@ -54,3 +56,25 @@ def test_verdicts(spark, model):
     got = {(r["doc_id"], r["begins"]): r["kept"] for r in secrets.verdicts(secrets.candidates(docs), model).collect()}
     assert got[0, 15] and got[4, 25] and not got[5, 5] and not got[6, 7]
     assert secrets.verdicts(secrets.candidates(docs.limit(0)), model).count() == 0
+
+
+def test_very_long_text(spark):
+    """A hundred thousand candidates in one text, at their places."""
+    text = " ".join(f"word {i} AKIA{i:012d}AB9Z" for i in range(100_000))
+    docs = spark.createDataFrame([(1, "p", text)], "doc_id long, path string, text string")
+    got = secrets.candidates(docs).select("begins", "candidate").collect()
+    assert len(got) == 100_000 and all(text[r["begins"] : r["begins"] + len(r["candidate"])] == r["candidate"] for r in got)
+
+
+def test_planted_findings_of_the_tables(spark, model):
+    """Keys that the tables hold after `token =`, and their card numbers, which are no secrets."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("path"), "text")
+    planted = {(r["doc_id"], m.start(1), len(m[1])) for r in docs.filter("lower(text) like '%token = %'").collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"], re.I)}
+    got = secrets.verdicts(secrets.candidates(docs), model).select("doc_id", "begins", F.length("candidate").alias("n"), "kept", F.col("candidate").rlike("^[0-9]{16}$").alias("card")).collect()
+    kept = {(r["doc_id"], r["begins"], r["n"]) for r in got if r["kept"]}
+    assert len(planted) > 100 and len(planted & kept) / len(planted) > 0.98 and len(kept & planted) / len(kept) > 0.98
+    cards = [r["kept"] for r in got if r["card"]]
+    assert len(cards) > 100 and sum(cards) / len(cards) < 0.02

@@ -1,14 +1,19 @@
 """HTML extraction by site templates.
 
-Pass 1 reads each page once into its text blocks and the hashes of its element subtrees, and writes both to the shared
-folder. Spark counts on how many pages of a host each subtree is found; pages with the same article text (copies of one
-article; without such text, the same title) count once. Pass 2 deletes every subtree that recurs on `min_pages` pages of the host. Elements whose name,
-role or class says what they are (navigation, forms, adverts, comments ...) go even where they don't recur, and
-paragraphs and headings of an article stay even where they do.
+Pass 1 reads each page once into its text blocks and the hashes of its element subtrees (a subtree's hash is that of its
+tag and of the hashes of what is in it), and writes both to the shared folder. Spark counts on how many pages of a host
+each subtree is found; pages with the same article text (copies of one article; without such text, the same title) count
+once. Pass 2 deletes every subtree that recurs on `min_pages` pages of the host; paragraphs, headings and the like within
+an article, and articles, only if pages of so many different titles hold them, and `safe_share` of the host's titles. Pages that hold no such subtree are
+found by a bitmap of fixed size and skip the join.
+
+Elements whose tag or role says what they are (navigation, forms, scripts ...) go even where they don't recur. Those with
+a class or id that says so (NAMED) go unless they hold an article or main part or, on a page without these, half of the
+text; of an article or main element its own class decides nothing but that it is a comment.
 
 Blocks: block-level elements part the text; white space in a block, line breaks included, becomes one space; blocks are
-joined by one newline. With an article or main element outside the dropped ones, only its text is the page's; else that
-of the body. Character references are decoded. Damaged markup is read as browsers would: missing end tags are implied,
+joined by one newline. If the article and main elements hold a tenth of the text, only theirs is the page's; else that of
+the body. Character references are decoded. Damaged markup is read as browsers would: missing end tags are implied,
 stray ones are ignored, what is in scripts, styles and comments is not markup.
 
 Edge cases: a null or empty html, or a page without text, gives an empty text; a null or odd url has the host ''; rows
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import small_batches, table, written
+from skyframe.llm.common import id_text, small_batches, table, with_long, written
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -36,11 +41,15 @@ CLOSES_P = BLOCK - set("html body head title script style template noscript".spl
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that name something else than the article.
 NAMED = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager search skip copyright legal disclaimer".split())
+#: Of these, those that even half of the text doesn't save.
+COMMENTS = set("comment comments commentlist disqus respond reply replies".split())
+NOT_NAMED = set("no not has had with without is".split())  # a class that begins so says what the page has, not the element
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)""", re.I)
-PAGE = "row long, page_id long, url string, host string, identity long, blocks array<string>, keep array<boolean>, hashes array<long>, begins array<int>, ends array<int>, safe array<boolean>"
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+PAGE = "row long, page_id string, url string, host string, identity long, title long, blocks array<string>, keep array<boolean>, hashes array<long>, begins array<int>, ends array<int>, safe array<boolean>"
+SLOTS = 1 << 19
 
 
 def _signed(data: str) -> int:
@@ -48,49 +57,75 @@ def _signed(data: str) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def unwanted(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped by its name or attributes; whether it is a main part."""
+def named(value: str) -> set[str]:
+    """The words of NAMED in a class or id."""
+    out = set()
+    for token in value.split():
+        words = re.split(r"[^a-z]+", token)
+        if words[0] not in NOT_NAMED:
+            out |= NAMED & set(words)
+    return out
+
+
+def unwanted(tag: str, attrs: str, in_main: bool) -> tuple[bool, int, bool]:
+    """Whether an element is dropped by its tag, role or style; whether its names say so too (1, or 2 if they say that it
+    is a comment); whether it is a main part."""
     main = tag in ("article", "main")
     if tag in DROPPED or tag == "header" and not in_main:
-        return True, False
+        return True, 0, False
+    words: set[str] = set()
     for m in ATTR.finditer(attrs) if attrs else ():
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key = m[1].lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         if key == "role":
             if value in ROLES:
-                return True, False
+                return True, 0, False
             main |= value == "main"
         elif key in ("class", "id"):
-            if tag not in ("html", "body") and NAMED & set(re.split(r"[^a-z]+", value)):
-                return True, False
+            if main and {"comment", "comment-body", "reply"} & set(value.split()):
+                return True, 0, False
+            words |= named(value)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True, False
-    return False, main
+            return True, 0, False
+    if main or tag in ("html", "body") or not words:
+        return False, 0, main
+    return False, 2 if words & COMMENTS else 1, False
 
 
 def read(html: str) -> tuple[str, list[str], list[bool], list[tuple[int, int, int, bool]]]:
     """Title; blocks; whether each is the article's so far; elements: hash, first block, block after the last, safe."""
     blocks: list[str] = []
-    state: list[tuple[bool, bool]] = []  # for each block: dropped, in a main part
+    state: list[tuple[bool, bool, int]] = []  # for each block: dropped, in a main part, innermost element of unwanted name
     elements: list[tuple[int, int, int, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, dropped, in a main part, first block
+    stack: list[tuple[str, bool, bool, int, int, list]] = [("", False, False, 0, -1, [])]  # tag, the same three, first block, parts
     buffer: list[str] = []
-    title, at, any_main = "", 0, False
+    soft: list[list] = []  # elements of unwanted name: the one around it, strength, whether it holds a main part, characters
+    title, at = "", 0
 
     def flush() -> None:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
+                top = stack[-1]
                 blocks.append(text)
-                state.append(stack[-1][1:3])
+                state.append((top[1], top[2], top[4]))
+                top[5].append(text)
 
     def pop() -> None:
-        tag, dropped, in_main, first = stack[-1]
+        tag, _, in_main, first, _, parts = stack[-1]
         if tag in BLOCK:
             flush()
+            stack.pop()
             if first < len(blocks) and tag not in ("html", "body"):
-                elements.append((_signed(tag + "\x00" + "\n".join(blocks[first:])), first, len(blocks), in_main and tag in TEXTUAL or tag in ("article", "main")))
-        stack.pop()
+                h = _signed(tag + "\x00" + "\x00".join(parts))
+                elements.append((h, first, len(blocks), in_main and tag in TEXTUAL or tag in ("article", "main")))
+                parts = [f"\x01{h}"]
+        else:
+            stack.pop()
+        stack[-1][5].extend(parts)
 
     def close(tags: set[str], stop: set[str]) -> None:
         """Ends the nearest open element of tags, unless one of stop stands above it."""
@@ -139,24 +174,45 @@ def read(html: str) -> tuple[str, list[str], list[bool], list[tuple[int, int, in
             flush()
         elif tag in ("td", "th"):
             buffer.append(" ")
-        _, dropped, in_main, _ = stack[-1]
-        bad, main = (True, False) if dropped else unwanted(tag, m[3], in_main)
+        _, dropped, in_main, _, around, _ = stack[-1]
+        bad, doubt, main = (True, 0, False) if dropped else unwanted(tag, m[3], in_main)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             if tag == "title" and not title:
                 title = " ".join(unescape(html[at : end.start() if end else n]).split())
             at = end.end() if end else n
             continue
-        if bad and tag not in BLOCK and not dropped:
+        if (bad or doubt) and tag not in BLOCK and not dropped:
             flush()  # what stands around it isn't part of it
-        any_main |= main
-        stack.append((tag, dropped or bad, in_main or main, len(blocks)))
-        if len(stack) > 400:  # absurd nesting
-            pop()
+        if main:
+            k = around
+            while k >= 0:
+                soft[k][2] |= tag == "main" or soft[k][1] < 2  # comments may be articles themselves
+                k = soft[k][0]
+        if doubt:
+            soft.append([around, doubt, False, 0])
+            around = len(soft) - 1
+        stack.append((tag, dropped or bad, in_main or main, len(blocks), around, []))
     while len(stack) > 1:
         pop()
     flush()
-    return title, blocks, [not d and (m or not any_main) for d, m in state], elements
+    keep = _kept(blocks, state, soft)
+    return title, blocks, keep, elements
+
+
+def _kept(blocks: list[str], state: list[tuple[bool, bool, int]], soft: list[list]) -> list[bool]:
+    size = [0 if s[0] else len(b) for b, s in zip(blocks, state, strict=True)]
+    for n, (_, _, k) in zip(size, state, strict=True):
+        while k >= 0:
+            soft[k][3] += n
+            k = soft[k][0]
+    total, out = sum(size), []
+    has_main = any(n and s[1] for n, s in zip(size, state, strict=True))
+    for around, strength, holds_main, n in soft:  # outer ones come first
+        out.append(around >= 0 and out[around] or not holds_main and (strength == 2 or has_main or 2 * n < total))
+    keep = [not hard and not (k >= 0 and out[k]) for hard, _, k in state]
+    left, main = (sum(n for n, k, s in zip(size, keep, state, strict=True) if k and (s[1] or any_)) for any_ in (True, False))
+    return [k and (s[1] or 10 * main < left) for k, s in zip(keep, state, strict=True)]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -170,26 +226,35 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 title, texts, keep, elements = read(html if isinstance(html, str) else "")
                 host = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url) if isinstance(url, str) else None
                 identity = _signed("\n".join(t for t, k in zip(texts, keep, strict=True) if k) or title)
-                out.append((row, page_id, url, host[1].lower() if host else "", identity, [t if k else "" for t, k in zip(texts, keep, strict=True)], keep, [e[0] for e in elements], [e[1] for e in elements], [e[2] for e in elements], [e[3] for e in elements]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")]).astype({"page_id": "Int64"})
+                out.append((row, page_id, url, host[1].lower() if host else "", identity, _signed(title), [t if k else "" for t, k in zip(texts, keep, strict=True)], keep, [e[0] for e in elements], [e[1] for e in elements], [e[2] for e in elements], [e[3] for e in elements]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")])
 
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInPandas(blocks, PAGE)
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), id_text("page_id"), F.col("url").cast("string").alias("url"), "html")
+    return with_long(rows.mapInPandas(blocks, PAGE), "page_id")
 
 
-def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, safe_share: float = 0.5) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     parsed = written(parse_pages(pages), "pages")
-    site = lambda host, h: F.xxhash64(host, h)  # noqa: E731  one key for a host's subtree
-    seen = parsed.select("identity", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "safe"), lambda e: ~e["safe"]))["hashes"]).alias("h"), "host").select(site("host", "h").alias("key"), "identity")
-    templates = seen.distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key")
-    # only elements that hold text of the article, and aren't its paragraphs, need an answer; other pages are done
-    holds = F.filter(F.arrays_zip("hashes", "begins", "ends", "safe"), lambda e: ~e["safe"] & F.exists(F.slice("keep", e["begins"] + 1, e["ends"] - e["begins"]), lambda k: k))
-    asked = parsed.select("row", "host", F.explode(holds).alias("e")).select("row", site("host", F.col("e.hashes")).alias("key"), F.struct(F.col("e.begins").alias("b"), F.col("e.ends").alias("e")).alias("at"))
+    site = lambda host, h, safe: F.xxhash64(host, h, safe)  # noqa: E731  one key for a host's subtree
+    kind = F.arrays_zip("hashes", "safe")
+    seen = parsed.select("identity", "title", F.xxhash64("host").alias("at"), "host", F.explode(F.array_distinct(kind)).alias("x")).select("at", site("host", "x.hashes", "x.safe").alias("key"), "x.safe", F.when(F.col("x.safe"), F.col("title")).otherwise(F.col("identity")).alias("identity"))
+    counts = seen.distinct().groupBy("at", "key", "safe").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    sizes = parsed.select(F.xxhash64("host").alias("at"), "title").distinct().groupBy("at").agg(F.count("*").alias("pages"))
+    often = counts.filter("not safe").select("key").union(counts.filter("safe").join(sizes, "at").filter(F.col("n") >= safe_share * F.col("pages")).select("key"))
+    templates = written(often, "templates")
+    slot = lambda key: F.pmod(key, F.lit(SLOTS)).cast("int")
+    bitmap = bytearray(b"0" * SLOTS)
+    for (k,) in templates.select(slot(F.col("key"))).distinct().collect():  # SLOTS at most
+        bitmap[k] = ord("1")
+    # only elements that hold text of the article need an answer, and of these what the bitmap doesn't rule out
+    holds = F.filter(F.arrays_zip("hashes", "begins", "ends", "safe"), lambda e: F.exists(F.slice("keep", e["begins"] + 1, e["ends"] - e["begins"]), lambda k: k))
+    maybe = F.filter(F.transform(holds, lambda e: F.struct(site(F.col("host"), e["hashes"], e["safe"]).alias("key"), F.struct(e["begins"].alias("b"), e["ends"].alias("e")).alias("at"))), lambda e: F.substring(F.lit(bytes(bitmap)), slot(e["key"]) + 1, F.lit(1)) == F.lit(b"1"))
+    asked = parsed.select("row", F.explode(maybe).alias("e")).select("row", "e.key", "e.at")
     gone = asked.join(templates, "key").groupBy("row").agg(F.collect_list("at").alias("gone"))
-    done = parsed.filter(F.size(holds) == 0).select("page_id", "url", F.array_join(F.filter("blocks", lambda t, i: F.get("keep", i)), "\n").alias("text"))
+    done = parsed.filter(F.size(maybe) == 0).select("page_id", "url", F.array_join(F.filter("blocks", lambda t, i: F.get("keep", i)), "\n").alias("text"))
     left = F.filter("blocks", lambda t, i: F.get("keep", i) & ~F.coalesce(F.exists("gone", lambda g: (g["b"] <= i) & (i < g["e"])), F.lit(False)))
-    rest = parsed.filter(F.size(holds) > 0).select("row", "page_id", "url", "blocks", "keep").join(gone, "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
+    rest = parsed.filter(F.size(maybe) > 0).select("row", "page_id", "url", "blocks", "keep").join(gone, "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
     out = done.union(rest)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -1,3 +1,5 @@
+import random
+
 from skyframe.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>{t}</title><style>p{{margin:0}}</style><script>var t="</p><p>no";</script></head><body>
@@ -13,7 +15,7 @@ def test_read_one():
 
 
 def test_templates_and_cases(spark):
-    rows = [(i, f"http://www.h.org/{i}", PAGE.format(t=f"T{i}", h="H", x="<div>Follow us</div><p>Same words in every article</p>"), 1) for i in range(8)]
+    rows = [(i, f"http://www.h.org/{i}", PAGE.format(t=f"T{i}", h="H", x="<div>Follow us</div>" + "<p>Notice in every article</p>" + "<p>Quoted in three articles</p>" * (i < 3)), 1) for i in range(8)]
     rows += [(100 + i, "http://o.org/", PAGE.format(t="copy", h="O", x="<div>One article</div>"), 1) for i in range(8)]
     rows += [(200 + i, "http://plain.org", f"<body><div>Top bar</div><div>Text of its own {i}<p>para {i}</div>tail {i} <b>x", 1) for i in range(6)]
     rows += [(300, None, None, 1), (301, "", "", 1), (302, "nonsense", "<", 1), (303, "u", "a < b <!-- open", 1), (304, "u", "<p " * 50, 1), (305, "u", "<div>" * 2000 + "deep" + "</div>" * 2000, 1), (None, "u", "x</p></div>y", 1), (300, None, "again", 1)]
@@ -22,7 +24,7 @@ def test_templates_and_cases(spark):
     got = out.collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     by = {r["page_id"]: r["text"] for r in got}
-    assert by[3] == "T3\nFirst & best été line two\nSecond\nSame words in every article"  # the recurring div goes, the paragraph stays
+    assert by[2] == "T2\nQuoted in three articles" and by[3] == "T3"  # what recurs goes, in paragraphs too where it does on most pages
     assert by[104] == "copy\nFirst & best été line two\nSecond\nOne article"  # copies of one page make no template
     assert by[202] == "Text of its own 2\npara 2\ntail 2 x"
     assert sorted(r["text"] for r in got if r["page_id"] == 300) == ["", "again"]
@@ -40,3 +42,45 @@ def test_one_title_on_all_pages(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Words of page {i}\nSeen on four {i // 4}" for i in range(8))
     assert all(got[100 + i] == "Start About us\nWords of page 0\nSeen on four 0" for i in range(8))
+
+
+def text_of(html_):
+    _, blocks, keep, _ = html.read(html_)
+    return "\n".join(b for b, k in zip(blocks, keep, strict=True) if k)
+
+
+def test_names_dont_cost_the_article():
+    words = "The words of the article itself, which are many more than the others."
+    for open_, shut in [
+        ('<div title="the hidden gem">', "</div>"), ('<div data-id="comments-1">', "</div>"), ('<div class="content no-sidebar">', "</div>"), ('<article class="post comments-closed">', "</article>"),
+        ('<div id="social-history">', "</div>"), ("<div data-role='navigation'>", "</div>"), ('<div class="content with-menu"><main>', "</main></div>"), ('<div class="page widget"><article>', "</article></div>"),
+    ]:
+        assert text_of(f"<body><div class='menu'>Start</div>{open_}<p>{words}</p>{shut}<div id='comments'><article class='comment'>{'So true! ' * 30}</article></div></body>") == words, open_
+    assert text_of(f"<body><article>Teaser</article><div>{words}</div></body>") == f"Teaser\n{words}"
+    assert text_of(f"<body><div class='sidebar'>Side</div><article>{words}</article><div>after</div></body>") == words
+    deep = "<div>" * 3000 + f"<nav>Menu</nav><p>{words}</p>" + "</div>" * 3000
+    assert text_of(deep) == words
+
+
+def test_subtree_counts_by_brute_force(spark):
+    """The texts that are left are those outside of subtrees on five or more different pages of a host."""
+    rng = random.Random(5)
+    parts = ["<div>Top <b>bar</b></div>", "<ul><li>One</li><li>Two</li></ul>", "<section><div>Near</div><div>far</div></section>", "<div>Rare one</div>", "<p>A quoted paragraph</p>"]
+    plain = ["Top bar", "One\nTwo", "Near\nfar", "Rare one", "A quoted paragraph"]
+    rows, own, held = [], {}, {}
+    for i in range(60):
+        host = rng.choice("ab")
+        chosen = [j for j in range(5) if rng.random() < (0.04 if j == 3 else 0.5)]
+        own[i] = (host, chosen)
+        for j in chosen:
+            held.setdefault((host, j), set()).add(i)
+        rows.append((i, f"http://{host}/", "<body>" + "".join(parts[j] for j in chosen) + f"<div>Text of page {i}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (host, chosen) in own.items():
+        assert got[i] == "\n".join([plain[j] for j in chosen if len(held[host, j]) < 5] + [f"Text of page {i}"])
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "u", "a"), (None, "u", "b"), (big + 2, "u", None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {big: "a", None: "b", big + 2: ""}

@@ -152,11 +152,11 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
 def _known(x: str, y: str, percent: int) -> tuple[Column, Column]:
     """Whether two entries of a block are known to link, and known not to, by their answers with the block's leaders:
     in a leader's shingles they share at least `a + b - leader`, at most the less of both; elsewhere at most the less of
-    what they have there."""
+    what they have there, but for what stands in one set only."""
     need = _needed(F.col(f"{x}n"), F.col(f"{y}n"), percent)
     answers = F.arrays_zip(F.col(f"{x}met").alias("p"), F.col(f"{y}met").alias("q"))
     least = F.aggregate(answers, F.lit(0).cast("long"), lambda m, z: F.greatest(m, z["p"]["both"] + z["q"]["both"] - z["p"]["n"]))
-    most = F.aggregate(answers, F.lit(1 << 60).cast("long"), lambda m, z: F.least(m, F.least(z["p"]["both"], z["q"]["both"]) + F.least(F.col(f"{x}n") - z["p"]["both"], F.col(f"{y}n") - z["q"]["both"])))
+    most = F.aggregate(answers, F.lit(1 << 60).cast("long"), lambda m, z: F.least(m, F.least(z["p"]["both"], z["q"]["both"]) + F.least(F.col(f"{x}n") - F.col(f"{x}u") - z["p"]["both"], F.col(f"{y}n") - F.col(f"{y}u") - z["q"]["both"])))
     return least >= need, most < need
 
 
@@ -170,8 +170,8 @@ def link(sets: DataFrame, percent: int, rounds: int = 3, part: int = PART) -> Da
         if entries.isEmpty():
             break
         if turn < rounds:
-            lead = entries.groupBy(*key).agg(F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "pos", "l", "met")).alias("lead"))
-            other = lead.select(*key, *[F.col(f"lead.{x}").alias(y) for x, y in (("c", "b"), ("n", "bn"), ("pos", "bpos"), ("l", "bl"), ("met", "bmet"))])
+            lead = entries.groupBy(*key).agg(F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "c", "n", "u", "pos", "l", "met")).alias("lead"))
+            other = lead.select(*key, *[F.col(f"lead.{x}").alias(y) for x, y in (("c", "b"), ("n", "bn"), ("u", "bu"), ("pos", "bpos"), ("l", "bl"), ("met", "bmet"))])
             pairs = entries.join(other, key).filter("c <> b")
         else:
             # every part of a block meets every part: a pair in the one place that its two parts name
@@ -179,7 +179,7 @@ def link(sets: DataFrame, percent: int, rounds: int = 3, part: int = PART) -> Da
             cut = entries.join(parts, key).withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
             cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             cut = cut.select("*", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
-            other = cut.select(*key, "x", "y", F.col("own").alias("bown"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("l").alias("bl"), F.col("met").alias("bmet"))
+            other = cut.select(*key, "x", "y", F.col("own").alias("bown"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("u").alias("bu"), F.col("pos").alias("bpos"), F.col("l").alias("bl"), F.col("met").alias("bmet"))
             pairs = cut.join(other, [*key, "x", "y"]).filter((F.col("c") < F.col("b")) & ((F.col("own") != F.col("bown")) | (F.col("x") == F.col("y"))))
         linked_, unlinked = _known("", "b", percent)
         pairs = pairs.withColumns({"sure": linked_, "never": unlinked})

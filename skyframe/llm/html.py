@@ -22,6 +22,7 @@ that repeat a page_id are separate rows; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import itertools
 import re
 from html import unescape
 
@@ -226,6 +227,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 title, texts, keep, elements = read(html if isinstance(html, str) else "")
                 host = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url) if isinstance(url, str) else None
                 identity = _signed("\n".join(t for t, k in zip(texts, keep, strict=True) if k) or title)
+                before = [0, *itertools.accumulate(map(bool, keep))]
+                elements = [e for e in elements if before[e[2]] > before[e[1]]]  # others hold nothing that is left
                 out.append((row, page_id, url, host[1].lower() if host else "", identity, _signed(title), [t if k else "" for t, k in zip(texts, keep, strict=True)], keep, [e[0] for e in elements], [e[1] for e in elements], [e[2] for e in elements], [e[3] for e in elements]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")])
 
@@ -236,20 +239,23 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, min_pages: int = 5, safe_share: float = 0.5) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     parsed = written(parse_pages(pages), "pages")
-    site = lambda host, h, safe: F.xxhash64(host, h, safe)  # noqa: E731  one key for a host's subtree
+    # one key for a host's subtree, odd for a safe one
+    site = lambda host, h, safe: F.shiftleft(F.xxhash64(host, h), 1).bitwiseOR(safe.cast("long"))
+    is_safe = F.col("key").bitwiseAND(F.lit(1)) == 1
     kind = F.arrays_zip("hashes", "safe")
-    seen = parsed.select("identity", "title", F.xxhash64("host").alias("at"), "host", F.explode(F.array_distinct(kind)).alias("x")).select("at", site("host", "x.hashes", "x.safe").alias("key"), "x.safe", F.when(F.col("x.safe"), F.col("title")).otherwise(F.col("identity")).alias("identity"))
-    counts = seen.distinct().groupBy("at", "key", "safe").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    seen = parsed.select("identity", "title", "host", F.explode(F.array_distinct(kind)).alias("x"))
+    seen = seen.select(site(F.col("host"), F.col("x.hashes"), F.col("x.safe")).alias("key"), F.when(F.col("x.safe"), F.col("title")).otherwise(F.col("identity")).alias("identity"), F.when(F.col("x.safe"), F.xxhash64("host")).alias("at"))
+    counts = seen.distinct().groupBy("at", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     sizes = parsed.select(F.xxhash64("host").alias("at"), "title").distinct().groupBy("at").agg(F.count("*").alias("pages"))
-    often = counts.filter("not safe").select("key").union(counts.filter("safe").join(sizes, "at").filter(F.col("n") >= safe_share * F.col("pages")).select("key"))
+    often = counts.filter(~is_safe).select("key").union(counts.filter(is_safe).join(sizes, "at").filter(F.col("n") >= safe_share * F.col("pages")).select("key"))
     templates = written(often, "templates")
     slot = lambda key: F.pmod(key, F.lit(SLOTS)).cast("int")
     bitmap = bytearray(b"0" * SLOTS)
     for (k,) in templates.select(slot(F.col("key"))).distinct().collect():  # SLOTS at most
         bitmap[k] = ord("1")
-    # only elements that hold text of the article need an answer, and of these what the bitmap doesn't rule out
-    holds = F.filter(F.arrays_zip("hashes", "begins", "ends", "safe"), lambda e: F.exists(F.slice("keep", e["begins"] + 1, e["ends"] - e["begins"]), lambda k: k))
-    maybe = F.filter(F.transform(holds, lambda e: F.struct(site(F.col("host"), e["hashes"], e["safe"]).alias("key"), F.struct(e["begins"].alias("b"), e["ends"].alias("e")).alias("at"))), lambda e: F.substring(F.lit(bytes(bitmap)), slot(e["key"]) + 1, F.lit(1)) == F.lit(b"1"))
+    # of a page's elements, what the bitmap doesn't rule out needs an answer
+    each = F.transform(F.arrays_zip("hashes", "begins", "ends", "safe"), lambda e: F.struct(site(F.col("host"), e["hashes"], e["safe"]).alias("key"), F.struct(e["begins"].alias("b"), e["ends"].alias("e")).alias("at")))
+    maybe = F.filter(each, lambda e: F.substring(F.lit(bytes(bitmap)), slot(e["key"]) + 1, F.lit(1)) == F.lit(b"1"))
     asked = parsed.select("row", F.explode(maybe).alias("e")).select("row", "e.key", "e.at")
     gone = asked.join(templates, "key").groupBy("row").agg(F.collect_list("at").alias("gone"))
     done = parsed.filter(F.size(maybe) == 0).select("page_id", "url", F.array_join(F.filter("blocks", lambda t, i: F.get("keep", i)), "\n").alias("text"))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def upserted(cards: DataFrame, new: DataFrame) -> DataFrame:
-    """new (file, key, text): replaces the cards of a key where they stand, and goes to the end where there is none."""
-    old = cards.join(new.select("file", "key", F.col("text").alias("n")), ["file", "key"], "left").select("file", "pos", "key", F.coalesce("n", "text").alias("text"))
-    fresh = new.join(cards.select("file", "key").distinct(), ["file", "key"], "left_anti")
+    """new (file, key, text; a key once for each file): replaces the first card of a key where it stands; keys that a file
+    lacks go to its end, by name."""
+    placed = new.join(cards.groupBy("file", "key").agg(F.min("pos").alias("at")), ["file", "key"], "left")
+    there = placed.filter("at is not null").select("file", F.col("at").alias("pos"), F.col("text").alias("n"))
+    old = cards.join(there, ["file", "pos"], "left").select("file", "pos", "key", F.coalesce("n", "text").alias("text"))
     last = cards.groupBy("file").agg(F.max("pos").alias("last"))
-    return old.unionByName(fresh.join(last, "file").select("file", (F.col("last") + 1).alias("pos"), "key", "text"))
+    fresh = placed.filter("at is null").withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("key")))
+    return old.unionByName(fresh.join(last, "file").select("file", (F.col("last") + F.col("k")).alias("pos"), "key", "text"))
 
 
 def removed(cards: DataFrame, prefixes: list[str]) -> DataFrame:

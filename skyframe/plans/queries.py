@@ -755,7 +755,7 @@ def aavso_rows(spark, sf_dir):
 
 # ---- header cards --------------------------------------------------------------------------------------------------
 
-@query("WITH " + CARDS + ", n AS (SELECT DISTINCT file, k AS key, k || '= new' AS text FROM cards, (VALUES ('EXPTIME'), ('AIRMASS')) t(k)) SELECT c.file, pos, c.key, coalesce(n.text, c.text) AS text FROM cards c LEFT JOIN n USING (file, key) UNION ALL SELECT file, CAST(8 AS BIGINT), key, text FROM n WHERE key = 'AIRMASS'")
+@query("WITH " + CARDS + " SELECT file, pos, key, CASE WHEN key = 'EXPTIME' THEN 'EXPTIME= new' ELSE text END AS text FROM cards UNION ALL SELECT o_orderkey AS file, CAST(8 AS BIGINT), 'AIRMASS', 'AIRMASS= new' FROM orders")
 def header_upsert(spark, sf_dir):
     c = views.cards(spark, sf_dir)
     key = F.explode(F.array(F.lit("EXPTIME"), F.lit("AIRMASS"))).alias("key")

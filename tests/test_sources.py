@@ -57,3 +57,12 @@ def test_spark_readers(spark, img, tmp_path):
     assert np.array_equal(codecs.read_fits((tmp_path / "out/f2.fits").read_bytes())[1], img + 2)
     (tmp_path / "x_0101.290").write_bytes(codecs.write_tile(np.array([[1.0, 0.5, 9.0, 0.1], [1.5, 0.5, 9.0, 0.1]])))
     assert images.read_star_tiles(spark, f"{tmp_path}/*.290", 1.01, 0.5, 0.1).count() == 1
+
+
+def test_cards_that_repeat_and_new_ones(spark):
+    from skyframe.operators import cards
+
+    old = spark.createDataFrame([("f", 0, "A", "a0"), ("f", 1, "B", "b"), ("f", 2, "A", "a2"), ("g", 0, "B", "gb")], "file string, pos int, key string, text string")
+    new = spark.createDataFrame([("f", "A", "new"), ("f", "D", "d"), ("f", "C", "c"), ("g", "A", "ga")], "file string, key string, text string")
+    got = sorted(tuple(r) for r in cards.upserted(old, new).collect())
+    assert got == [("f", 0, "A", "new"), ("f", 1, "B", "b"), ("f", 2, "A", "a2"), ("f", 3, "C", "c"), ("f", 4, "D", "d"), ("g", 0, "B", "gb"), ("g", 1, "A", "ga")]

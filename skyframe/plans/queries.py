@@ -916,16 +916,38 @@ def rotate(spark, sf_dir):
     return frames.rotated(views.px(spark, sf_dir), 30.0).select("frame", "x", "y", F.round("v", 3).alias("v"))
 
 
-@query()
+#: Sixty safeguarded Newton steps, as a fold over a list; parabolas in closed form.
+KEPLER = """WITH p AS (SELECT c_custkey AS id, 0.5 + c_custkey % 30 / 10.0 AS q, c_custkey % 13 / 10.0 AS e, c_custkey % 90 / 60.0 AS i, c_custkey % 360 / 57.3 AS node, c_custkey * 7 % 360 / 57.3 AS peri, CAST(c_custkey % 2000 - 1000 AS DOUBLE) AS dt FROM customer),
+a AS (SELECT *, 0.01720209895::DOUBLE * dt / pow(q / CASE WHEN e = 1 THEN 1 ELSE abs(1 - e) END, 1.5) AS m0, 1.5 * 0.01720209895::DOUBLE * dt / sqrt(2 * q * q * q) AS w FROM p),
+b AS (SELECT *, CASE WHEN e < 1 THEN m0 - 2 * pi() * floor((m0 + pi()) / (2 * pi())) ELSE m0 END AS m, cbrt(w + sqrt(w * w + 1)) AS y FROM a),
+c AS (SELECT *, CASE WHEN e < 1 THEN list_reduce(list_prepend(m + 0.85 * e * sign(sin(m)), list_transform(range(60), lambda k: 0.0::DOUBLE)), lambda x, k: x - greatest(-1, least(1, (x - e * sin(x) - m) / greatest(1 - e * cos(x), 1e-12))))
+  WHEN e > 1 THEN list_reduce(list_prepend(asinh(m / e), list_transform(range(60), lambda k: 0.0::DOUBLE)), lambda x, k: x - greatest(-1, least(1, (e * sinh(x) - x - m) / greatest(e * cosh(x) - 1, 1e-12)))) END AS x FROM b),
+d AS (SELECT *, 2 * atan(CASE WHEN e < 1 THEN sqrt((1 + e) / (1 - e)) * tan(x / 2) WHEN e > 1 THEN sqrt((e + 1) / (e - 1)) * tanh(x / 2) ELSE y - 1 / y END) AS nu FROM c),
+f AS (SELECT *, q * (1 + e) / (1 + e * cos(nu)) AS r, peri + nu AS u FROM d)
+SELECT id, round(r * (cos(node) * cos(u) - sin(node) * sin(u) * cos(i)), 6) + 0.0 AS x, round(r * (sin(node) * cos(u) + cos(node) * sin(u) * cos(i)), 6) + 0.0 AS y, round(r * sin(u) * sin(i), 6) + 0.0 AS z FROM f"""
+
+
+@query(KEPLER)
 def kepler(spark, sf_dir):
     from skyframe.operators import frames
 
     k = F.col("c_custkey")
     e = views.table(spark, sf_dir, "customer").select(k.alias("id"), (0.5 + k % 30 / 10.0).alias("q"), (k % 13 / 10.0).alias("e"), (k % 90 / 60.0).alias("i"), (k % 360 / 57.3).alias("node"), (k * 7 % 360 / 57.3).alias("peri"), (k % 2000 - 1000).cast("double").alias("dt"))
-    return frames.orbits(e).select("id", r6("x", "x"), r6("y", "y"), r6("z", "z"))
+    zero = lambda name: (F.round(name, 6) + 0.0).alias(name)  # noqa: E731  no negative zeros
+    return frames.orbits(e).select("id", zero("x"), zero("y"), zero("z"))
 
 
-@query()
+#: The square of a hyperbola is a parabola: its least squares by normal equations about the mean.
+HYPERBOLA = """WITH p AS (SELECT p_partkey % 10 AS run, CAST(p_partkey % 400 AS DOUBLE) AS pos FROM part),
+v AS (SELECT run, pos, 4.0::DOUBLE * (1 + pow((pos - (150 + run)) / 80, 2)) AS y, (pos - avg(pos) OVER (PARTITION BY run)) / 100 AS x, avg(pos) OVER (PARTITION BY run) AS mid FROM p),
+s AS (SELECT run, min(mid) AS mid, CAST(count(*) AS DOUBLE) AS n, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM v GROUP BY run),
+c AS (SELECT run, mid, (n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s3 * t0) + s2 * (s1 * t1 - s2 * t0)) / (n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) AS c2, n, s1, s2, s3, t0, t1 FROM s),
+g AS (SELECT *, (n * (t1 - c2 * s3) - s1 * (t0 - c2 * s2)) / (n * s2 - s1 * s1) AS c1 FROM c),
+h AS (SELECT *, (t0 - c1 * s1 - c2 * s2) / n AS c0 FROM g)
+SELECT run, round(mid - 100 * c1 / (2 * c2), 4) AS best, round(sqrt(c0 - c1 * c1 / (4 * c2)), 4) AS low, round(100 * sqrt((c0 - c1 * c1 / (4 * c2)) / c2), 4) AS width FROM h"""
+
+
+@query(HYPERBOLA)
 def hyperbola_fit(spark, sf_dir):
     from skyframe.operators import frames
 

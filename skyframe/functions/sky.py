@@ -77,16 +77,33 @@ def from_standard(x: Column, y: Column, ra0: Column, dec0: Column) -> tuple[Colu
     return ra, F.atan2((F.sin(dec0) + y * F.cos(dec0)), F.sqrt(x * x + d * d))
 
 
+def distorted(u: Column, v: Column, terms: tuple[dict, dict]) -> tuple[Column, Column]:
+    """u and v plus their SIP polynomials: for each a dict of factors by the powers (of u, of v)."""
+    power = lambda c, n: c if n == 1 else c * power(c, n - 1)
+
+    def term(factor: float, i: int, j: int) -> Column:
+        out = F.lit(float(factor))
+        for c, n in ((u, i), (v, j)):
+            out = out * power(c, n) if n else out
+        return out
+
+    return tuple(sum((term(f, *ij) for ij, f in t.items()), c) for c, t in zip((u, v), terms, strict=True))
+
+
 def to_pixel(ra: Column, dec: Column, w: dict) -> tuple[Column, Column]:
-    """World to pixel (counted from 1). w: ra0, dec0, crpix1, crpix2 and cd1_1 .. cd2_2 in degrees, columns or numbers."""
+    """World to pixel (counted from 1). w: ra0, dec0, crpix1, crpix2 and cd1_1 .. cd2_2 in degrees, columns or numbers;
+    sip and sip_inverse, if there, are the distortion's terms (see `distorted`)."""
     xi, eta = to_standard(ra, dec, F.lit(w["ra0"]), F.lit(w["dec0"]))
     xi, eta = xi * (180 / PI), eta * (180 / PI)
     det = w["cd1_1"] * w["cd2_2"] - w["cd1_2"] * w["cd2_1"]
-    return w["crpix1"] + (w["cd2_2"] * xi - w["cd1_2"] * eta) / det, w["crpix2"] + (w["cd1_1"] * eta - w["cd2_1"] * xi) / det
+    u, v = (w["cd2_2"] * xi - w["cd1_2"] * eta) / det, (w["cd1_1"] * eta - w["cd2_1"] * xi) / det
+    u, v = distorted(u, v, w["sip_inverse"]) if "sip_inverse" in w else (u, v)
+    return w["crpix1"] + u, w["crpix2"] + v
 
 
 def to_sky(x: Column, y: Column, w: dict) -> tuple[Column, Column]:
     u, v = x - w["crpix1"], y - w["crpix2"]
+    u, v = distorted(u, v, w["sip"]) if "sip" in w else (u, v)
     return from_standard((w["cd1_1"] * u + w["cd1_2"] * v) * (PI / 180), (w["cd2_1"] * u + w["cd2_2"] * v) * (PI / 180), F.lit(w["ra0"]), F.lit(w["dec0"]))
 
 

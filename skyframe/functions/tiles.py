@@ -46,5 +46,6 @@ def tile_file(number: int, n: int = 290) -> str:
 def tiles_of_field(ra: Column, dec: Column, field: float, n: int = 290) -> Column:
     """The distinct tiles at the four corners of a square field (radians)."""
     h = field / 2
-    corner = lambda s, w: tile(F.pmod(ra + w * h / F.cos(dec + s * h), F.lit(TWO_PI)), dec + s * h, n)
+    beyond = lambda d: F.least(F.greatest(d, F.lit(-TWO_PI / 4)), F.lit(TWO_PI / 4))  # noqa: E731  past a pole it's the pole's tile
+    corner = lambda s, w: tile(F.pmod(ra + w * h / F.cos(dec + s * h), F.lit(TWO_PI)), beyond(dec + s * h), n)
     return F.array_sort(F.array_distinct(F.array(*[corner(s, w) for s in (1, -1) for w in (1, -1)])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.operators import robust
+
 
 def histogram(px: DataFrame, levels: int = 65000) -> DataFrame:
     """Pixels of each level from 1 to levels - 1."""
@@ -145,13 +147,34 @@ def sharpness(px: DataFrame) -> DataFrame:
 
 
 def holes_filled(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """cells (x, y, v): every place of the frame; an empty one takes its left neighbour's value, else that below."""
-    spark = cells.sparkSession
-    grid = spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))
-    full = grid.join(cells, ["x", "y"], "left")
-    full = full.withColumn("left", F.lag("v").over(Window.partitionBy("y").orderBy("x")))
-    full = full.withColumn("below", F.lag("v").over(Window.partitionBy("x").orderBy("y")))
-    return full.select("x", "y", F.coalesce("v", "left", "below").alias("v"), F.col("v").isNull().alias("filled"))
+    """cells (frame, x, y, v): every place of each frame; an empty one takes its left neighbour's value, else that below
+    (values as they came: one that was filled itself isn't taken)."""
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long"))).alias("at")
+    grid = cells.select("frame").distinct().select("frame", places).select("frame", (F.col("at") % width).alias("x"), F.floor(F.col("at") / width).alias("y"))
+    full = grid.join(cells, ["frame", "x", "y"], "left")
+    full = full.withColumn("left", F.lag("v").over(Window.partitionBy("frame", "y").orderBy("x")))
+    full = full.withColumn("below", F.lag("v").over(Window.partitionBy("frame", "x").orderBy("y")))
+    return full.select("frame", "x", "y", F.coalesce("v", "left", "below").alias("v"), F.col("v").isNull().alias("filled"))
+
+
+def box_median(px: DataFrame, size: int) -> DataFrame:
+    """The upper median of the levels other than 0 in the box (odd; an even size grows by one) about each pixel of
+    (frame, x, y, v); 0 where there are none."""
+    reach = F.sequence(F.lit(-(size // 2)), F.lit(size // 2))
+    near = px.filter("v <> 0").select("frame", "x", "y", "v", F.explode(reach).alias("i")).select("frame", (F.col("x") + F.col("i")).alias("x"), "y", "v", F.explode(reach).alias("j"))
+    near = near.select("frame", "x", (F.col("y") + F.col("j")).alias("y"), "v").join(px.select("frame", "x", "y"), ["frame", "x", "y"], "left_semi")
+    at = px.select("frame", "x", "y")
+    return at.join(robust.upper_median(near, ["frame", "x", "y"], "v", "background"), ["frame", "x", "y"], "left").na.fill(0, ["background"])
+
+
+def is_mosaic(px: DataFrame, width: int, height: int, steps: int = 100, least: float = 100.0) -> DataFrame:
+    """frame, mosaic: whether the medians of the four parity places along the middle two rows are further apart than
+    `least`. Every even step-th place counts, of at most `steps`."""
+    step = max(2, width // steps // 2 * 2)
+    middle = height // 2
+    rows = px.filter(F.col("y").between(middle, middle + 1) & (F.col("x") % step < 2) & (F.col("x") < step * steps))
+    medians = robust.smedian(rows.withColumn("place", (F.col("y") - middle) * 2 + F.col("x") % step), ["frame", "place"], "v")
+    return medians.groupBy("frame").agg((F.max("median") - F.min("median") > least).alias("mosaic"))
 
 
 def gradient_modes(px: DataFrame, places: list[tuple[int, int]], half: int) -> DataFrame:

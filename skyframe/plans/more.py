@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyframe.functions import apparent, fields, light, sky, text, when
-from skyframe.operators import fit
+from skyframe.operators import fit, pixels
 from skyframe.plans import views
-from skyframe.plans.queries import QUERIES, query, r6
+from skyframe.plans.queries import D2R, NEAR, QUERIES, WCS, query, r6
 from skyframe.plans.views import CATALOG, LC, PX
 
 PI, A = repr(sky.PI) + "::DOUBLE", repr(sky.ARCSEC) + "::DOUBLE"
@@ -179,3 +179,39 @@ def minor_planet_positions(spark, sf_dir):
     orbit = orbit.select("id", tx.alias("tx"), ty.alias("ty"), tz.alias("tz"))
     r, ra, dec = sky.spherical(F.col("tx"), F.col("ty"), F.col("tz"))
     return orbit.select("id", r6(ra, "ra"), r6(dec, "dec"), r6(r, "distance"))
+
+
+SIP = ({(0, 2): 2e-6, (1, 1): -3e-6, (2, 0): 4e-6, (3, 0): 1e-9}, {(0, 2): -5e-6, (1, 1): 1e-6, (2, 0): 2e-6, (0, 3): -2e-9})
+INVERSE = ({(0, 0): 0.125, (0, 2): -2e-6, (1, 1): 3e-6, (2, 0): -4e-6, (1, 2): 1e-9}, {(0, 1): 1e-4, (0, 2): 5e-6, (1, 1): -1e-6, (2, 0): -2e-6, (2, 1): 2e-9})
+
+
+def _sip_sql(terms: dict) -> str:
+    return " + ".join(f"({f!r}::DOUBLE)" + " * u" * i + " * v" * j for (i, j), f in terms.items())
+
+
+@query(NEAR + f", p AS (SELECT id, cos(dec) * sin(ra - 1) / d * {180 / sky.PI!r}::DOUBLE AS xi, (sin(dec) * cos(0.5::DOUBLE) - cos(dec) * sin(0.5::DOUBLE) * cos(ra - 1)) / d * {180 / sky.PI!r}::DOUBLE AS eta FROM s WHERE d > 0.9), q AS (SELECT id, (0.01::DOUBLE * xi - 0.001::DOUBLE * eta) / -0.000101::DOUBLE AS u, (-0.01::DOUBLE * eta - 0.001::DOUBLE * xi) / -0.000101::DOUBLE AS v FROM p) SELECT id, round(1000.5::DOUBLE + u + {_sip_sql(INVERSE[0])}, 4) AS px_x, round(1000.5::DOUBLE + v + {_sip_sql(INVERSE[1])}, 4) AS px_y FROM q")
+def wcs_sip_forward(spark, sf_dir):
+    """Catalogue positions about the frame's centre to pixels, with the inverse distortion."""
+    c = views.catalog(spark, sf_dir)
+    d = F.sin("dec") * F.sin(F.lit(0.5)) + F.cos("dec") * F.cos(F.lit(0.5)) * F.cos(F.col("ra") - 1)
+    x, y = sky.to_pixel(F.col("ra"), F.col("dec"), WCS | {"sip_inverse": INVERSE})
+    return c.filter(d > 0.9).select("id", F.round(x, 4).alias("px_x"), F.round(y, 4).alias("px_y"))
+
+
+@query(f"WITH p AS (SELECT p_partkey AS id, p_partkey % 2000 + 0.25::DOUBLE - 1000.5 AS u, p_partkey * 7 % 2000 + 0.75::DOUBLE - 1000.5 AS v FROM part), q AS (SELECT id, u + {_sip_sql(SIP[0])} AS u, v + {_sip_sql(SIP[1])} AS v FROM p), w AS (SELECT id, (-0.01::DOUBLE * u + 0.001::DOUBLE * v) * {D2R} AS xi, (0.001::DOUBLE * u + 0.01::DOUBLE * v) * {D2R} AS eta FROM q), z AS (SELECT id, xi, eta, cos(0.5::DOUBLE) - eta * sin(0.5::DOUBLE) AS d FROM w) SELECT id, round(fmod(fmod(1 + atan2(xi, d), {TWO}) + {TWO}, {TWO}), 6) AS ra, round(atan2(sin(0.5::DOUBLE) + eta * cos(0.5::DOUBLE), sqrt(xi * xi + d * d)), 6) AS dec FROM z")
+def wcs_sip_inverse(spark, sf_dir):
+    """Pixels to positions, with the distortion."""
+    k = F.col("p_partkey")
+    ra, dec = sky.to_sky(k % 2000 + 0.25, k * 7 % 2000 + 0.75, WCS | {"sip": SIP})
+    return views.table(spark, sf_dir, "part").select(k.alias("id"), r6(ra, "ra"), r6(dec, "dec"))
+
+
+@query("WITH " + PX + ", n AS (SELECT a.frame, a.x, a.y, b.v, row_number() OVER (PARTITION BY a.frame, a.x, a.y ORDER BY b.v) AS k, count(b.v) OVER (PARTITION BY a.frame, a.x, a.y) AS n FROM px a LEFT JOIN px b ON a.frame = b.frame AND b.v <> 0 AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2) SELECT frame, x, y, coalesce(v, 0) AS background FROM n WHERE k = n // 2 + 1")
+def px_box_median(spark, sf_dir):
+    """The background about each pixel; a box of four places is taken as one of five."""
+    return pixels.box_median(views.px(spark, sf_dir), 4)
+
+
+@query("WITH " + PX + ", p AS (SELECT frame, (y - 20) * 2 + x % 2 AS place, v FROM px WHERE y BETWEEN 20 AND 21), r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY frame, place) AS n FROM p WINDOW w AS (PARTITION BY frame, place ORDER BY v)), m AS (SELECT frame, place, sum(v)::DOUBLE / count(*) AS median FROM r WHERE CASE WHEN n % 2 = 0 THEN k IN (n // 2, n // 2 + 1) WHEN n >= 5 THEN k BETWEEN n // 2 AND n // 2 + 2 ELSE k = n // 2 + 1 END GROUP BY 1, 2) SELECT frame, max(median) - min(median) > 100 AS mosaic FROM m GROUP BY 1")
+def px_is_mosaic(spark, sf_dir):
+    return pixels.is_mosaic(views.px(spark, sf_dir), views.WIDTH, views.HEIGHT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,20 +39,28 @@ def julian_of_text(text: Column, exposure: Column | None = None) -> Column:
     return jd if exposure is None else jd + exposure / (2.0 * 86400.0)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), for which value is worked out once: as a plain column it would be repeated at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _calendar(jd: Column) -> tuple[Column, Column, Column, Column]:
     """Year, month, day and the part of the day, half a second on."""
-    jd = jd + 0.5 / 86400.0
-    z = trunc(jd + 0.5)
-    f = jd + 0.5 - z
-    g = trunc((z - 1867216.25) / 36524.25)
-    a = F.when(z < 2299160.5, z).otherwise(z + 1 + g - trunc(g / 4.0))
-    b = a + 1524.0
-    c = trunc((b - 122.1) / 365.25)
-    d = trunc(365.25 * c)
-    e = trunc((b - d) / 30.6001)
-    day = b - d - trunc(30.6001 * e)
-    month = F.when(e < 14, e - 1).otherwise(e - 13)
-    return F.when(month > 2, c - 4716).otherwise(c - 4715), month, day, f
+
+    def gregorian(z: Column) -> Column:
+        return _let(trunc((z - 1867216.25) / 36524.25), lambda g: F.when(z < 2299160.5, z).otherwise(z + 1 + g - trunc(g / 4.0)))
+
+    def date(c: Column, rest: Column, e: Column) -> Column:
+        month = F.when(e < 14, e - 1).otherwise(e - 13)
+        return F.struct(F.when(month > 2, c - 4716).otherwise(c - 4715).alias("y"), month.alias("m"), (rest - trunc(30.6001 * e)).alias("d"))
+
+    def from_march(b: Column) -> Column:
+        return _let(trunc((b - 122.1) / 365.25), lambda c: _let(b - trunc(365.25 * c), lambda rest: _let(trunc(rest / 30.6001), lambda e: date(c, rest, e))))
+
+    noon = jd + (0.5 / 86400.0) + 0.5
+    z = trunc(noon)
+    found = _let(gregorian(z) + 1524.0, from_march)
+    return found["y"], found["m"], found["d"], noon - z
 
 
 def two(x: Column) -> Column:

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.sky import ang_sep
+from skyframe.operators.scratch import stored
 
 
 def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float = 1.0) -> DataFrame:
     """stars (id, x, y) -> (id, other, rank, d2): the k nearest at a squared distance over `least`, for stars that have k
-    within `rings` cells; the others are matched against all that is left by growing the reach."""
+    within `rings` cells; the reach grows fourfold for the others, which are fewer each time, until none is left. Each reach's
+    answers are written, so that none is found twice."""
     spark = stars.sparkSession
     todo, found = stars.select("id", "x", "y"), None
+    stars = todo
     reach = rings
     extent = stars.agg(F.max(F.abs("x")), F.max(F.abs("y")), F.count("*")).first()
     if not extent[2]:
@@ -32,12 +35,14 @@ def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float
         last = reach > across
         # what lies within one cell's width can't be nearer in a cell that wasn't looked at
         sure = ranked if last else ranked.withColumn("far", F.max("d2").over(Window.partitionBy("id"))).withColumn("n", F.count("*").over(Window.partitionBy("id"))).filter((F.col("n") == k) & (F.col("far") <= size * size)).drop("far", "n")
-        sure = sure.select("id", "other", "rank", "d2")
+        sure = stored(sure.select("id", "other", "rank", "d2"), "nearest")
         found = sure if found is None else found.union(sure)
         if last:
             return found
-        todo = todo.join(sure.select("id").distinct(), "id", "left_anti")
-        reach = across + 1 if reach > 4 * rings else reach * 4
+        todo = stored(todo.join(sure.select("id").distinct(), "id", "left_anti"), "unsettled")
+        if todo.isEmpty():
+            return found
+        reach *= 4
 
 
 def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:

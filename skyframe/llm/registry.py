@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyframe.llm import decontaminate, html, jaccard, langid, licenses, linededup, packing, quality, secrets, warc
+from skyframe.llm import compression, decontaminate, html, jaccard, langid, licenses, linededup, packing, quality, search, secrets, warc, whitening
 
-MODULES = [html, jaccard, langid, linededup, licenses, secrets, packing, quality, warc, decontaminate]
+MODULES = [html, jaccard, langid, linededup, licenses, secrets, packing, quality, warc, decontaminate, search, whitening, compression]
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ def test_query(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -49,3 +49,62 @@ def tiles_of_field(ra: Column, dec: Column, field: float, n: int = 290) -> Colum
     beyond = lambda d: F.least(F.greatest(d, F.lit(-TWO_PI / 4)), F.lit(TWO_PI / 4))  # noqa: E731  past a pole it's the pole's tile
     corner = lambda s, w: tile(F.pmod(ra + w * h / F.cos(dec + s * h), F.lit(TWO_PI)), beyond(dec + s * h), n)
     return F.array_sort(F.array_distinct(F.array(*[corner(s, w) for s in (1, -1) for w in (1, -1)])))
+
+
+#: The widest field (degrees) whose corners can't pass over a tile.
+WIDEST = {290: 9.53, 1476: 5.142857}
+
+
+def corner_shares(ra: Column, dec: Column, field: Column, n: int = 290) -> Column:
+    """The tiles at the corners NE, NW, SE, SW of a square field (radians) with the share of the field that each covers:
+    array of (tile, share). A tile counts once, at its first corner, and shares under 1 % are left out."""
+    cells, bounds = scheme(n)
+    rings = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(c).alias("cells"), F.lit(f).alias("first")) for low, high, c, f in zip(bounds[:-1], bounds[1:], cells, accumulate([0, *cells]), strict=False)])
+    inner = F.array(*[F.lit(b) for b in bounds[1:-1]])
+    field = F.least(field, F.lit(math.radians(WIDEST[n])))
+    half = field / 2
+    corners = F.array(*[F.struct(F.lit(float(s)).alias("north"), F.lit(float(w)).alias("east")) for s, w in ((1, 1), (1, -1), (-1, 1), (-1, -1))])
+    # step by step, so that each value is worked out once
+    at = F.transform(corners, lambda c: F.struct(c["north"].alias("north"), c["east"].alias("east"), (dec + c["north"] * half).alias("d")))
+    at = F.transform(at, lambda c: F.struct(c["north"].alias("north"), c["east"].alias("east"), c["d"].alias("d"), (ra + c["east"] * half / F.cos(c["d"])).alias("r"), F.get(rings, F.size(F.filter(inner, lambda b: c["d"] > b))).alias("ring")))
+    turns = lambda c: F.when(c["r"] < 0, c["r"] + TWO_PI).when(c["r"] >= TWO_PI, c["r"] - TWO_PI).otherwise(c["r"]) * c["ring"]["cells"] / TWO_PI
+    at = F.transform(at, lambda c: F.struct(c["north"].alias("north"), c["east"].alias("east"), c["d"].alias("d"), c["ring"].alias("ring"), turns(c).alias("turn")))
+
+    def covered(c: Column) -> Column:
+        away = c["turn"] - F.floor(c["turn"])
+        cap = c["ring"]["cells"] == 1
+        width = F.when(cap, TWO_PI).otherwise(F.when(c["east"] > 0, away).otherwise(1 - away) * TWO_PI / c["ring"]["cells"] * F.cos(c["d"]))
+        height = F.when(c["north"] > 0, c["d"] - c["ring"]["low"]).otherwise(c["ring"]["high"] - c["d"])
+        number = c["ring"]["first"] + 1 + F.when(cap, 0).otherwise(F.floor(c["turn"]))
+        return F.struct(number.cast("long").alias("tile"), (F.least(width, field) * F.least(height, field) / (field * field)).alias("share"))
+
+    def add(out: Column, t: Column) -> Column:
+        return F.when(F.exists(out, lambda u: u["tile"] == t["tile"]), out).otherwise(F.concat(out, F.array(t)))
+
+    once = F.aggregate(F.transform(at, covered), F.expr("cast(array() as array<struct<tile:bigint,share:double>>)"), add)
+    return F.filter(once, lambda t: t["share"] >= 0.01)
+
+
+def _cells_of(band: Column, size: Column) -> Column:
+    """How many cells a band of declination has: none is narrower than size at any declination of it or a band beside it."""
+    low, high = (band - 1) * size - math.pi / 2, (band + 2) * size - math.pi / 2
+    thin = F.greatest(F.least(F.when(low > -math.pi / 2, F.cos(low)).otherwise(0.0), F.when(high < math.pi / 2, F.cos(high)).otherwise(0.0)), F.lit(0.0))
+    return F.greatest(F.lit(1), F.floor(thin * TWO_PI / size)).cast("long")
+
+
+def sky_cell(ra: Column, dec: Column, size: Column) -> Column:
+    """The cell of a grid over the sky, by bands of declination of that height (radians), each cut in right ascension."""
+    band = F.floor((dec + math.pi / 2) / size)
+    n = _cells_of(band, size)
+    return band * (1 << 31) + F.pmod(F.floor(ra / TWO_PI * n), n)
+
+
+def sky_cells_around(ra: Column, dec: Column, size: Column) -> Column:
+    """The cells that may hold a point p with |ra difference| * cos(dec) < size and |dec difference| < size."""
+    at = F.floor((dec + math.pi / 2) / size)
+    out = []
+    for step in (-1, 0, 1):
+        n = _cells_of(at + step, size)
+        own = F.floor(ra / TWO_PI * n)
+        out += [(at + step) * (1 << 31) + F.pmod(own + k, n) for k in (-1, 0, 1)]
+    return F.array_distinct(F.array(*out))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.sky import ang_sep
+from skyframe.functions.tiles import sky_cell, sky_cells_around
 from skyframe.operators.scratch import stored
 
 
@@ -98,13 +99,13 @@ def in_cone(catalog: DataFrame, ra0: float, dec0: float, radius: float) -> DataF
 
 def nearest_in_sky(points: DataFrame, catalog: DataFrame, radius: float, order: Column | None = None) -> DataFrame:
     """points (pid, ra, dec) and catalog (id, ra, dec): for each point the nearest row within radius on the flat sky (or
-    the first by `order`); cells are bands of declination of that height."""
-    band = lambda c: F.floor(c / radius)
-    p = points.select("pid", F.col("ra").alias("pra"), F.col("dec").alias("pdec"), F.explode(F.array(*[band(F.col("dec")) + m for m in (-1, 0, 1)])).alias("band"))
-    c = catalog.select("id", "ra", "dec", band(F.col("dec")).alias("band"))
+    the first by `order`); the join is on sky cells about as wide and high as the radius."""
+    size = F.lit(float(radius))
+    p = points.select("pid", F.col("ra").alias("pra"), F.col("dec").alias("pdec"), F.explode(sky_cells_around(F.col("ra"), F.col("dec"), size)).alias("cell"))
+    c = catalog.select("id", "ra", "dec", sky_cell(F.col("ra"), F.col("dec"), size).alias("cell"))
     dra = F.pmod(F.col("ra") - F.col("pra") + 3.141592653589793, F.lit(6.283185307179586)) - 3.141592653589793
     x, y = dra * F.cos("pdec"), F.col("dec") - F.col("pdec")
-    near = p.join(c, "band").withColumn("sep2", x * x + y * y).filter(F.col("sep2") < radius * radius)
+    near = p.join(c, "cell").withColumn("sep2", x * x + y * y).filter(F.col("sep2") < radius * radius)
     by = F.struct("sep2", "id") if order is None else F.struct(order, "id")
     return near.groupBy("pid").agg(F.min_by("id", by).alias("id"), F.sqrt(F.min_by("sep2", by)).alias("sep"))
 

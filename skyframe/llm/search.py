@@ -12,7 +12,7 @@ of these reaches the threshold, the tenth score so far, is a pivot. Then lists a
 the largest impact first: only blocks that hold pivots are decompressed, exact impacts take the place of the largest ones,
 and the pivots below the threshold go, so that later lists skip more. What stays has its exact score. All pivots of a
 segment are moved together (numpy) rather than one after the other; the skipping is the same. Thresholds go on from
-segment to segment of a task, and start from those of a first search in SEED segments; skipped is only what is below a
+segment to segment of a task, and start from those of a first search in the first segments of SEED tasks; skipped is only what is below a
 score that ten documents have, so the result is exact.
 
 A query set is looked up in blocks of at most `block_chars` characters, each against all segments.
@@ -33,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ BLOCK_CHARS = 2_000_000
 _TERM = [48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 for i in range(256)]
 FOLD = bytes((i + 32 if 65 <= i <= 90 else i) if t else 32 for i, t in enumerate(_TERM))
 IS_TERM = np.array(_TERM)
-INDEX = "docs array<long>, norms binary, terms binary, df binary, first binary, last binary, most binary, at binary, postings binary"
+INDEX = "task int, number int, docs array<long>, norms binary, terms binary, df binary, first binary, last binary, most binary, at binary, postings binary"
 FOUND = "item int, doc_id long, score long"
 
 
@@ -122,8 +123,8 @@ class Codes(dict):
 class Writer:
     """Gathers documents for a segment."""
 
-    def __init__(self, n: int, length: int) -> None:
-        self.n, self.length = n, length
+    def __init__(self, n: int, length: int, task: int = 0) -> None:
+        self.n, self.length, self.task, self.number = n, length, task, 0
         self.clear()
 
     def clear(self) -> None:
@@ -156,7 +157,8 @@ class Writer:
         postings, at = packed(np.stack([gap, tf], 1).ravel())
         own = zstandard.compress(b" ".join(self.codes))
         small = [df, doc[begin], doc[end], most, np.append(at[2 * begin], at[-1])]
-        row = [pa.array([self.ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in (norms.tobytes(), own, *[x.astype(np.int32).tobytes() for x in small], postings.tobytes())]]
+        row = [pa.array([self.task], pa.int32()), pa.array([self.number], pa.int32()), pa.array([self.ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in (norms.tobytes(), own, *[x.astype(np.int32).tobytes() for x in small], postings.tobytes())]]
+        self.number += 1
         self.clear()
         return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in INDEX.split(", ")])
 
@@ -167,7 +169,7 @@ def index(docs: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, int, int]
     n, length = totals(docs)
 
     def build(batches):
-        out = Writer(n, length)
+        out = Writer(n, length, TaskContext.get().partitionId())
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1)), strict=True):
                 out.add(doc_id, text)
@@ -310,7 +312,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, block_chars: int =
         weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * c + 1))) for t, c in df.items()}
         queries = [sorted((wanted[w], weight[wanted[w]]) for w in ws if wanted[w] in df) for ws in words]
         start = [1] * len(own)
-        for r in ranked(lookup(segments.limit(SEED), queries, wanted, start, top), top).filter(F.col("rank") == top).collect():
+        for r in ranked(lookup(segments.filter((F.col("task") < SEED) & (F.col("number") == 0)), queries, wanted, start, top), top).filter(F.col("rank") == top).collect():
             start[r["item"]] = max(1, r["score"])
         found = written(lookup(segments, queries, wanted, start, top), "found")
         names = spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(own)], "item int, item_id string")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from skyframe.functions import sky, tiles
 from skyframe.operators import field, sip
 from skyframe.operators.fit import POWERS
+from skyframe.operators.scratch import path_for
 from skyframe.plans import views
 from skyframe.plans.queries import TWO_PI, _tiles_sql, query, r6
 from skyframe.plans.views import CATALOG
+from skyframe.sources import codecs, startiles
 
 # ---- distortion ----------------------------------------------------------------------------------------------------
 
@@ -128,3 +130,20 @@ WANTED = 6
 def catalog_in_field(spark, sf_dir):
     got = field.brightest_by_tile(_fields(spark, sf_dir), views.catalog(spark, sf_dir), WANTED)
     return got.select("frame", "id", "tile", r6("mag", "mag"), (F.round("xi", 6) + 0.0).alias("xi"), (F.round("eta", 6) + 0.0).alias("eta"))
+
+
+RU, DU = repr(codecs.RA_UNIT) + "::DOUBLE", repr(codecs.DEC_UNIT) + "::DOUBLE"
+STORED = f"stored AS (SELECT {TILE_OF} AS tile, floor(ra / {RU} + 0.5) * {RU} AS ra, floor(dec / {DU} + 0.5) * {DU} AS dec, floor(mag * 10 + 0.5) / 10 AS mag, floor(colour * 10 + 0.5) / 10 AS colour FROM catalog JOIN ring ON dec <= high AND (dec > low OR k = 0))"
+
+
+def _star_tiles(spark, sf_dir, n=290):
+    path = path_for(spark, "tiles")
+    startiles.write(views.catalog(spark, sf_dir).select("ra", "dec", "mag", "colour"), path, n).write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query(f"WITH {CATALOG}, {_tiles_sql(290)}, {STORED} SELECT CAST(tile AS INTEGER) AS tile, round(ra, 5) AS ra, round(dec, 5) AS dec, mag, colour FROM stored WHERE mag <= 12.5 AND dec > 0.2")
+def star_tiles(spark, sf_dir):
+    """The catalogue written as tiles and read again by declination and magnitude, through the data source."""
+    got = startiles.read(spark, _star_tiles(spark, sf_dir)).filter("mag <= 12.5 and dec > 0.2")
+    return got.select("tile", F.round("ra", 5).alias("ra"), F.round("dec", 5).alias("dec"), "mag", "colour")

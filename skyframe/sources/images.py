@@ -12,7 +12,6 @@ from skyframe.sources import codecs
 
 TILES = "file string, ch int, y0 int, x0 int, h int, w int, data array<float>"
 CARDS = "file string, pos int, key string, text string"
-STARS = "tile string, ra double, dec double, mag double, colour double"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,21 +63,6 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).filter(file_kind(F.col("file")) == "fits").select("file", "content").mapInPandas(cards, CARDS)
 
 
-def read_star_tiles(spark: SparkSession, path: str, ra0: float | None = None, dec0: float | None = None, field: float = 0.0) -> DataFrame:
-    """Stars of tile files; with a centre, those in the square field about it (radians)."""
-
-    def stars(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["file"], pdf["content"], strict=True):
-                yield pd.DataFrame(codecs.read_tile(bytes(data)), columns=["ra", "dec", "mag", "colour"]).assign(tile=name.rsplit("/", 1)[-1])[["tile", "ra", "dec", "mag", "colour"]]
-
-    out = files(spark, path).select("file", "content").mapInPandas(stars, STARS)
-    if ra0 is None:
-        return out
-    away = F.abs(F.pmod(F.col("ra") - ra0 + np.pi, F.lit(2 * np.pi)) - np.pi)
-    return out.filter((away * F.cos(F.lit(dec0)) < field / 2) & (F.abs(F.col("dec") - dec0) < field / 2))
-
-
 def write_images(tiles: DataFrame, out: str, bits: int = -32) -> DataFrame:
     """A FITS file for each frame, under its own name; returns (file, bytes). Each is written aside and renamed."""
     from pyarrow import fs as afs

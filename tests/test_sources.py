@@ -55,8 +55,6 @@ def test_spark_readers(spark, img, tmp_path):
     assert sorted(codecs.card_value(r["text"]) for r in h.collect()) == [0, 1, 2]
     assert images.write_images(t, f"file://{tmp_path}/out").count() == 3
     assert np.array_equal(codecs.read_fits((tmp_path / "out/f2.fits").read_bytes())[1], img + 2)
-    (tmp_path / "x_0101.290").write_bytes(codecs.write_tile(np.array([[1.0, 0.5, 9.0, 0.1], [1.5, 0.5, 9.0, 0.1]])))
-    assert images.read_star_tiles(spark, f"{tmp_path}/*.290", 1.01, 0.5, 0.1).count() == 1
 
 
 def test_cards_that_repeat_and_new_ones(spark):

@@ -46,9 +46,8 @@ def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float
         reach *= 4
 
 
-def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """A star and its 3 nearest: the longest side, the others' ratios to it (falling), and the centre. Equal quads, by
-    their members, count once."""
+def all_quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """A star and its 3 nearest: members (sorted), the six sides (falling), and the centre."""
     at = stars.select(F.col("id").alias("other"), F.struct(F.col("id").alias("other"), "x", "y").alias("p"))
     around = neighbours.filter("rank <= 3").join(at, "other").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("ps")).filter(F.size("ps") == 3)
     both = around.join(at.select(F.col("other").alias("id"), F.col("p").alias("p0")), "id")
@@ -56,9 +55,53 @@ def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
     side = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
     sides = F.sort_array(F.array(*[side(pts[i], pts[j]) for i in range(4) for j in range(i + 1, 4)]), asc=False)
     mean = lambda c: sum((p[c] for p in pts[1:]), pts[0][c]) / 4.0
-    out = both.select("id", F.array_sort(F.array(*[p["other"] for p in pts])).alias("members"), sides.alias("s"), mean("x").alias("xc"), mean("y").alias("yc"))
-    first = out.groupBy("members").agg(F.min_by(F.struct("id", "s", "xc", "yc"), "id").alias("q")).select("q.*")
-    return first.select("id", F.get("s", F.lit(0)).alias("d1"), *[(F.get("s", F.lit(i)) / F.get("s", F.lit(0))).alias(f"r{i + 1}") for i in range(1, 6)], "xc", "yc")
+    return both.select("id", F.array_sort(F.array(*[p["other"] for p in pts])).alias("members"), sides.alias("s"), mean("x").alias("xc"), mean("y").alias("yc"))
+
+
+def ratios(quads: DataFrame) -> DataFrame:
+    """The longest side, and the others' ratios to it."""
+    return quads.select("id", F.get("s", F.lit(0)).alias("d1"), *[(F.get("s", F.lit(i)) / F.get("s", F.lit(0))).alias(f"r{i + 1}") for i in range(1, 6)], "xc", "yc")
+
+
+def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Quads with their ratios; equal ones, by their members, count once."""
+    out = all_quads(stars, neighbours)
+    return ratios(out.groupBy("members").agg(F.min_by(F.struct("id", "s", "xc", "yc"), "id").alias("q")).select("q.*"))
+
+
+def first_within(points: DataFrame, distance: float = 1.0) -> DataFrame:
+    """points (id, x, y): the ids that a walk in order of id keeps, which passes by a point closer than `distance` in
+    both x and y to one kept before.
+
+    Rounds on a grid of cells of that width take the walk's place: a point with the least id of its own and the eight cells
+    around is kept, as nothing that comes before it can stand in its way; then what is close to a kept one goes. A
+    cell keeps one point at most and is known by its least id, so a crowded one is never a group of pairs. What a round
+    decides is written."""
+    spark = points.sparkSession
+    cell = lambda c: F.floor(F.col(c) / distance)
+    todo = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = lambda df: df.withColumn("m", F.explode(moves)).withColumns({"cx": F.col("cx") + F.col("m.i"), "cy": F.col("cy") + F.col("m.j")}).drop("m")
+    kept = None
+    while True:
+        least = todo.groupBy("cx", "cy").agg(F.min("id").alias("id"))
+        around = spread(least).groupBy("cx", "cy").agg(F.min("id").alias("least"))
+        new = stored(todo.join(least, ["cx", "cy", "id"]).join(around, ["cx", "cy"]).filter(F.col("id") == F.col("least")).select("id", "x", "y", "cx", "cy").dropDuplicates(["id"]), "kept")
+        if new.isEmpty():
+            break
+        kept = new if kept is None else kept.union(new)
+        by = spread(new.select(F.col("x").alias("kx"), F.col("y").alias("ky"), "cx", "cy"))
+        close = (F.abs(F.col("x") - F.col("kx")) < distance) & (F.abs(F.col("y") - F.col("ky")) < distance)
+        gone = todo.join(by, ["cx", "cy"]).filter(close).select("id").union(new.select("id")).distinct()
+        todo = stored(todo.join(gone, "id", "left_anti"), "undecided")
+    return kept.select("id", "x", "y") if kept is not None else spark.createDataFrame([], "id long, x double, y double")
+
+
+def distinct_quads(stars: DataFrame, neighbours: DataFrame, distance: float = 1.0) -> DataFrame:
+    """Quads with their ratios; of those whose centres are closer than `distance` in x and y, the first counts."""
+    out = stored(all_quads(stars, neighbours), "quads")
+    kept = first_within(out.select("id", F.col("xc").alias("x"), F.col("yc").alias("y")), distance)
+    return ratios(out.join(kept.select("id"), "id"))
 
 
 def triples(stars: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -35,20 +35,65 @@ def upper_median(df: DataFrame, by: list[str], value: str, name: str = "median")
     return _ranked(df, by, value).filter((F.col("lo") <= at) & (at <= F.col("hi"))).select(*by, F.col("v").alias(name))
 
 
+def _deviations(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values with their counts k, the group's size n, median and mad. Windows over the counts take the place of
+    joins of the rows with their group's statistics."""
+    group = Window.partitionBy(*by)
+    n = F.col("n")
+    half = F.floor(n / 2)
+    first = F.when(n % 2 == 0, half).when(n >= 5, half).otherwise(half + 1)
+    last = F.when(n % 2 == 0, half + 1).when(n >= 5, half + 2).otherwise(half + 1)
+    here = F.greatest(F.lit(0), F.least(F.col("hi"), last) - F.greatest(F.col("lo"), first) + 1)
+
+    def middle(ranked: DataFrame, v: str, name: str) -> DataFrame:
+        return ranked.withColumn("here", here).withColumn(name, F.sum(F.col(v) * F.col("here")).over(group) / F.sum("here").over(group).cast("double"))
+
+    own = middle(_ranked(df, by, value), "v", "median").withColumn("d", F.abs(F.col("v") - F.col("median")))
+    up = Window.partitionBy(*by).orderBy("d", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("hi", F.sum("k").over(up)).withColumn("lo", F.col("hi") - F.col("k") + 1)
+    return middle(own, "d", "mad").drop("here", "lo", "hi")
+
+
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """median, and mad: the robust median of the distances from it."""
-    med = smedian(df, by, value)
-    away = df.join(med, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("d"))
-    return med.join(smedian(away, by, "d", "mad"), by)
+    return _deviations(df, by, value).groupBy(*by).agg(F.first("median").alias("median"), F.first("mad").alias("mad"))
 
 
 def best_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, sem and used: values within 1.5 * 1.4826 * mad of the median (less than; so if mad is 0 none is used, and
     the mean is null); of one or two values all."""
-    stats = mad(df, by, value).join(df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")), by)
     sigma = F.col("mad") * 1.4826
-    kept = df.filter(F.col(value).isNotNull()).join(stats, by).filter((F.col("n") <= 2) | (F.abs(F.col(value) - F.col("median")) < 1.5 * sigma))
-    means = kept.groupBy(*by).agg(F.count("*").alias("used"), (F.sum(value) / F.count("*")).alias("mean"))
-    out = stats.join(means, by, "left")
+    kept = (F.col("n") <= 2) | (F.col("d") < 1.5 * sigma)
+    out = _deviations(df, by, value).groupBy(*by).agg(F.first("n").alias("n"), F.first("mad").alias("mad"), F.sum(F.when(kept, F.col("k"))).alias("used"), F.sum(F.when(kept, F.col("v") * F.col("k"))).alias("total"))
     sem = F.when(F.col("n") <= 2, 0.0).when(F.col("used") > 0, sigma / F.sqrt(F.col("used").cast("double")))
-    return out.select(*by, "mean", sem.alias("sem"), F.coalesce("used", F.lit(0)).cast("long").alias("used"))
+    return out.select(*by, (F.col("total") / F.col("used")).alias("mean"), sem.alias("sem"), F.coalesce("used", F.lit(0)).cast("long").alias("used"))
+
+
+BINS, FEW = 1024, 10_000
+
+
+def overall_upper_median(df: DataFrame, value: str) -> float | None:
+    """The value of rank n div 2 + 1 of all rows (None without any), by histograms that close in on it: no task sees more
+    than FEW values at the end, however many rows there are."""
+    v = F.col(value).cast("double")
+    rows = df.filter(F.col(value).isNotNull()).select(v.alias("v"))
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    rank, inside = n // 2 + 1, n  # the rank is counted within low .. high
+    while inside > FEW and low < high:
+        width = (high - low) / BINS
+        bins = rows.filter(F.col("v").between(low, high)).groupBy(F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for b in sorted(bins.collect()):  # BINS at most
+            if rank <= b["k"]:
+                break
+            rank -= b["k"]
+        if (b["low"], b["high"]) == (low, high):  # the bins are no finer than the values
+            break
+        low, high, inside = b["low"], b["high"], b["k"]
+    counts = rows.filter(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect()
+    for r in counts:
+        if rank <= r["count"]:
+            return r["v"]
+        rank -= r["count"]
+    raise AssertionError("ranks and counts disagree")

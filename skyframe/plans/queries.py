@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import light, sky, text, tiles, when
 from skyframe.operators import cards, catalogs, fit, match, pixels, robust, stack
+from skyframe.operators.scratch import stored
 from skyframe.plans import views
 from skyframe.plans.views import CARDS, CATALOG, HEIGHT, LC, NAMES, PX, PXL, STARS, WIDTH
 
@@ -608,6 +609,19 @@ def _quads(spark, sf_dir):
     return match.quads(views.stars(spark, sf_dir).select("id", "x", "y"), _knn(spark, sf_dir))
 
 
+ALL_QUADS = QUADS[: QUADS.index(", quads AS (")]
+
+
+@query("WITH RECURSIVE " + ALL_QUADS[len("WITH ") :] + """, o AS (SELECT id, s, xc, yc, row_number() OVER (ORDER BY id) AS k FROM s),
+ walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) AS kept UNION ALL
+  SELECT o.k, CASE WHEN len(list_filter(kept, lambda p: abs(p.x - xc) < 1 AND abs(p.y - yc) < 1)) > 0 THEN kept ELSE list_append(kept, struct_pack(id := id, x := xc, y := yc)) END FROM walk JOIN o ON o.k = walk.k + 1),
+ f AS (SELECT unnest(kept).id AS id FROM walk WHERE k = (SELECT max(k) FROM walk))
+ SELECT id, round(s[1], 6) AS d1, """ + ", ".join(f"round(s[{i}] / s[1], 6) AS r{i}" for i in range(2, 7)) + ", round(xc, 6) AS xc, round(yc, 6) AS yc FROM s JOIN f USING (id)")
+def quads_first_within(spark, sf_dir):
+    out = match.distinct_quads(views.stars(spark, sf_dir).select("id", "x", "y"), _knn(spark, sf_dir))
+    return out.select("id", *[r6(c, c) for c in ("d1", "r2", "r3", "r4", "r5", "r6", "xc", "yc")])
+
+
 @query(QUADS + " SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("d1", "r2", "r3", "r4", "r5", "r6", "xc", "yc")) + " FROM quads")
 def quads(spark, sf_dir):
     return _quads(spark, sf_dir).select("id", *[r6(c, c) for c in ("d1", "r2", "r3", "r4", "r5", "r6", "xc", "yc")])
@@ -623,7 +637,7 @@ PAIRS = QUADS + ", m AS (SELECT a.id AS id_a, b.id AS id_b, b.d1 / a.d1 AS ratio
 
 
 def _pairs(spark, sf_dir):
-    q = _quads(spark, sf_dir)
+    q = stored(_quads(spark, sf_dir), "quads")
     return match.band_match(q.filter("id % 2 = 0"), q.filter("id % 2 = 1"), ["r2", "r3", "r4", "r5", "r6"], 0.05)
 
 
@@ -634,9 +648,9 @@ def quad_match(spark, sf_dir):
 
 @query(PAIRS + ", k AS (SELECT ratio AS med FROM (SELECT ratio, row_number() OVER (ORDER BY ratio) AS k, count(*) OVER () AS n FROM m) WHERE k = n // 2 + 1) SELECT id_a, id_b, round(ratio, 6) AS ratio FROM m, k WHERE abs(med - ratio) <= 0.3::DOUBLE")
 def quad_ratio_filter(spark, sf_dir):
-    p = _pairs(spark, sf_dir).withColumn("all", F.lit(1))
-    med = robust.upper_median(p, ["all"], "ratio", "med")
-    return p.join(F.broadcast(med), "all").filter(F.abs(F.col("med") - F.col("ratio")) <= 0.3).select("id_a", "id_b", r6("ratio", "ratio"))
+    p = stored(_pairs(spark, sf_dir), "pairs")
+    med = robust.overall_upper_median(p, "ratio")
+    return p.filter(F.abs(F.lit(med) - F.col("ratio")) <= 0.3).select("id_a", "id_b", r6("ratio", "ratio"))
 
 
 @query("WITH " + STARS + ", t AS (SELECT max(snr) AS top FROM stars), b AS (SELECT floor(snr * 200 / top) AS bin, count(*) AS k FROM stars, t GROUP BY 1), c AS (SELECT max(CASE WHEN above >= 100 THEN bin END) AS cut FROM (SELECT bin, sum(k) OVER (ORDER BY bin DESC) AS above FROM b)) SELECT id, round(snr, 6) AS snr FROM stars, t, c WHERE snr >= cut * top / 200")

@@ -35,3 +35,56 @@ def test_box_median_ignores_zero(spark):
     px = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 4), (0, 2, 0, 8), (0, 9, 9, 0)], "frame long, x long, y long, v long")
     got = {(g["x"], g["y"]): g["background"] for g in pixels.box_median(px, 2).collect()}
     assert got == {(0, 0): 4, (1, 0): 8, (2, 0): 8, (9, 9): 0}
+
+
+def walk(points, distance):
+    kept = []
+    for i, x, y in sorted(points):
+        if not any(abs(x - a) < distance and abs(y - b) < distance for _, a, b in kept):
+            kept.append((i, x, y))
+    return {i for i, _, _ in kept}
+
+
+def test_first_within_is_the_walk(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    crowd = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 12, (400, 2)))]
+    heap = [(1000 + i, 50.0 + i * 1e-4, 50.0) for i in range(300)]  # one cell
+    chain = [(2000 + i, 100.0 + i * 0.7, 3.0) for i in range(40)]
+    edge = [(3000, -0.5, -0.5), (3001, 0.5, 0.5), (3002, 0.49, -0.5)]
+    for points in (crowd, heap, chain, edge, crowd + heap + chain + edge):
+        got = {r["id"] for r in match.first_within(spark.createDataFrame(points, "id long, x double, y double"), 1.0).collect()}
+        assert got == walk(points, 1.0)
+    assert match.first_within(spark.createDataFrame([], "id long, x double, y double")).count() == 0
+
+
+def test_sky_cells_find_all_neighbours(spark):
+    """Near the poles, over the turn of right ascension, and elsewhere: the same as all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, radius = 900, 0.06
+    dec = np.concatenate([np.arcsin(rng.uniform(-1, 1, n)), rng.uniform(1.45, 1.57, 60), rng.uniform(-1.57, -1.45, 60)])
+    ra = np.concatenate([rng.uniform(0, 2 * np.pi, n), rng.uniform(0, 2 * np.pi, 120)])
+    ra[:40] = rng.uniform(0, 0.03, 40)
+    cat = list(zip(range(len(ra)), ra.tolist(), dec.tolist(), strict=True))
+    points = [(i, (r + 0.01) % (2 * np.pi), float(np.clip(d + 0.005, -1.57, 1.57))) for i, r, d in cat[::3]]
+    got = {r["pid"]: r["id"] for r in match.nearest_in_sky(spark.createDataFrame(points, "pid long, ra double, dec double"), spark.createDataFrame(cat, "id long, ra double, dec double"), radius).collect()}
+    want = {}
+    for p, r, d in points:
+        x, y = ((ra - r + np.pi) % (2 * np.pi) - np.pi) * np.cos(d), dec - d
+        s = x * x + y * y
+        if s.min() < radius * radius:
+            want[p] = int(s.argmin())
+    assert got == want
+
+
+def test_overall_median(spark, monkeypatch):
+    from skyframe.operators import robust
+
+    monkeypatch.setattr(robust, "FEW", 20)
+    for values in ([1.0], [2.0] * 500, [float(i % 7) for i in range(300)], [i * i * 0.37 for i in range(801)], [5.0] * 50 + [1e9]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert robust.overall_upper_median(df, "v") == sorted(values)[len(values) // 2]
+    assert robust.overall_upper_median(spark.createDataFrame([], "v double"), "v") is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyframe.functions import sky, tiles
-from skyframe.operators import field, sip
+from skyframe.operators import field, mosaic as mosaics, sip
 from skyframe.operators.fit import POWERS
 from skyframe.operators.scratch import path_for
 from skyframe.plans import views
@@ -147,3 +147,51 @@ def star_tiles(spark, sf_dir):
     """The catalogue written as tiles and read again by declination and magnitude, through the data source."""
     got = startiles.read(spark, _star_tiles(spark, sf_dir)).filter("mag <= 12.5 and dec > 0.2")
     return got.select("tile", F.round("ra", 5).alias("ra"), F.round("dec", 5).alias("dec"), "mag", "colour")
+
+
+# ---- mosaics -------------------------------------------------------------------------------------------------------
+
+#: Frames of 24 x 24 pixels, one for each supplier, ten to a row, 18 apart: neighbours share six rows or columns. A frame
+#: has its own level. Levels of pixels are whole numbers.
+SIDE, STEP, LIMIT = 24, 18, 4000.0
+
+
+def _tiles_px(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % SIDE).alias("x"), (F.col("l_orderkey") % SIDE).alias("y"), F.col("l_quantity").cast("long").alias("q"))
+    return li.groupBy("frame", "x", "y").agg(F.expr("sum(q) div count(*)").alias("q")).select("frame", "x", "y", (2000 + F.col("frame") * 29 % 200 + F.col("q")).alias("v"))
+
+
+def _tiles_frames(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return views.table(spark, sf_dir, "supplier").select(k.alias("frame"), k.alias("order"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), (k % 10 * STEP).alias("dx"), (F.floor(k / 10) * STEP).alias("dy"))
+
+
+TILES_PX = f"tp AS (SELECT frame, x, y, 2000 + frame * 29 % 200 + q AS v FROM (SELECT l_suppkey AS frame, l_partkey % {SIDE} AS x, l_orderkey % {SIDE} AS y, CAST(sum(CAST(l_quantity AS BIGINT)) // count(*) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2, 3))"
+
+
+@query(f"""WITH RECURSIVE {TILES_PX},
+ p AS (SELECT frame, x + frame % 10 * {STEP} AS x, y + frame // 10 * {STEP} AS y, CAST(v AS DOUBLE) AS v, CAST(1 + least(x, y, {SIDE - 1} - x, {SIDE - 1} - y) AS DOUBLE) AS d FROM tp WHERE x BETWEEN 1 AND {SIDE - 3} AND y BETWEEN 1 AND {SIDE - 3}),
+ l AS (SELECT x, y, list(struct_pack(f := frame, v := v, d := d) ORDER BY frame) AS own FROM p GROUP BY x, y),
+ e AS (SELECT x, y, own, unnest(range(1, len(own) + 1)) AS k FROM l),
+ w AS (SELECT x, y, own, k, list_transform(range(1, k + 1), lambda j: CASE WHEN j = 1 THEN 1.0::DOUBLE ELSE own[j].d / (own[j].d + own[j - 1].d) END * coalesce(list_product(list_transform(range(j + 1, k + 1), lambda i: 1 - own[i].d / (own[i].d + own[i - 1].d))), 1)) AS c FROM e),
+ b AS (SELECT a.x, a.y, n.own[n.k].f AS f, list_sum(list_transform(range(1, a.k + 1), lambda j: a.c[j] * a.own[j].v)) - n.own[n.k].v AS d, a.c, list_transform(range(1, a.k + 1), lambda j: a.own[j].f) AS others FROM w a JOIN w n ON a.x = n.x AND a.y = n.y AND n.k = a.k + 1),
+ g AS (SELECT * FROM b WHERE abs(d) < {LIMIT}),
+ base AS (SELECT f, avg(d) AS a, count(*) AS n FROM g GROUP BY f),
+ need AS (SELECT f, o, sum(c) AS c FROM (SELECT f, unnest(others) AS o, unnest(c) AS c FROM g) GROUP BY f, o),
+ prep AS (SELECT s_suppkey AS f, row_number() OVER (ORDER BY s_suppkey) AS k, coalesce(a, 0) AS a, coalesce(n, 1) AS n, (SELECT list(struct_pack(o := o, c := c)) FROM need WHERE need.f = s_suppkey) AS l FROM supplier LEFT JOIN base ON base.f = s_suppkey),
+ walk AS (SELECT CAST(0 AS BIGINT) AS k, MAP([CAST(-1 AS BIGINT)], [0.0::DOUBLE]) AS m UNION ALL SELECT prep.k, map_concat(m, MAP([prep.f], [a + coalesce(list_sum(list_transform(l, lambda q: q.c * m[q.o] / n)), 0)])) FROM walk JOIN prep ON prep.k = walk.k + 1),
+ lev AS (SELECT m FROM walk ORDER BY k DESC LIMIT 1),
+ done AS (SELECT x, y, k AS frames, list_sum(list_transform(range(1, k + 1), lambda j: c[j] * (own[j].v + m[own[j].f]))) AS v FROM w, lev WHERE k = len(own)),
+ grown AS (SELECT x, y, 0 AS o, v, frames FROM done UNION ALL SELECT x + 1, y, 1, v, 0 FROM done UNION ALL SELECT x, y + 1, 2, v, 0 FROM done)
+ SELECT x, y, round(v, 4) AS v, CAST(frames AS BIGINT) AS frames FROM grown WHERE x <= (SELECT max(x) FROM done) AND y <= (SELECT max(y) FROM done) QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY o) = 1""")
+def mosaic(spark, sf_dir):
+    got = mosaics.mosaic(_tiles_px(spark, sf_dir), _tiles_frames(spark, sf_dir), LIMIT)
+    return got.select("x", "y", F.round("v", 4).alias("v"), "frames")
+
+
+@query(f"""WITH {TILES_PX}, c AS (SELECT frame, CASE WHEN x <= 5 AND y <= 5 THEN 0 WHEN x <= 5 AND y >= 19 THEN 1 WHEN x >= 19 AND y <= 5 THEN 2 WHEN x >= 19 AND y >= 19 THEN 3 END AS corner, v FROM tp),
+ m AS (SELECT frame, corner, v FROM (SELECT frame, corner, v, count(*) AS k FROM c WHERE corner IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY frame, corner ORDER BY k DESC, v) = 1),
+ r AS (SELECT frame, v, row_number() OVER (PARTITION BY frame ORDER BY v, corner) AS r, count(*) OVER (PARTITION BY frame) AS n FROM m)
+ SELECT frame, avg(v) AS background FROM r WHERE r BETWEEN (n + 1) // 2 AND n // 2 + 1 GROUP BY frame""")
+def mosaic_background(spark, sf_dir):
+    return mosaics.corner_background(_tiles_px(spark, sf_dir), _tiles_frames(spark, sf_dir))

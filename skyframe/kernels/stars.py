@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -46,80 +48,135 @@ def _sub(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(ok, v, 0.0)
 
 
+@lru_cache(maxsize=64)
+def _grid(half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a square of that half width about its middle: columns, rows, distances, and the square rings' numbers."""
+    j, i = np.mgrid[-half : half + 1, -half : half + 1]
+    return i, j, np.sqrt(i * i + j * j), np.maximum(np.abs(i), np.abs(j))
+
+
+@lru_cache(maxsize=64)
+def _around(radius: int, outer: int) -> np.ndarray:
+    """The pixels of a square that are further than radius from its middle, up to outer."""
+    i, j, _, _ = _grid(outer)
+    away = i * i + j * j
+    return (away > radius * radius) & (away <= outer * outer)
+
+
+#: Fixed values of a star's measurement.
+LIT = 3.0  # deviations of the sky over which a pixel belongs to the star
+LEAST_FLUX = 12.0  # deviations that the lit pixels of a box add up to at least
+FILLED = 2 / 9  # of a box's pixels that are lit when it is no wider than its star
+FADED = 0.1  # of the fullest radius: a radius with no more lit pixels than that ends the aperture
+SPARSE = 0.35  # of the square inside the aperture that its lit pixels cover at least
+
+
+def _box_sizes(radius: int) -> np.ndarray:
+    """Half widths of the boxes that are tried: every second one down to 4 or 3, then each down to 2."""
+    wide = [*range(radius, 4, -2)]
+    return np.array([*wide, *range(wide[-1] - 2 if wide else radius, 1, -1)] or [radius])
+
+
+def _box(cut: np.ndarray, sizes: np.ndarray, sd: float, near: tuple[float, float, float, float]) -> tuple[int, float, float] | None:
+    """Of the boxes of those half widths, all about the cut's middle, the first that is filled: half width and centroid of
+    its lit pixels. If none is, the half width is 1 and the centroid the last box's. None if a box up to there has too little
+    light, a single lit pixel, or a centroid that is closer than its half width to the edge of the frame, which is `near`
+    (left, right, bottom, top) from the middle.
+
+    A box is all square rings up to its half width, so the sums of all boxes are running sums over rings."""
+    middle = len(cut) // 2
+    lit = cut > LIT * sd
+    i, j, _, ring = (g[lit] for g in _grid(middle))
+    v = cut[lit]
+    light, count, right, up = (np.cumsum(np.bincount(ring, w, middle + 1))[sizes] for w in (v, None, v * i, v * j))
+    enough = (light > LEAST_FLUX * sd) & (count > 1)
+    x, y = right / np.where(enough, light, 1), up / np.where(enough, light, 1)
+    left, far, low, high = near
+    enough &= (x + left >= sizes) & (far - x >= sizes) & (y + low >= sizes) & (high - y >= sizes)
+    filled = count >= FILLED * (2 * sizes + 1) ** 2
+    at = int(filled.argmax()) if filled.any() else len(sizes) - 1
+    return (int(sizes[at]) if filled[at] else 1, float(x[at]), float(y[at])) if enough[: at + 1].all() else None
+
+
+def _aperture(radius: np.ndarray, widest: int) -> int | None:
+    """The first radius at which the lit pixels, given by their radii, have faded out; None if there is none below
+    `widest`, or if too few are lit inside it."""
+    lit = np.bincount(radius, minlength=widest + 1)
+    so_far = np.cumsum(lit)
+    faded = (so_far > 0) & (lit <= FADED * np.maximum.accumulate(lit))
+    r = int(faded[:widest].argmax())
+    return r if faded[:widest].any() and (r <= 2 or so_far[r] >= SPARSE * (2 * r - 2) ** 2) else None
+
+
 def measure(img: np.ndarray, x: int, y: int, radius: int = 14, aperture: float = 99.0) -> dict | None:
     """Half-flux diameter, width, flux, signal to noise and centre of the star at (x, y); None if there is none.
 
-    The sky is the robust median of a ring; the centre is the centroid of what stands 3 deviations over it in a box that
-    shrinks until it is filled; the aperture ends where the radial histogram of such pixels falls to a tenth."""
+    The sky is the robust median of a ring just outside `radius`, its deviation the scaled robust median of the distances
+    from it. The centre is the centroid of the lit pixels of the widest box that they fill (`_box`). About it, values are read at
+    whole steps; the aperture ends where the lit ones have faded out (`_aperture`). Flux is the sum of the aperture's
+    square over the sky; the half-flux diameter is twice the mean distance weighted by it; the width is that of a disc of
+    as many pixels as reach half the peak."""
     h, w = img.shape
     outer = radius + (3 if aperture < 99 else 1)
-    if x - outer <= 0 or x + outer >= w - 1 or y - outer <= 0 or y + outer >= h - 1:
+    if not (outer < x < w - 1 - outer and outer < y < h - 1 - outer):
         return None
-    j, i = np.mgrid[-outer : outer + 1, -outer : outer + 1]
-    d2 = i * i + j * j
     cut = img[y - outer : y + outer + 1, x - outer : x + outer + 1]
-    ring = cut[(d2 > radius * radius) & (d2 <= outer * outer)]
+    ring = cut[_around(radius, outer)]
     sky = smedian(ring)
     sd = max(smedian(np.abs(ring - sky)) * 1.4826, 1.0)
-    rs = radius
-    while True:
-        box = cut[outer - rs : outer + rs + 1, outer - rs : outer + rs + 1] - sky
-        jj, ii = np.mgrid[-rs : rs + 1, -rs : rs + 1]
-        bright = box > 3 * sd
-        total, n = box[bright].sum(), int(bright.sum())
-        if total <= 12 * sd:
-            return None
-        xc, yc = x + (box * ii)[bright].sum() / total, y + (box * jj)[bright].sum() / total
-        if not (rs <= xc <= w - 1 - rs and rs <= yc <= h - 1 - rs) or n <= 1:
-            return None
-        filled = n >= 2 / 9 * (2 * rs + 1) ** 2
-        if not filled:
-            rs -= 2 if rs > 4 else 1
-        if filled or rs <= 1:
-            break
-    rs += 2
-    jj, ii = np.mgrid[-rs : rs + 1, -rs : rs + 1]
-    at = np.floor(np.sqrt(ii * ii + jj * jj) + 0.5).astype(int)
-    val = _sub(img, xc + ii, yc + jj) - sky
-    lit = (at <= rs) & (val > 3 * sd)
-    hist = np.bincount(at[lit], minlength=rs + 1)
-    peak = float(val[lit].max(initial=0.0))
-    top, seen, started, r = 0, 0, False, -1
-    while True:
-        r += 1
-        seen += hist[r]
-        started |= hist[r] > 0
-        top = max(top, hist[r])
-        if r >= rs or started and hist[r] <= 0.1 * top:
-            break
-    if r >= rs or r > 2 and seen < 0.35 * (2 * r - 2) ** 2:
+    box = _box(cut - sky, _box_sizes(radius), sd, (x, w - 1 - x, y, h - 1 - y))
+    if box is None:
+        return None
+    half, xc, yc = box[0], x + box[1], y + box[2]
+    widest = half + 2
+    i, j, far, square = _grid(widest)
+    value = _sub(img, xc + i, yc + j) - sky
+    radii = np.floor(far + 0.5).astype(int)
+    lit = (radii <= widest) & (value > LIT * sd)
+    r = _aperture(radii[lit], widest)
+    if r is None:
         return None
-    jj, ii = np.mgrid[-r : r + 1, -r : r + 1]
-    val = _sub(img, xc + ii, yc + jj) - sky
-    flux, pixels = max(float(val.sum()), 1e-5), float((val >= peak / 2).sum())
-    hfd = max(0.7, 2 * float((val * np.sqrt(ii * ii + jj * jj)).sum()) / flux)
-    return {"x": xc, "y": yc, "hfd": hfd, "fwhm": 2 * np.sqrt(pixels / np.pi), "flux": flux, "snr": flux / np.sqrt(flux + r * r * np.pi * sd * sd)}
+    inside = square <= r
+    flux = max(float(value[inside].sum()), 1e-5)
+    wide = int((value[inside] >= value[lit].max(initial=0.0) / 2).sum())
+    hfd = max(0.7, 2 * float((value * far)[inside].sum()) / flux)
+    return {"x": xc, "y": yc, "hfd": hfd, "fwhm": 2 * np.sqrt(wide / np.pi), "flux": flux, "snr": flux / np.sqrt(flux + np.pi * (r * sd) ** 2)}
+
+
+def _disc(r: int) -> tuple[np.ndarray, np.ndarray]:
+    i, j, far, _ = _grid(r)
+    return i[far <= r], j[far <= r]
+
+
+def _detected(img: np.ndarray, level: float, hfd_min: float, hfd_max: float, snr_min: float) -> list[dict]:
+    """Stars at pixels over the level, in raster order, each of which takes the disc of 1.5 HFD about it for itself."""
+    h, w = img.shape
+    free = np.ones((h, w), bool)
+    out = []
+    bright = np.flatnonzero(img > level)
+    while len(bright):
+        at, bright = int(bright[0]), bright[1:]
+        star = measure(img, at % w, at // w)
+        if star is None or not hfd_min < star["hfd"] <= hfd_max or star["snr"] <= snr_min:
+            continue
+        cx, cy, r = (int(np.floor(v + 0.5)) for v in (star["x"], star["y"], 1.5 * star["hfd"]))
+        if not free[cy, cx]:
+            continue
+        i, j = _disc(r)
+        on = (cx + i >= 0) & (cx + i < w) & (cy + j >= 0) & (cy + j < h)
+        free[(cy + j)[on], (cx + i)[on]] = False
+        out.append(star)
+        bright = bright[free.ravel()[bright]]
+    return out
 
 
-def find(img: np.ndarray, least: int = 500, hfd_min: float = 0.8, hfd_max: float = 10.0, levels: tuple[float, ...] = (30, 7, 3)) -> list[dict]:
-    """Stars in raster order: pixels over a level are measured, and what lies within 1.5 HFD of a found star is passed by.
-    The level falls (in deviations of the noise) until `least` stars are found."""
+def find(img: np.ndarray, least: int = 500, hfd_min: float = 0.8, hfd_max: float = 10.0, levels: tuple[float, ...] = (30, 7, 3), snr_min: float = 10.0) -> list[dict]:
+    """Stars in raster order, at the highest of the levels (in deviations of the noise over the sky) that gives `least`
+    stars, or else at the lowest."""
     sky, noise = background(img)
     found: list[dict] = []
     for k in levels:
-        found, taken = [], np.zeros(img.shape, bool)
-        for y, x in zip(*np.nonzero(img - sky > k * noise), strict=True):
-            if taken[y, x] or not (s := measure(img, int(x), int(y))):
-                continue
-            if not (hfd_min < s["hfd"] <= hfd_max and s["snr"] > 10):
-                continue
-            r, cx, cy = int(np.floor(1.5 * s["hfd"] + 0.5)), int(np.floor(s["x"] + 0.5)), int(np.floor(s["y"] + 0.5))
-            if taken[cy, cx]:
-                continue
-            jj, ii = np.mgrid[-r : r + 1, -r : r + 1]
-            inside = (ii * ii + jj * jj <= r * r) & (cy + jj >= 0) & (cy + jj < img.shape[0]) & (cx + ii >= 0) & (cx + ii < img.shape[1])
-            taken[(cy + jj)[inside], (cx + ii)[inside]] = True
-            found.append(s)
+        found = _detected(img, sky + k * noise, hfd_min, hfd_max, snr_min)
         if len(found) >= least:
             break
     return found

@@ -12,6 +12,17 @@ from skyframe.kernels import image, orbit, stars
 STARS = "frame long, x double, y double, hfd double, fwhm double, flux double, snr double"
 
 
+IMAGE = "frame long, height int, width int, data binary"  # values as doubles, row by row
+
+
+def image_row(frame: int, img: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"frame": [frame], "height": [img.shape[0]], "width": [img.shape[1]], "data": [np.ascontiguousarray(img, float).tobytes()]})
+
+
+def image_of(r) -> np.ndarray:
+    return np.frombuffer(bytes(r.data)).reshape(r.height, r.width)
+
+
 def _array(pdf: pd.DataFrame) -> np.ndarray:
     img = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
     img[pdf["y"], pdf["x"]] = pdf["v"]
@@ -23,24 +34,36 @@ def _table(frame: int, img: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"frame": frame, "x": x.ravel(), "y": y.ravel(), "v": img.ravel()})
 
 
-def found_stars(px: DataFrame, least: int = 500) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(stars.find(_array(pdf), least), columns=["x", "y", "hfd", "fwhm", "flux", "snr"])
-        out.insert(0, "frame", int(pdf["frame"].iloc[0]))
-        return out
+def images_of(px: DataFrame) -> DataFrame:
+    """Pixels (frame, x, y, v) gathered to IMAGE; where frames come as images anyway, none of this is needed."""
+    return px.select("frame", "x", "y", "v").groupBy("frame").applyInPandas(lambda pdf: image_row(int(pdf["frame"].iloc[0]), _array(pdf)), IMAGE)
+
+
+def found_stars(images: DataFrame, least: int = 500) -> DataFrame:
+    """images: IMAGE, or pixels (frame, x, y, v). The stars of each frame, found where the image is; a row for each star goes on."""
+    images = images if "data" in images.columns else images_of(images)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                out = pd.DataFrame(stars.find(image_of(r), least), columns=["x", "y", "hfd", "fwhm", "flux", "snr"])
+                out.insert(0, "frame", int(r.frame))
+                yield out
 
-    return px.select("frame", "x", "y", "v").groupBy("frame").applyInPandas(run, STARS)
+    return images.select("frame", "height", "width", "data").mapInPandas(run, STARS)
 
 
-def measured(px: DataFrame, places: DataFrame, radius: int = 14) -> DataFrame:
-    """places (frame, id, x, y): the star at each place of a frame, if there is one."""
+def measured(images: DataFrame, places: DataFrame, radius: int = 14) -> DataFrame:
+    """places (frame, id, x, y): the star at each place of a frame, if there is one. images as in found_stars."""
+    images = images if "data" in images.columns else images_of(images)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        img = _array(left) if len(left) else np.zeros((1, 1))
+        img = image_of(next(left.itertuples(index=False))) if len(left) else np.zeros((1, 1))
         rows = [(r.frame, r.id, *[m[c] for c in ("x", "y", "hfd", "fwhm", "flux", "snr")]) for r in right.itertuples(index=False) if (m := stars.measure(img, int(r.x), int(r.y), radius))]
         return pd.DataFrame(rows, columns=["frame", "id", "x", "y", "hfd", "fwhm", "flux", "snr"])
 
-    return px.select("frame", "x", "y", "v").groupBy("frame").cogroup(places.select("frame", "id", "x", "y").groupBy("frame")).applyInPandas(run, "frame long, id long, x double, y double, hfd double, fwhm double, flux double, snr double")
+    own = places.select("frame", "id", "x", "y").groupBy("frame")
+    return images.select("frame", "height", "width", "data").groupBy("frame").cogroup(own).applyInPandas(run, "frame long, id long, x double, y double, hfd double, fwhm double, flux double, snr double")
 
 
 def filtered(px: DataFrame, kernel) -> DataFrame:

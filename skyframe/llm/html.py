@@ -7,14 +7,16 @@ once. Pass 2 deletes every subtree that recurs on `min_pages` pages of the host;
 an article, and articles, only if pages of so many different titles hold them, and `safe_share` of the host's titles. Pages that hold no such subtree are
 found by a bitmap of fixed size and skip the join.
 
-Elements whose tag or role says what they are (navigation, forms, scripts ...) go even where they don't recur. Those with
-a class or id that says so (NAMED) go unless they hold an article or main part or, on a page without these, half of the
-text; of an article or main element its own class decides nothing but that it is a comment.
+Elements whose tag or role says what they are (navigation, forms and their controls, scripts, drawings ...) are passed by,
+blocks or not, even where they don't recur. Those with a class or id that says so (NAMED) go unless they hold an article
+or main part, or half of the text: of the main parts where they stand in one, of the page where no main part has a tenth
+of it. Of an article or main element its own class decides nothing but that it is a comment, and names never empty it.
 
-Blocks: block-level elements part the text; white space in a block, line breaks included, becomes one space; blocks are
-joined by one newline. If the article and main elements hold a tenth of the text, only theirs is the page's; else that of
-the body. Character references are decoded. Damaged markup is read as browsers would: missing end tags are implied,
-stray ones are ignored, what is in scripts, styles and comments is not markup.
+Blocks: block-level elements part the text, inline ones don't, dropped or not; white space in a block, line breaks
+included, becomes one space; blocks are joined by one newline. If the article and main elements hold MAIN_SHARE of the
+text, only theirs is the page's; else that of the body. Character references are decoded. Damaged markup is read as
+browsers would, in time linear in its length: missing end tags are implied, stray ones are ignored, an unfinished tag ends the
+page, what is in scripts, styles and comments is not markup.
 
 Edge cases: a null or empty html, or a page without text, gives an empty text; a null or odd url has the host ''; rows
 that repeat a page_id are separate rows; an empty table gives no rows; other columns are ignored.
@@ -41,16 +43,16 @@ TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption".split())
 CLOSES_P = BLOCK - set("html body head title script style template noscript".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that name something else than the article.
-NAMED = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager search skip copyright legal disclaimer".split())
+NAMED = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus discussion discussions reactions responses respond reply replies widget widgets pagination pager search skip copyright legal disclaimer".split())
 #: Of these, those that even half of the text doesn't save.
-COMMENTS = set("comment comments commentlist disqus respond reply replies".split())
+COMMENTS = set("comment comments commentlist disqus discussion discussions reactions responses respond reply replies".split())
 NOT_NAMED = set("no not has had with without is".split())  # a class that begins so says what the page has, not the element
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>""", re.S)
+SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PAGE = "row long, page_id string, url string, host string, identity long, title long, blocks array<string>, keep array<boolean>, hashes array<long>, begins array<int>, ends array<int>, safe array<boolean>"
 SLOTS = 1 << 19
+MAIN_SHARE = 0.5  # of the text that main parts hold at least where they alone are the page's
 
 
 def _signed(data: str) -> int:
@@ -95,125 +97,240 @@ def unwanted(tag: str, attrs: str, in_main: bool) -> tuple[bool, int, bool]:
     return False, 2 if words & COMMENTS else 1, False
 
 
+class Scanner:
+    """Tags and the texts between them, in one pass: what damaged markup lacks is looked for once and remembered."""
+
+    MARK = re.compile(r"""[>"']""")
+    NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+    ENDS_COMMENT = re.compile(r"--!?>")
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.at = 0
+        self.lost: set[str] = set()  # quotes that don't occur any more
+        self.plain = False  # quotes are out of step: tags end at the next >
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, outside of quotes if there is one; -1 if there is none."""
+        k = at
+        while not self.plain:
+            m = self.MARK.search(self.html, k)
+            if not m:
+                self.plain = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                end = -1 if m[0] in self.lost else self.html.find(m[0], m.end())
+                if end < 0:
+                    self.lost.add(m[0])
+                k = m.end() if end < 0 else end + 1
+        return self.html.find(">", at)
+
+    def __iter__(self):
+        """(text,) or (end tag?, name, attributes)."""
+        html, n = self.html, len(self.html)
+        while self.at < n:
+            at = html.find("<", self.at)
+            if at < 0:
+                yield (html[self.at :],)
+                return
+            shut = html.startswith("/", at + 1)
+            name = self.NAME.match(html, at + 1 + shut)
+            bogus = not name and (shut or html[at + 1 : at + 2] in ("!", "?"))
+            if not name and not bogus or shut and at + 2 == n:
+                yield (html[self.at : at + 1],)
+                self.at = at + 1
+                continue
+            if at > self.at:
+                yield (html[self.at : at],)
+            if name:
+                end = self.tag_end(name.end())
+                self.at = end + 1 if end >= 0 else n  # an unfinished tag ends the page
+                if end >= 0:
+                    yield shut, name[0].lower(), html[name.end() : end]
+            elif html.startswith("<!--", at):
+                m = re.compile(r"-?>").match(html, at + 4) or self.ENDS_COMMENT.search(html, at + 4)
+                self.at = m.end() if m else n
+            else:
+                end = html.find(">", at)
+                self.at = end + 1 if end >= 0 else n
+
+
+class Stack:
+    """Open elements: (tag, dropped, in a main part, innermost element of unwanted name, first block, parts of the hash).
+    Where each tag is open, and the innermost block, are known without a search."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple] = [("", False, False, -1, 0, [])]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, *rest) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append((tag, *rest))
+
+    def pop(self) -> tuple:
+        item = self.items.pop()
+        self.places[item[0]].pop()
+        if item[0] in BLOCK:
+            self.blocks.pop()
+        return item
+
+    def top(self) -> tuple:
+        return self.items[-1]
+
+    def nearest(self, tags: set[str]) -> int:
+        """The place of the innermost open element of tags, or 0."""
+        if tags is BLOCK:
+            return self.blocks[-1] if self.blocks else 0
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
 def read(html: str) -> tuple[str, list[str], list[bool], list[tuple[int, int, int, bool]]]:
-    """Title; blocks; whether each is the article's so far; elements: hash, first block, block after the last, safe."""
-    blocks: list[str] = []
-    state: list[tuple[bool, bool, int]] = []  # for each block: dropped, in a main part, innermost element of unwanted name
+    """Title; blocks; whether each is the article's so far; elements: hash, first block, block after the last, safe.
+
+    What stands in a dropped element is passed by, wherever it stands: an inline one leaves the block around it whole. An
+    inline element of unwanted name is a piece of its block until it is known which names decide."""
+    pieces: list[list[tuple[str, int]]] = []  # of each block: texts, each with its innermost element of unwanted name
+    mains: list[bool] = []
     elements: list[tuple[int, int, int, bool]] = []
-    stack: list[tuple[str, bool, bool, int, int, list]] = [("", False, False, 0, -1, [])]  # tag, the same three, first block, parts
-    buffer: list[str] = []
-    soft: list[list] = []  # elements of unwanted name: the one around it, strength, whether it holds a main part, characters
-    title, at = "", 0
+    stack = Stack()
+    buffer: list[tuple[str, int]] = []
+    soft: list[Named] = []
+    title = ""
 
     def flush() -> None:
         if buffer:
-            text = " ".join(unescape("".join(buffer)).split())
-            buffer.clear()
+            text = joined(buffer)
             if text:
-                top = stack[-1]
-                blocks.append(text)
-                state.append((top[1], top[2], top[4]))
-                top[5].append(text)
+                _, _, in_main, _, _, parts = stack.top()
+                pieces.append(list(buffer))
+                mains.append(in_main)
+                parts.append(text)
+            buffer.clear()
 
     def pop() -> None:
-        tag, _, in_main, first, _, parts = stack[-1]
-        if tag in BLOCK:
+        tag, dropped, in_main, _, first, parts = stack.top()
+        if tag in BLOCK and not dropped:
             flush()
             stack.pop()
-            if first < len(blocks) and tag not in ("html", "body"):
+            if tag not in ("html", "body") and first < len(pieces):
                 h = _signed(tag + "\x00" + "\x00".join(parts))
-                elements.append((h, first, len(blocks), in_main and tag in TEXTUAL or tag in ("article", "main")))
+                elements.append((h, first, len(pieces), in_main and tag in TEXTUAL or tag in ("article", "main")))
                 parts = [f"\x01{h}"]
+            stack.top()[5].extend(parts)
         else:
-            stack.pop()
-        stack[-1][5].extend(parts)
+            stack.pop()  # an inline element's parts are those of the one around it
 
     def close(tags: set[str], stop: set[str]) -> None:
         """Ends the nearest open element of tags, unless one of stop stands above it."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in stop:
-                return
-
-    n = len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if not m:
-            buffer.append(html[at:])
-            break
-        if m.start() > at:
-            buffer.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        k = stack.nearest(tags)
+        if k and k >= stack.nearest(stop):
+            while len(stack.items) > k:
+                pop()
+
+    scanner = Scanner(html)
+    for token in scanner:
+        dropped = stack.top()[1]
+        if len(token) == 1:
+            if not dropped:
+                buffer.append((token[0], stack.top()[3]))
             continue
-        tag = tag.lower()
-        if m[1]:
+        shut, tag, attrs = token
+        if shut:
             if tag in BLOCK:
-                if tag == "p":
+                if tag == "p" and not dropped:
                     flush()  # also where none is open
                 close({tag}, set())
             elif tag in ("td", "th"):
-                buffer.append(" ")
+                buffer.append((" ", -1))
                 close({tag}, {"table"})
             else:
                 close({tag}, BLOCK)
             continue
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not dropped:
                 flush()
-            buffer.append(" " if tag in ("br", "hr") else "")
+            if tag in ("br", "hr"):
+                buffer.append((" ", -1))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and not dropped:
             close({"p"}, {"table", "button", "article", "div", "section", "body"})
         if tag in ENDS:
             close(ENDS[tag], SCOPE[tag])
-        if tag in BLOCK:
+        _, dropped, in_main, around, _, parts = stack.top()
+        if tag in BLOCK and not dropped:
             flush()
         elif tag in ("td", "th"):
-            buffer.append(" ")
-        _, dropped, in_main, _, around, _ = stack[-1]
-        bad, doubt, main = (True, 0, False) if dropped else unwanted(tag, m[3], in_main)
+            buffer.append((" ", -1))
+        bad, doubt, main = (True, 0, False) if dropped else unwanted(tag, attrs, in_main)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, scanner.at)
             if tag == "title" and not title:
-                title = " ".join(unescape(html[at : end.start() if end else n]).split())
-            at = end.end() if end else n
+                title = " ".join(unescape(html[scanner.at : end.start() if end else len(html)]).split())
+            scanner.at = end.end() if end else len(html)
             continue
-        if (bad or doubt) and tag not in BLOCK and not dropped:
-            flush()  # what stands around it isn't part of it
-        if main:
-            k = around
-            while k >= 0:
-                soft[k][2] |= tag == "main" or soft[k][1] < 2  # comments may be articles themselves
-                k = soft[k][0]
+        if main and around >= 0:
+            soft[around].main |= tag == "main"
+            soft[around].article = True
         if doubt:
-            soft.append([around, doubt, False, 0])
+            soft.append(Named(around, doubt, in_main))
             around = len(soft) - 1
-        stack.append((tag, dropped or bad, in_main or main, len(blocks), around, []))
-    while len(stack) > 1:
+        stack.push(tag, dropped or bad, in_main or main, around, len(pieces), [] if tag in BLOCK else parts)
+    while len(stack.items) > 1:
         pop()
     flush()
-    keep = _kept(blocks, state, soft)
-    return title, blocks, keep, elements
-
-
-def _kept(blocks: list[str], state: list[tuple[bool, bool, int]], soft: list[list]) -> list[bool]:
-    size = [0 if s[0] else len(b) for b, s in zip(blocks, state, strict=True)]
-    for n, (_, _, k) in zip(size, state, strict=True):
-        while k >= 0:
-            soft[k][3] += n
-            k = soft[k][0]
-    total, out = sum(size), []
-    has_main = any(n and s[1] for n, s in zip(size, state, strict=True))
-    for around, strength, holds_main, n in soft:  # outer ones come first
-        out.append(around >= 0 and out[around] or not holds_main and (strength == 2 or has_main or 2 * n < total))
-    keep = [not hard and not (k >= 0 and out[k]) for hard, _, k in state]
-    left, main = (sum(n for n, k, s in zip(size, keep, state, strict=True) if k and (s[1] or any_)) for any_ in (True, False))
-    return [k and (s[1] or 10 * main < left) for k, s in zip(keep, state, strict=True)]
+    texts = _kept(pieces, mains, soft)
+    return title, [t or joined(p) for t, p in zip(texts, pieces, strict=True)], [t != "" for t in texts], elements
+
+
+def joined(pieces: list[tuple[str, int]]) -> str:
+    return " ".join(unescape("".join(t for t, _ in pieces)).split())
+
+
+class Named:
+    """An element of unwanted name."""
+
+    def __init__(self, around: int, strength: int, in_main: bool) -> None:
+        self.around, self.strength, self.in_main = around, strength, in_main
+        self.main = self.article = False  # whether it holds such parts
+        self.size = 0  # characters in it
+        self.out = False
+
+
+def _kept(pieces: list[list[tuple[str, int]]], mains: list[bool], soft: list[Named]) -> list[str]:
+    """What stays of each block."""
+    whole = {True: 0, False: 0}  # characters of main parts, and of the rest
+    for block, in_main in zip(pieces, mains, strict=True):
+        for text, k in block:
+            n = len(text.strip())
+            whole[in_main] += n
+            if k >= 0:
+                soft[k].size += n
+    for s in reversed(soft):  # inner ones come last
+        if s.around >= 0:
+            o = soft[s.around]
+            o.size, o.main, o.article = o.size + s.size, o.main or s.main, o.article or s.article
+    total = sum(whole.values())
+    for s in soft:
+        holds = s.main or s.article and s.strength < 2  # comments may be articles themselves
+        # beside a main part that holds a tenth of the text, nothing of unwanted name is the page's
+        most = 2 * s.size >= whole[True] if s.in_main else 2 * s.size >= total > 10 * whole[True]
+        s.out = s.around >= 0 and soft[s.around].out or not holds and (s.strength == 2 or not most)
+
+    def chosen() -> list[str]:
+        return [joined([(t, k) for t, k in block if k < 0 or not soft[k].out]) for block in pieces]
+
+    texts = chosen()
+    if whole[True] and not any(t for t, m in zip(texts, mains, strict=True) if m):  # names don't empty a main part
+        for s in soft:
+            s.out = s.strength == 2 and s.out or s.around >= 0 and soft[s.around].out and soft[s.around].strength == 2
+        texts = chosen()
+    left = sum(map(len, texts))
+    main = sum(len(t) for t, m in zip(texts, mains, strict=True) if m)
+    return [t if m or MAIN_SHARE * left > main else "" for t, m in zip(texts, mains, strict=True)]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from skyframe.llm import html
 
@@ -62,6 +63,47 @@ def test_names_dont_cost_the_article():
     assert text_of(deep) == words
 
 
+def test_dropped_inline_elements_leave_no_text_and_no_gap():
+    for tag in sorted(html.DROPPED - html.BLOCK - html.RAW - html.VOID):
+        for inside in ("Click me", "<div>Click <b>me</b></div>", "<option>Click me"):
+            assert text_of(f"<body><p>Some words <{tag}>{inside}</{tag}>and more.</p><p>Next</p></body>") == "Some words and more.\nNext", tag
+    for open_ in ('<a role="navigation" href="/">', "<span hidden>", '<span class="share">', '<span aria-hidden="true">', '<b style="display: none">', '<i id="ad-1">'):
+        tag = open_[1:].split()[0]
+        assert text_of(f"<body><article><p>Some words of a text {open_}Share <em>me</em></{tag}>and more.</p>after</article></body>") == "Some words of a text and more.\nafter", open_
+    assert text_of("<body><p>Words in <select><option>one<option>two</select>a line <svg><text>Drawn</text></svg>end.</p>") == "Words in a line end."
+
+
+def test_names_and_teasers_dont_cost_the_text():
+    words = "The words of the article itself, which are many more than the others. " * 4
+    words = words.strip()
+    for open_, shut in [('<main><div class="legal">', "</div></main>"), ('<article><div class="social-history">', "</div></article>"), ('<article><p class="legal">', "</p></article>"), ('<div class="widget">', "</div>"), ('<main><p><span class="widget">', "</span></p></main>")]:
+        assert text_of(f"<body><nav>Menu</nav>{open_}{words}{shut}<div class='ad'>Buy</div></body>") == words, open_
+    teaser = "A short teaser of something else."
+    assert text_of(f"<body><article>{teaser}</article><div>{words}</div></body>") == f"{teaser}\n{words}"
+    assert text_of(f"<body><article><p>Short.</p></article><div class='ad'>{words}</div><div id='x'>y</div></body>").startswith("Short.")
+    halves = "".join(f'<div class="{c}"><p>Half of it.</p></div>' for c in ("promo", "notice", "widget"))
+    assert text_of(f"<body><main>{halves}</main></body>") == "\n".join(["Half of it."] * 3)  # names don't empty a main part
+    assert text_of(f"<body><article><p>{words}</p><p class='notice'>Notice</p></article></body>") == words
+
+
+def test_damaged_markup_takes_linear_time():
+    size = 1_000_000
+    took = {}
+    for unit in ("<a ", "<a b=\"'", "<div>", "<div class=ad>x", "<p><b>", "<b>x<div>y", "</b>", "<i><div><b>", "<!--", "<", "</", "<a b='", '<a b=">', "<td>x", "<li>x", "<title", "&#", "<span class=ad>x<div>", "<article>x"):
+        text = unit * (size // len(unit))
+        for html_ in (text, text[: size // 2] + "</section></i></div>" * (size // 40)):
+            began = time.process_time()
+            html.read(html_)
+            took[unit] = max(took.get(unit, 0), time.process_time() - began)
+    assert max(took.values()) < 20, took  # some seconds at most on a slow machine; quadratic reading took hours
+
+
+def test_scanner():
+    got = list(html.Scanner("a < b <p a='>'>x</p ><br/><!-- > --><!DOCTYPE x></ 1>&amp;<q b=\"1>z"))
+    assert got[:6] == [("a <",), (" b ",), (False, "p", " a='>'"), ("x",), (True, "p", " "), (False, "br", "/")]
+    assert got[6:] == [("&amp;",), (False, "q", ' b="1'), ("z",)]
+
+
 def test_subtree_counts_by_brute_force(spark):
     """The texts that are left are those outside of subtrees on five or more different pages of a host."""
     rng = random.Random(5)

@@ -23,10 +23,10 @@ def kepler(m: np.ndarray, e: np.ndarray, steps: int = 60) -> np.ndarray:
     return x
 
 
-def position(q, e, incl, node, peri, dt) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ecliptic position (AU) dt days after perihelion, for perihelion distance q and angles in radians."""
+def state(q, e, incl, node, peri, dt) -> tuple[np.ndarray, ...]:
+    """Ecliptic position (AU) and velocity (AU a day) dt days after perihelion, for perihelion distance q and angles in
+    radians."""
     q, e, incl, node, peri, dt = np.broadcast_arrays(*[np.asarray(v, float) for v in (q, e, incl, node, peri, dt)])
-    r, nu = np.empty(q.shape), np.empty(q.shape)
     par = np.abs(e - 1) < 1e-9
     w = 1.5 * GAUSS * dt / np.sqrt(2 * q**3)
     y = np.cbrt(w + np.sqrt(w * w + 1))
@@ -39,7 +39,14 @@ def position(q, e, incl, node, peri, dt) -> tuple[np.ndarray, np.ndarray, np.nda
     r = q * (1 + e) / (1 + e * np.cos(nu))
     u = peri + nu
     c, s, ci, si, cn, sn = np.cos(u), np.sin(u), np.cos(incl), np.sin(incl), np.cos(node), np.sin(node)
-    return r * (cn * c - sn * s * ci), r * (sn * c + cn * s * ci), r * s * si
+    out = np.stack([cn * c - sn * s * ci, sn * c + cn * s * ci, s * si])  # away from the Sun
+    along = np.stack([-cn * s - sn * c * ci, -sn * s + cn * c * ci, c * si])  # a quarter further on
+    pace = GAUSS / np.sqrt(q * (1 + e))
+    return tuple(r * out) + tuple(pace * (e * np.sin(nu) * out + (1 + e * np.cos(nu)) * along))
+
+
+def position(q, e, incl, node, peri, dt) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return state(q, e, incl, node, peri, dt)[:3]
 
 
 def fit_hyperbola(pos: np.ndarray, hfd: np.ndarray) -> tuple[float, float, float] | None:

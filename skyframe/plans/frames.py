@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyframe.functions import sky, tiles
-from skyframe.operators import field, mosaic as mosaics, sip
+from skyframe.functions import sky, tiles, when
+from skyframe.operators import asteroids, field, mosaic as mosaics, sip
 from skyframe.operators.fit import POWERS
 from skyframe.operators.scratch import path_for
 from skyframe.plans import views
@@ -195,3 +195,66 @@ def mosaic(spark, sf_dir):
  SELECT frame, avg(v) AS background FROM r WHERE r BETWEEN (n + 1) // 2 AND n // 2 + 1 GROUP BY frame""")
 def mosaic_background(spark, sf_dir):
     return mosaics.corner_background(_tiles_px(spark, sf_dir), _tiles_frames(spark, sf_dir))
+
+
+# ---- minor planets -------------------------------------------------------------------------------------------------
+
+RADIUS, FAINTEST, LATITUDE, LONGITUDE = 0.25, 17.0, 0.9, 0.1
+
+
+def _elements(spark, sf_dir):
+    k = F.col("c_custkey")
+    comet = k % 9 == 0
+    columns = {"epoch": 2460000.5 - k % 200, "anomaly": k * 31 % 360 + 0.5, "peri": k * 7 % 360 + 0.0, "node": k * 13 % 360 + 0.0, "incl": k % 23 + 0.25, "e": F.when(comet, 0.8 + k % 5 / 10.0).otherwise(k % 60 / 100.0), "axis": F.when(~comet, 1.1 + k % 31 / 10.0), "q": F.when(comet, 0.4 + k % 17 / 10.0), "h": 8 + k % 80 / 10.0, "g": F.when(comet, 10.0).otherwise(0.15)}
+    return views.table(spark, sf_dir, "customer").select(k.alias("id"), *[c.cast("double").alias(n) for n, c in columns.items()])
+
+
+def _nights(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = views.table(spark, sf_dir, "supplier").select(k.alias("frame"), (2460000.0 + k % 12 + k * 7 % 10 / 10.0).alias("jd"), (k * 37 % 628 / 100.0).alias("ra0"), ((k * 53 % 181 - 90) / 100.0).alias("dec0"), F.lit(RADIUS).alias("radius"))
+    return s.withColumn("jd_tt", F.col("jd") + 0.0008)
+
+
+A = repr(sky.ARCSEC) + "::DOUBLE"
+OB = repr(when.OBLIQUITY) + "::DOUBLE"
+
+
+def _equatorial(x: str, y: str, z: str) -> str:
+    return f"{x} AS {{0}}x, cos({OB}) * {y} - sin({OB}) * {z} AS {{0}}y, sin({OB}) * {y} + cos({OB}) * {z} AS {{0}}z"
+
+
+def _asteroids_sql() -> str:
+    import math
+
+    flat, au, radius, lat = 0.99664719, 149597870.700, 6378.14, LATITUDE
+    u = math.atan(flat * math.tan(lat))
+    s, c = flat * math.sin(u) + 100 * math.sin(lat) / 6378140.0, math.cos(u) + 100 * math.cos(lat) / 6378140.0
+    k = "0.01720209895::DOUBLE"
+    return f"""WITH el AS (SELECT c_custkey AS id, c_custkey % 9 = 0 AS comet, 2460000.5::DOUBLE - c_custkey % 200 AS epoch, radians(c_custkey * 31 % 360 + 0.5::DOUBLE) AS anomaly, radians(c_custkey * 7 % 360) AS peri, radians(c_custkey * 13 % 360) AS node, radians(c_custkey % 23 + 0.25::DOUBLE) AS i, CASE WHEN c_custkey % 9 = 0 THEN 0.8::DOUBLE + c_custkey % 5 / 10.0::DOUBLE ELSE c_custkey % 60 / 100.0::DOUBLE END AS e, 1.1::DOUBLE + c_custkey % 31 / 10.0::DOUBLE AS axis, 0.4::DOUBLE + c_custkey % 17 / 10.0::DOUBLE AS qc, 8 + c_custkey % 80 / 10.0::DOUBLE AS h FROM customer),
+ o AS (SELECT *, CASE WHEN comet THEN qc ELSE axis * (1 - e) END AS q, CASE WHEN comet THEN epoch ELSE epoch - anomaly * pow(axis, 1.5) / {k} END AS t0 FROM el),
+ f AS (SELECT s_suppkey AS frame, 2460000.0::DOUBLE + s_suppkey % 12 + s_suppkey * 7 % 10 / 10.0::DOUBLE AS jd, s_suppkey * 37 % 628 / 100.0::DOUBLE AS ra0, (s_suppkey * 53 % 181 - 90) / 100.0::DOUBLE AS dec0 FROM supplier),
+ p AS (SELECT *, jd + 0.0008::DOUBLE AS tt, jd + 0.0008::DOUBLE - t0 AS dt FROM o, f),
+ a AS (SELECT *, {k} * dt / pow(q / CASE WHEN abs(e - 1) < 1e-9 THEN 1 ELSE abs(1 - e) END, 1.5) AS m0, 1.5 * {k} * dt / sqrt(2 * q * q * q) AS w FROM p),
+ b AS (SELECT *, CASE WHEN e < 1 THEN m0 - 2 * pi() * floor((m0 + pi()) / (2 * pi())) ELSE m0 END AS m, cbrt(w + sqrt(w * w + 1)) AS y FROM a),
+ c AS (SELECT *, CASE WHEN abs(e - 1) < 1e-9 THEN 0 WHEN e < 1 THEN list_reduce(list_prepend(m + 0.85 * e * sign(sin(m)), list_transform(range(40), lambda k: 0.0::DOUBLE)), lambda x, k: x - greatest(-1, least(1, (x - e * sin(x) - m) / greatest(1 - e * cos(x), 1e-12))))
+  ELSE list_reduce(list_prepend(asinh(m / e), list_transform(range(40), lambda k: 0.0::DOUBLE)), lambda x, k: x - greatest(-1, least(1, (e * sinh(x) - x - m) / greatest(e * cosh(x) - 1, 1e-12)))) END AS x FROM b),
+ d AS (SELECT *, 2 * atan(CASE WHEN abs(e - 1) < 1e-9 THEN y - 1 / y WHEN e < 1 THEN sqrt((1 + e) / (1 - e)) * tan(x / 2) ELSE sqrt((e + 1) / (e - 1)) * tanh(x / 2) END) AS nu FROM c),
+ s AS (SELECT * EXCLUDE (x, y), q * (1 + e) / (1 + e * cos(nu)) AS r, peri + nu AS u, {k} / sqrt(q * (1 + e)) AS pace FROM d),
+ v AS (SELECT *, cos(node) * cos(u) - sin(node) * sin(u) * cos(i) AS ox, sin(node) * cos(u) + cos(node) * sin(u) * cos(i) AS oy, sin(u) * sin(i) AS oz, -cos(node) * sin(u) - sin(node) * cos(u) * cos(i) AS lx, -sin(node) * sin(u) + cos(node) * cos(u) * cos(i) AS ly, cos(u) * sin(i) AS lz FROM s),
+ g AS (SELECT *, {_equatorial("r * ox", "r * oy", "r * oz").format("p")}, {_equatorial(*(f"pace * (e * sin(nu) * o{c} + (1 + e * cos(nu)) * l{c})" for c in "xyz")).format("v")}, (tt - 2451545) / 36525.0::DOUBLE AS t FROM v),
+ em AS (SELECT *, radians(357.52911::DOUBLE + 35999.05029::DOUBLE * t - 0.0001537::DOUBLE * t * t) AS sm, 0.016708634::DOUBLE - 0.000042037::DOUBLE * t - 0.0000001267::DOUBLE * t * t AS se FROM g),
+ ec AS (SELECT *, radians((1.914602::DOUBLE - 0.004817::DOUBLE * t - 0.000014::DOUBLE * t * t) * sin(sm) + (0.019993::DOUBLE - 0.000101::DOUBLE * t) * sin(2 * sm) + 0.000289::DOUBLE * sin(3 * sm)) AS sc FROM em),
+ el2 AS (SELECT *, 1.000001018::DOUBLE * (1 - se * se) / (1 + se * cos(sm + sc)) AS er, radians(280.46646::DOUBLE + 36000.76983::DOUBLE * t + 0.0003032::DOUBLE * t * t) + sc + pi() - (5028.796195::DOUBLE * t + 1.1054348::DOUBLE * t * t) * {A} AS lon FROM ec),
+ ep AS (SELECT *, er * cos(lon) AS ex, er * sin(lon) * cos({OB}) AS ey, er * sin(lon) * sin({OB}) AS ez FROM el2),
+ li AS (SELECT *, {asteroids.LIGHT_DAYS!r}::DOUBLE * sqrt(pow(px - ex, 2) + pow(py - ey, 2) + pow(pz - ez, 2)) AS tau, {LONGITUDE!r}::DOUBLE + {sky.SIDEREAL_2000!r}::DOUBLE + (jd - 2451545) * {sky.SIDEREAL_RATE!r}::DOUBLE AS lst FROM ep),
+ tp AS (SELECT *, px - ex - tau * vx - {radius / au * c!r}::DOUBLE * cos(lst) AS tx, py - ey - tau * vy - {radius / au * c!r}::DOUBLE * sin(lst) AS ty, pz - ez - tau * vz - {radius / au * s!r}::DOUBLE AS tz FROM li),
+ sp AS (SELECT *, sqrt(tx * tx + ty * ty + tz * tz) AS delta, fmod(atan2(ty, tx) + {TWO_PI}, {TWO_PI}) AS ra, atan2(tz, sqrt(tx * tx + ty * ty)) AS dec, sqrt(px * px + py * py + pz * pz) AS rs, sqrt(ex * ex + ey * ey + ez * ez) AS re, sqrt(pow(px - ex, 2) + pow(py - ey, 2) + pow(pz - ez, 2)) AS rp FROM tp),
+ ne AS (SELECT *, acos((rp * rp + rs * rs - re * re) / (2 * rp * rs)) AS phase FROM sp WHERE pow((fmod(ra - ra0 + 3 * pi(), {TWO_PI}) - pi()) * cos(dec0), 2) + pow(dec - dec0, 2) < {RADIUS * RADIUS!r}::DOUBLE),
+ ma AS (SELECT *, h + 5 * log10(delta) + CASE WHEN comet THEN 10 * log10(rs) ELSE 5 * log10(rs) + ln(0.85::DOUBLE * exp(-3.33::DOUBLE * exp(0.63::DOUBLE * ln(tan(phase / 2) + 1e-8))) + 0.15::DOUBLE * exp(-1.87::DOUBLE * exp(1.22::DOUBLE * ln(tan(phase / 2) + 1e-8)))) * {-2.5 / math.log(10)!r}::DOUBLE END AS mag FROM ne)
+ SELECT frame, id, comet, round(ra, 6) AS ra, round(dec, 6) AS dec, round(delta, 6) AS delta, round(mag, 4) AS mag, NOT comet AND abs(tt - epoch) > 120 AS outdated FROM ma WHERE mag <= {FAINTEST}"""
+
+
+@query(_asteroids_sql())
+def asteroids_in_field(spark, sf_dir):
+    got = asteroids.in_fields(_nights(spark, sf_dir), asteroids.orbits(_elements(spark, sf_dir)), LATITUDE, LONGITUDE, FAINTEST)
+    return got.select("frame", "id", "comet", r6("ra", "ra"), r6("dec", "dec"), r6("delta", "delta"), F.round("mag", 4).alias("mag"), "outdated")

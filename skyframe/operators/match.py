@@ -12,55 +12,63 @@ from skyframe.functions.tiles import sky_cell, sky_cells_around
 from skyframe.operators.scratch import stored
 
 
-def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float = 1.0) -> DataFrame:
-    """stars (id, x, y) -> (id, other, rank, d2): the k nearest at a squared distance over `least`, for stars that have k
-    within `rings` cells; the reach grows fourfold for the others, which are fewer each time, until none is left. Each reach's
-    answers are written, so that none is found twice."""
+def nearest(stars: DataFrame, k: int, cell: float, rings: int = 1, least: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """stars (by, id, x, y) -> (by, id, other, rank, d2): the k nearest of the same group at a squared distance over `least`,
+    for stars that have k within `rings` cells; the reach grows fourfold for the others, which are fewer each time, until none is
+    left. Each reach's answers are written, so that none is found twice."""
     spark = stars.sparkSession
-    todo, found = stars.select("id", "x", "y"), None
+    own, key = [*by, "id"], [*by, "cx", "cy"]
+    todo, found = stars.select(*own, "x", "y"), None
     stars = todo
     reach = rings
     extent = stars.agg(F.max(F.abs("x")), F.max(F.abs("y")), F.count("*")).first()
     if not extent[2]:
-        return spark.createDataFrame([], "id long, other long, rank long, d2 double")
+        return stars.select(*own, F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("d2"))
     across = int(2 * max(extent[0], extent[1]) / cell) + 2
     while True:
         size = cell * reach
         c = lambda name: F.floor(F.col(name) / size)  # noqa: B023, E731
-        there = stars.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), c("x").alias("cx"), c("y").alias("cy"))
+        there = stars.select(*by, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), c("x").alias("cx"), c("y").alias("cy"))
         moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        here = todo.select("id", "x", "y", F.explode(moves).alias("m"), c("x").alias("ax"), c("y").alias("ay")).select("id", "x", "y", (F.col("ax") + F.col("m.i")).alias("cx"), (F.col("ay") + F.col("m.j")).alias("cy"))
+        here = todo.select(*own, "x", "y", F.explode(moves).alias("m"), c("x").alias("ax"), c("y").alias("ay")).select(*own, "x", "y", (F.col("ax") + F.col("m.i")).alias("cx"), (F.col("ay") + F.col("m.j")).alias("cy"))
         d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-        pairs = here.join(there, ["cx", "cy"]).filter(F.col("id") != F.col("other")).withColumn("d2", d2).filter(F.col("d2") > least)
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other")).cast("long")).filter(F.col("rank") <= k)
+        pairs = here.join(there, key).filter(F.col("id") != F.col("other")).withColumn("d2", d2).filter(F.col("d2") > least)
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy("d2", "other")).cast("long")).filter(F.col("rank") <= k)
         last = reach > across
         # what lies within one cell's width can't be nearer in a cell that wasn't looked at
-        sure = ranked if last else ranked.withColumn("far", F.max("d2").over(Window.partitionBy("id"))).withColumn("n", F.count("*").over(Window.partitionBy("id"))).filter((F.col("n") == k) & (F.col("far") <= size * size)).drop("far", "n")
-        sure = stored(sure.select("id", "other", "rank", "d2"), "nearest")
+        whole = Window.partitionBy(*own)
+        sure = ranked if last else ranked.withColumn("far", F.max("d2").over(whole)).withColumn("n", F.count("*").over(whole)).filter((F.col("n") == k) & (F.col("far") <= size * size)).drop("far", "n")
+        sure = stored(sure.select(*own, "other", "rank", "d2"), "nearest")
         found = sure if found is None else found.union(sure)
         if last:
             return found
-        todo = stored(todo.join(sure.select("id").distinct(), "id", "left_anti"), "unsettled")
+        todo = stored(todo.join(sure.select(*own).distinct(), own, "left_anti"), "unsettled")
         if todo.isEmpty():
             return found
         reach *= 4
 
 
-def all_quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:
+def all_quads(stars: DataFrame, neighbours: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A star and its 3 nearest: members (sorted), the six sides (falling), and the centre."""
-    at = stars.select(F.col("id").alias("other"), F.struct(F.col("id").alias("other"), "x", "y").alias("p"))
-    around = neighbours.filter("rank <= 3").join(at, "other").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("ps")).filter(F.size("ps") == 3)
-    both = around.join(at.select(F.col("other").alias("id"), F.col("p").alias("p0")), "id")
+    at = stars.select(*by, F.col("id").alias("other"), F.struct(F.col("id").alias("other"), "x", "y").alias("p"))
+    around = neighbours.filter("rank <= 3").join(at, [*by, "other"]).groupBy(*by, "id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("ps")).filter(F.size("ps") == 3)
+    both = around.join(at.select(*by, F.col("other").alias("id"), F.col("p").alias("p0")), [*by, "id"])
     pts = [F.col("p0"), *[F.get(F.col("ps"), F.lit(i))["p"] for i in range(3)]]
     side = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
     sides = F.sort_array(F.array(*[side(pts[i], pts[j]) for i in range(4) for j in range(i + 1, 4)]), asc=False)
     mean = lambda c: sum((p[c] for p in pts[1:]), pts[0][c]) / 4.0
-    return both.select("id", F.array_sort(F.array(*[p["other"] for p in pts])).alias("members"), sides.alias("s"), mean("x").alias("xc"), mean("y").alias("yc"))
+    return both.select(*by, "id", F.array_sort(F.array(*[p["other"] for p in pts])).alias("members"), sides.alias("s"), mean("x").alias("xc"), mean("y").alias("yc"))
 
 
-def ratios(quads: DataFrame) -> DataFrame:
+def ratios(quads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The longest side, and the others' ratios to it."""
-    return quads.select("id", F.get("s", F.lit(0)).alias("d1"), *[(F.get("s", F.lit(i)) / F.get("s", F.lit(0))).alias(f"r{i + 1}") for i in range(1, 6)], "xc", "yc")
+    return quads.select(*by, "id", F.get("s", F.lit(0)).alias("d1"), *[(F.get("s", F.lit(i)) / F.get("s", F.lit(0))).alias(f"r{i + 1}") for i in range(1, 6)], "xc", "yc")
+
+
+def quads_by(stars: DataFrame, cell: float, by: tuple[str, ...]) -> DataFrame:
+    """The quads of each group's stars, once for equal members."""
+    out = all_quads(stars, nearest(stars, 3, cell, by=by), by)
+    return ratios(out.groupBy(*by, "members").agg(F.min_by(F.struct("id", "s", "xc", "yc"), "id").alias("q")).select(*by, "q.*"), by)
 
 
 def quads(stars: DataFrame, neighbours: DataFrame) -> DataFrame:

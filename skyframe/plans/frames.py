@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyframe.functions import sky, tiles, when
 from skyframe.operators import asteroids, field, mosaic as mosaics, sip
 from skyframe.operators.fit import POWERS
 from skyframe.operators.scratch import path_for
-from skyframe.plans import views
+from skyframe.plans import solve, views
 from skyframe.plans.queries import TWO_PI, _tiles_sql, query, r6
 from skyframe.plans.views import CATALOG
 from skyframe.sources import codecs, startiles
@@ -258,3 +259,44 @@ def _asteroids_sql() -> str:
 def asteroids_in_field(spark, sf_dir):
     got = asteroids.in_fields(_nights(spark, sf_dir), asteroids.orbits(_elements(spark, sf_dir)), LATITUDE, LONGITUDE, FAINTEST)
     return got.select("frame", "id", "comet", r6("ra", "ra"), r6("dec", "dec"), r6("delta", "delta"), F.round("mag", 4).alias("mag"), "outdated")
+
+
+# ---- plate solving -------------------------------------------------------------------------------------------------
+
+#: A strip of sky with a star for each line number of an order, and a frame of 1000 x 1000 pixels for each supplier, with the brightest
+#: stars of its field; it is turned, and its start position is off by some tenths of the field.
+STRIP, VIEW, BRIGHTEST, PIXELS = 0.1, 0.11, 60, 1000
+
+
+def _strip(spark, sf_dir):
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li = views.table(spark, sf_dir, "lineitem").select(k.alias("id")).distinct()
+    i = F.col("id")
+    ra, dec = (i * 7919 + (i % 1009) * (i % 757)) % 1000003 / 1000003.0, (i * 104729 + (i % 911) * (i % 613)) % 999983 / 999983.0
+    return li.select("id", (ra * sky.TWO_PI).alias("ra"), ((dec * 2 - 1) * STRIP).alias("dec"), (i % 997 / 100.0).alias("mag"))
+
+
+def _views(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = views.table(spark, sf_dir, "supplier").select(k.alias("frame"), F.radians((k * 47 % 350 + 5).cast("double")).alias("ra"), F.radians((k * 3 % 5 - 2).cast("double")).alias("dec"), F.radians((k * 17 % 60).cast("double")).alias("turned"))
+    return s.select("frame", "ra", "dec", "turned", (F.col("ra") + 0.012).alias("ra0"), (F.col("dec") - 0.01).alias("dec0"), F.lit(VIEW).alias("field"), F.lit(PIXELS).alias("width"), F.lit(PIXELS).alias("height"))
+
+
+def _stars_in_view(spark, sf_dir):
+    """What a camera sees: the catalogue through each frame's true solution."""
+    true = _views(spark, sf_dir).select("frame", "turned", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), (F.col("field") * 1.5).alias("field"))
+    near = field.in_square(true, _strip(spark, sf_dir))
+    xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
+    c, s, unit = F.cos("turned"), F.sin("turned"), VIEW / PIXELS
+    mid = (PIXELS + 1) / 2
+    at = near.select("frame", "id", "mag", ((s * eta - c * xi) / unit + mid).alias("x"), ((s * xi + c * eta) / unit + mid).alias("y")).filter(F.col("x").between(1, PIXELS) & F.col("y").between(1, PIXELS))
+    first = F.row_number().over(Window.partitionBy("frame").orderBy("mag", "id"))
+    return at.withColumn("k", first).filter(F.col("k") <= BRIGHTEST).select("frame", F.col("k").cast("long").alias("id"), "x", "y")
+
+
+@query(f"SELECT s_suppkey AS frame, CAST(s_suppkey * 47 % 350 + 5 AS DOUBLE) AS ra, CAST(s_suppkey * 3 % 5 - 2 AS DOUBLE) AS dec, {round(VIEW / PIXELS * 648000 / sky.PI, 1)!r}::DOUBLE AS scale, CAST(s_suppkey * 17 % 60 AS DOUBLE) AS turned FROM supplier")
+def plate_solve(spark, sf_dir):
+    """The solutions of all frames at once; the SQL has the true ones."""
+    got = solve.solve_all(_views(spark, sf_dir).drop("ra", "dec"), _stars_in_view(spark, sf_dir), _strip(spark, sf_dir))
+    zero = lambda c, n: F.round(c, n) + 0.0
+    return got.select("frame", zero(F.col("crval1"), 2).alias("ra"), zero(F.col("crval2"), 2).alias("dec"), F.round("scale", 1).alias("scale"), zero(F.degrees(F.atan2("cd2_1", "cd2_2")), 0).alias("turned"))

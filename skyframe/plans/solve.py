@@ -1,14 +1,17 @@
-"""Plate solving: stars of a frame against a catalogue, by quads, to an affine map and a WCS."""
+"""Plate solving: stars of frames against a catalogue, by quads, to an affine map and a WCS. `solve_all` takes many frames and
+all their start positions in one go; `solve` is that for one frame, as a dict."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions import sky
-from skyframe.operators import fit, match
+from skyframe.operators import field, fit, match
+from skyframe.operators.robust import upper_median
+from skyframe.operators.scratch import stored
 
 RATIOS = ["r2", "r3", "r4", "r5", "r6"]
 
@@ -18,54 +21,92 @@ def spiral(rings: int) -> list[tuple[int, int]]:
     return sorted(((i, j) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)), key=lambda p: (max(abs(p[0]), abs(p[1])), math.atan2(p[1], p[0])))
 
 
-def quads_of(stars: DataFrame, cell: float) -> DataFrame:
-    return match.quads(stars.select("id", "x", "y"), match.nearest(stars, 3, cell))
+ARC = 648000 / math.pi  # seconds of arc
+OVERSIZE, SPARE = 1.5, 1.8  # the catalogue's square against the field, and its stars against the frame's
+STEP = 0.5  # of a field from one start position to the next
 
 
-def matched(a: DataFrame, b: DataFrame, tolerance: float = 0.007) -> DataFrame | None:
-    """Quads of two star lists that agree in their ratios, and whose scale is within the tolerance of the upper median
-    scale: x, y (of b) and u, v (of a). None with fewer than 3."""
-    from skyframe.operators.robust import upper_median
+def starts(frames: DataFrame, rings: int) -> DataFrame:
+    """frames (frame, ra0, dec0, field) -> a row for each start position: pos 0 is the frame's own, then a square spiral."""
+    moves = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i, j in spiral(rings)])
+    dec = F.greatest(F.least(F.col("dec0") + F.col("m.j") * F.col("field") * STEP, F.lit(math.pi / 2)), F.lit(-math.pi / 2))
+    at = frames.select("*", F.posexplode(moves).alias("pos", "m"))
+    return at.withColumn("dec", dec).withColumn("ra", F.pmod(F.col("ra0") + F.col("m.i") * F.col("field") * STEP / F.greatest(F.cos("dec"), F.lit(0.01)), F.lit(2 * math.pi))).drop("m")
 
-    pairs = match.band_match(a, b, RATIOS, tolerance).withColumn("all", F.lit(1)).cache()
-    med = upper_median(pairs, ["all"], "ratio", "med")
-    kept = pairs.join(F.broadcast(med), "all").filter(F.abs(F.col("ratio") - F.col("med")) <= tolerance * F.col("med"))
-    out = kept.join(a.select(F.col("id").alias("id_a"), F.col("xc").alias("u"), F.col("yc").alias("v")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("xc").alias("x"), F.col("yc").alias("y")), "id_b")
-    out = out.select(F.lit(1).alias("all"), "x", "y", "u", "v")
-    return out if out.count() >= 3 else None
+
+def solve_all(frames: DataFrame, stars: DataFrame, catalog: DataFrame, rings: int = 1, tolerance: float = 0.007, least: int = 3) -> DataFrame:
+    """`searched`, then once more from each frame's own solution: flattened at the frame's centre, where the map from pixels
+    is affine. Frames whose second pass fails are not solved. Takes and gives what `searched` does; pos is the first one's."""
+    first = stored(searched(frames, stars, catalog, rings, tolerance, least), "solved")
+    there = frames.drop("ra0", "dec0").join(first.select("frame", "pos", F.radians("crval1").alias("ra0"), F.radians("crval2").alias("dec0")), "frame")
+    return searched(there.drop("pos"), stars, catalog, 0, tolerance, least).drop("pos").join(first.select("frame", "pos"), "frame")
+
+
+def searched(frames: DataFrame, stars: DataFrame, catalog: DataFrame, rings: int, tolerance: float, least: int) -> DataFrame:
+    """frames (frame, ra0, dec0: where to begin, field: the frame's height, all radians; width, height in pixels), stars
+    (frame, id, x, y in pixels from 1), catalog (id, ra, dec, mag) -> for each frame that is solved: pos, quads, crval1,
+    crval2 (degrees), crpix1, crpix2, cd1_1 .. cd2_2, and scale (seconds of arc a pixel).
+
+    Start positions are rows, not a loop: the catalogue's stars about each are joined on sky cells and flattened there at the
+    frame's nominal scale; quads of frame and position meet on the frame and cells of their ratios; of each frame the position
+    with most quads of one scale wins."""
+    frames = frames.join(stars.groupBy("frame").agg(F.count("*").alias("n")), "frame")
+    places = stored(starts(frames, rings).withColumnRenamed("frame", "of").withColumn("frame", F.concat_ws(":", "of", "pos")), "starts")
+    if places.isEmpty():
+        return stars.sparkSession.createDataFrame([], "frame long, pos int, quads long, crval1 double, crval2 double, crpix1 double, crpix2 double, cd1_1 double, cd1_2 double, cd2_1 double, cd2_2 double, scale double")
+    square = places.select("frame", "of", "pos", "n", "height", "field", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
+    near = field.in_square(square.withColumn("nominal", F.col("field") / F.col("height")).withColumn("field", F.col("field") * OVERSIZE), catalog)
+    bright = near.withColumn("k", F.row_number().over(Window.partitionBy("of", "pos").orderBy("mag", "id"))).filter(F.col("k") <= F.col("n") * SPARE + 10)
+    xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
+    flat = stored(bright.select(F.col("of").alias("frame"), "pos", "id", (xi / F.col("nominal")).alias("x"), (eta / F.col("nominal")).alias("y")), "flat")
+    size = frames.agg(F.max(F.greatest("width", "height")).alias("side"), F.avg("n").alias("n")).first()
+    cell = 1.5 * size["side"] / max(1.0, math.sqrt(size["n"]))
+    own = stored(match.quads_by(stars, cell, ("frame",)), "quads")
+    theirs = stored(match.quads_by(flat, cell, ("frame", "pos")), "quads")
+    pairs = stored(_agreeing(own, theirs, tolerance), "pairs")
+    scale = upper_median(pairs, ["frame", "pos"], "ratio", "med")
+    kept = pairs.join(scale, ["frame", "pos"]).filter(F.abs(F.col("ratio") - F.col("med")) <= tolerance * F.col("med"))
+    fits = fit.affine(kept, ["frame", "pos"]).join(kept.groupBy("frame", "pos").agg(F.count("*").alias("quads")), ["frame", "pos"])
+    along, up = F.sqrt(F.col("a") * F.col("a") + F.col("d") * F.col("d")), F.sqrt(F.col("b") * F.col("b") + F.col("e") * F.col("e"))
+    good = fits.filter((F.col("quads") >= least) & F.col("a").isNotNull() & (along > 0.9 * up) & (along < 1.1 * up) & (up > 0))
+    best = good.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy(F.col("quads").desc(), "pos"))).filter("place = 1")
+    at = places.select(F.col("of").alias("frame"), "pos", "ra", "dec", "width", "height", (F.col("field") / F.col("height")).alias("nominal"))
+    return _solution(best.join(at, ["frame", "pos"]))
+
+
+def _agreeing(own: DataFrame, theirs: DataFrame, tolerance: float) -> DataFrame:
+    """Quads of a frame and of its positions whose ratios all agree: x, y in the frame, u, v about the position."""
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    left = own.select("frame", F.col("d1").alias("da"), F.col("xc").alias("x"), F.col("yc").alias("y"), *[F.col(r).alias(f"a_{r}") for r in RATIOS], cell("r2").alias("k0"), cell("r3").alias("k1"))
+    for k in ("k0", "k1"):
+        left = left.withColumn(k, F.explode(F.array(*[F.col(k) + m for m in (-1, 0, 1)])))
+    right = theirs.select("frame", "pos", F.col("d1").alias("db"), F.col("xc").alias("u"), F.col("yc").alias("v"), *[F.col(r).alias(f"b_{r}") for r in RATIOS], cell("r2").alias("k0"), cell("r3").alias("k1"))
+    near = F.lit(True)
+    for r in RATIOS:
+        near = near & (F.abs(F.col(f"a_{r}") - F.col(f"b_{r}")) <= tolerance)
+    return left.join(right, ["frame", "k0", "k1"]).filter(near).select("frame", "pos", "x", "y", "u", "v", (F.col("da") / F.col("db")).alias("ratio"))
+
+
+def _solution(best: DataFrame) -> DataFrame:
+    """The affine map (pixels to flat coordinates at the nominal scale about ra, dec) as a WCS at the frame's centre."""
+    cx, cy = (F.col("width") + 1) / 2, (F.col("height") + 1) / 2
+    s = best.select("*", cx.alias("crpix1"), cy.alias("crpix2"), *[((F.col(p) * cx + F.col(q) * cy + F.col(c)) * F.col("nominal")).alias(n) for n, (p, q, c) in (("sx", "abc"), ("sy", "def"))])
+    ra, dec = sky.from_standard(F.col("sx"), F.col("sy"), F.col("ra"), F.col("dec"))
+    s = s.select("*", ra.alias("cra"), dec.alias("cdec"))
+    # north at the new centre against the old
+    turn = F.atan2(F.sin(F.col("cra") - F.col("ra")) * F.sin("dec"), F.cos(F.col("cra") - F.col("ra")))
+    s = s.select("*", F.cos(turn).alias("along"), F.sin(turn).alias("aside"))
+    unit = F.col("nominal") * (180 / math.pi)
+    across = lambda p, q: ((F.col("along") * F.col(p) - F.col("aside") * F.col(q)) * unit)
+    up = lambda p, q: ((F.col("aside") * F.col(p) + F.col("along") * F.col(q)) * unit)
+    cd = {"cd1_1": across("a", "d"), "cd1_2": across("b", "e"), "cd2_1": up("a", "d"), "cd2_2": up("b", "e")}
+    scale = F.sqrt(F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d"))) * F.col("nominal") * ARC
+    return s.select("frame", "pos", "quads", F.degrees("cra").alias("crval1"), F.degrees("cdec").alias("crval2"), "crpix1", "crpix2", *[v.alias(k) for k, v in cd.items()], scale.alias("scale"))
 
 
 def solve(stars: DataFrame, catalog: DataFrame, ra0: float, dec0: float, field: float, width: int, height: int, tolerance: float = 0.007, rings: int = 1) -> dict | None:
-    """stars (id, x, y in pixels from 1), catalog (id, ra, dec, mag in radians). The start position is tried first, then
-    its neighbours half a field away in a spiral. Returns CRVAL, CRPIX and the CD matrix (degrees), or None."""
-    n = stars.count()
-    own = quads_of(stars, max(width, height) / max(1.0, math.sqrt(n)) * 1.5).cache()
-    for i, j in spiral(rings):
-        d = dec0 + j * field / 2
-        r = ra0 + i * field / 2 / max(0.01, math.cos(d))
-        near = match.in_cone(catalog, r, d, field * 0.75).orderBy("mag", "id").limit(int(n * 1.8) + 10)
-        xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.lit(r), F.lit(d))
-        flat = near.select("id", (xi * (648000 / math.pi)).alias("x"), (eta * (648000 / math.pi)).alias("y")).cache()
-        if flat.count() < 4:
-            continue
-        theirs = quads_of(flat, field * (648000 / math.pi) / math.sqrt(n) * 1.5).cache()
-        pairs = matched(theirs, own, tolerance)
-        if pairs is None:
-            continue
-        s = fit.affine(pairs, ["all"]).first()
-        if s is None or s["a"] is None:
-            continue
-        scale = math.hypot(s["a"], s["d"]) / math.hypot(s["b"], s["e"])
-        if not 0.9 < scale < 1.1:
-            continue
-        # standard coordinates (arc seconds) of the frame's centre, and the matrix there
-        cx, cy = (width + 1) / 2, (height + 1) / 2
-        x, y = ((s[p] * cx + s[q] * cy + s[c]) * math.pi / 648000 for p, q, c in ("abc", "def"))
-        den = math.cos(d) - y * math.sin(d)
-        ra = r + math.atan2(x, den)
-        dec = math.atan2(math.sin(d) + y * math.cos(d), math.hypot(x, den))
-        turn = math.atan2(math.sin(ra - r) * math.sin(d), math.cos(ra - r))  # north at the new centre against the old
-        c, t = math.cos(turn), math.sin(turn)
-        m = [[c * s["a"] - t * s["d"], c * s["b"] - t * s["e"]], [t * s["a"] + c * s["d"], t * s["b"] + c * s["e"]]]
-        return {"CRPIX1": cx, "CRPIX2": cy, "CRVAL1": math.degrees(ra) % 360, "CRVAL2": math.degrees(dec), "CD1_1": m[0][0] / 3600, "CD1_2": m[0][1] / 3600, "CD2_1": m[1][0] / 3600, "CD2_2": m[1][1] / 3600, "QUADS": pairs.count()}
-    return None
+    """One frame's stars (id, x, y in pixels from 1) against catalog (id, ra, dec, mag in radians): CRVAL, CRPIX and the CD
+    matrix (degrees), or None."""
+    frame = stars.sparkSession.createDataFrame([(0, ra0, dec0, field, width, height)], "frame long, ra0 double, dec0 double, field double, width int, height int")
+    r = solve_all(frame, stars.select(F.lit(0).cast("long").alias("frame"), "id", "x", "y"), catalog, rings, tolerance).first()
+    return None if r is None else {k.upper(): r[k] for k in ("crpix1", "crpix2", "crval1", "crval2", "cd1_1", "cd1_2", "cd2_1", "cd2_2", "quads")}

@@ -20,6 +20,32 @@ def test_running_stack(spark, tmp_path):
     assert got.loc[0, "stack"] == 2 and got.loc[0, "frames"] == 2 and got.loc[0, "mean"] == 35 and got.loc[1, "mean"] == 36
 
 
+def test_tiles_as_stream_and_as_table(spark, tmp_path):
+    """Stream and table agree, over a restart; rejected frames come once, with their reason; state rows are tiles."""
+    schema = "session string, y0 int, x0 int, at long, ra double, dec double, exposure double, width int, height int, quads int, data array<double>"
+    rng, rows = np.random.default_rng(1), []
+    for at in range(12):
+        size = 9 if at == 4 else 8
+        for y0, x0 in ((0, 0), (0, 4), (4, 0)):
+            rows.append(("s", y0, x0, at, 10.0 + (at >= 7), 5.0, 60.0, size, 8, 1 if at in (2, 9) else 20, rng.uniform(0, 9, 16).tolist()))
+    src, out = f"{tmp_path}/in", []
+    for part in (rows[:9], rows[9:24], rows[24:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        q = live.running_tiles(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).foreachBatch(lambda df, n: out.append(df.toPandas())).start()
+        q.awaitTermination(120)
+        if any("stateOperators" in p and p["stateOperators"] for p in q.recentProgress):
+            assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 3
+    stream, table = pd.concat(out), live.stacked_tiles(spark.createDataFrame(rows, schema)).toPandas()
+    last = lambda df: df[df["reason"].isna()].sort_values("at").groupby(["y0", "x0"]).last()
+    a, b = last(stream), last(table)
+    assert (a[["stack", "frames", "rejected"]] == b[["stack", "frames", "rejected"]]).all().all() and set(a["stack"]) == {2} and set(a["frames"]) == {4} and set(a["rejected"]) == {3}
+    for k in a.index:
+        want = np.mean([r[10] for r in rows if r[1:3] == k and r[3] in (7, 8, 10, 11)], axis=0)
+        assert np.allclose(a.loc[k, "mean"], want) and np.allclose(b.loc[k, "mean"], want)
+    for df in (stream, table):
+        assert sorted(zip(df["at"][df["reason"].notna()], df["reason"].dropna(), strict=True)) == [(2, "quads"), (4, "size"), (9, "quads")]
+
+
 def test_sessions_and_windows(spark, tmp_path):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     rows = [(1, t(s), v) for s, v in ((0, 5), (10, 6), (20, 60), (30, 61), (9999, 62))]

@@ -199,3 +199,29 @@ def saturated_cells_kept(px: DataFrame, limit: int) -> DataFrame:
     cell = px.groupBy("frame", F.floor(F.col("y") / 2).alias("cy"), F.floor(F.col("x") / 2).alias("cx")).agg(F.max("v").alias("top"), F.sum("v").alias("total"))
     last = F.last(F.when(F.col("top") <= limit, F.col("total")), ignorenulls=True).over(Window.partitionBy("frame", "cy").orderBy("cx"))
     return cell.select("frame", "cy", "cx", F.coalesce(last, F.col("total")).alias("total"), (F.col("top") > limit).alias("saturated"))
+
+
+def gaussian(px: DataFrame, radius: float) -> DataFrame:
+    """Gaussian blur of pixels (frame, x, y, v), clamped at the frame's edges (its largest x and y): along x, then along y.
+    Each pixel is shared out to the places that it reaches and summed there, so frames of any size are no single task's; places
+    that no pixel reaches are left out. Sums begin before the shuffle."""
+    from skyframe.kernels.image import gaussian_kernel
+
+    k = gaussian_kernel(radius)
+    h = len(k) // 2
+    weights = F.array(*[F.lit(float(c)) for c in k])
+    below = F.array(*[F.lit(float(c)) for c in [0.0, *k.cumsum()]])  # sums of the first weights
+    ends = px.groupBy("frame").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    p = px.join(ends, "frame").select("frame", "x", "y", F.col("v").cast("double").alias("v"), "mx", "my")
+
+    def along(p: DataFrame, c: str, last: str) -> DataFrame:
+        at, end = F.col(c), F.col(last)
+        to = p.withColumn("to", F.explode(F.sequence(F.greatest(at - h, F.lit(0)), F.least(at + h, end))))
+        step = (at - F.col("to") + h).cast("int")
+        # what lies beyond an edge has the edge's value
+        low, high = F.get(below, step + 1), 1.0 - F.get(below, step)
+        share = F.when(end == 0, 1.0).when(at == 0, low).when(at == end, high).otherwise(F.get(weights, step))
+        other = "y" if c == "x" else "x"
+        return to.groupBy("frame", other, F.col("to").alias(c), "mx", "my").agg(F.sum(F.col("v") * share).alias("v"))
+
+    return along(along(p, "x", "mx"), "y", "my").select("frame", "x", "y", "v")

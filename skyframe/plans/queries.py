@@ -917,11 +917,18 @@ def hfd(spark, sf_dir):
     return frames.measured(_scene(spark, sf_dir), p).select("frame", "id", F.round("hfd", 3).alias("hfd"), F.round("flux", 1).alias("flux"))
 
 
-@query()
-def gaussian_blur(spark, sf_dir):
-    from skyframe.operators import frames
+def _blur_sql(radius: float) -> str:
+    from skyframe.kernels.image import gaussian_kernel
 
-    return frames.blurred(views.px(spark, sf_dir), 2.0).select("frame", "x", "y", F.round("v", 3).alias("v"))
+    k = gaussian_kernel(radius)
+    h, w = len(k) // 2, "[" + ", ".join(f"{float(c)!r}::DOUBLE" for c in k) + "]"
+    part = lambda c, o, src, name: f"{name} AS (SELECT frame, {o}, t AS {c}, sum(v * CASE WHEN {c} = 0 THEN list_sum(({w})[1:{c} - t + {h} + 1]) WHEN {c} = 39 THEN list_sum(({w})[{c} - t + {h} + 1:]) ELSE ({w})[{c} - t + {h} + 1] END) AS v FROM {src}, range(40) r(t) WHERE abs({c} - t) <= {h} GROUP BY frame, {o}, t)"
+    return f"WITH {PX}, {part('x', 'y', 'px', 'bx')}, {part('y', 'x', 'bx', 'bb')} SELECT frame, x, y, round(v, 3) AS v FROM bb"
+
+
+@query(_blur_sql(2.0))
+def gaussian_blur(spark, sf_dir):
+    return pixels.gaussian(views.px(spark, sf_dir), 2.0).select("frame", "x", "y", F.round("v", 3).alias("v"))
 
 
 @query()

@@ -137,3 +137,16 @@ def test_scenes_hold_every_part(spark, tmp_path):
     found = queries.find_stars(spark, str(tmp_path)).collect()
     assert {f: sum(r["frame"] == f for r in found) for f in range(6)} == {0: 25, 1: 25, 2: 25, 3: 25, 4: 10, 5: 10} and len(found) == 121
     assert sorted(r["id"] for r in queries.hfd(spark, str(tmp_path)).collect()) == list(range(121))
+
+
+def test_gaussian_of_pixels_is_that_of_the_frame(spark):
+    from skyframe.operators import pixels
+
+    rng = np.random.default_rng(8)
+    for shape, radius in (((11, 17), 1.5), ((1, 9), 2.0), ((5, 4), 3.0)):
+        img = rng.uniform(1, 90, shape)
+        df = spark.createDataFrame([(3, x, y, float(img[y, x])) for y in range(shape[0]) for x in range(shape[1])], "frame long, x long, y long, v double")
+        got = np.zeros(shape)
+        for r in pixels.gaussian(df, radius).collect():
+            got[r["y"], r["x"]] = r["v"]
+        assert np.allclose(got, image.gaussian_blur(img, radius))

@@ -224,7 +224,7 @@ def _equatorial(x: str, y: str, z: str) -> str:
     return f"{x} AS {{0}}x, cos({OB}) * {y} - sin({OB}) * {z} AS {{0}}y, sin({OB}) * {y} + cos({OB}) * {z} AS {{0}}z"
 
 
-def _asteroids_sql() -> str:
+def _asteroids_sql(nights: str, tail: str) -> str:
     import math
 
     flat, au, radius, lat = 0.99664719, 149597870.700, 6378.14, LATITUDE
@@ -233,7 +233,7 @@ def _asteroids_sql() -> str:
     k = "0.01720209895::DOUBLE"
     return f"""WITH el AS (SELECT c_custkey AS id, c_custkey % 9 = 0 AS comet, 2460000.5::DOUBLE - c_custkey % 200 AS epoch, radians(c_custkey * 31 % 360 + 0.5::DOUBLE) AS anomaly, radians(c_custkey * 7 % 360) AS peri, radians(c_custkey * 13 % 360) AS node, radians(c_custkey % 23 + 0.25::DOUBLE) AS i, CASE WHEN c_custkey % 9 = 0 THEN 0.8::DOUBLE + c_custkey % 5 / 10.0::DOUBLE ELSE c_custkey % 60 / 100.0::DOUBLE END AS e, 1.1::DOUBLE + c_custkey % 31 / 10.0::DOUBLE AS axis, 0.4::DOUBLE + c_custkey % 17 / 10.0::DOUBLE AS qc, 8 + c_custkey % 80 / 10.0::DOUBLE AS h FROM customer),
  o AS (SELECT *, CASE WHEN comet THEN qc ELSE axis * (1 - e) END AS q, CASE WHEN comet THEN epoch ELSE epoch - anomaly * pow(axis, 1.5) / {k} END AS t0 FROM el),
- f AS (SELECT s_suppkey AS frame, 2460000.0::DOUBLE + s_suppkey % 12 + s_suppkey * 7 % 10 / 10.0::DOUBLE AS jd, s_suppkey * 37 % 628 / 100.0::DOUBLE AS ra0, (s_suppkey * 53 % 181 - 90) / 100.0::DOUBLE AS dec0 FROM supplier),
+ f AS ({nights}),
  p AS (SELECT *, jd + 0.0008::DOUBLE AS tt, jd + 0.0008::DOUBLE - t0 AS dt FROM o, f),
  a AS (SELECT *, {k} * dt / pow(q / CASE WHEN abs(e - 1) < 1e-9 THEN 1 ELSE abs(1 - e) END, 1.5) AS m0, 1.5 * {k} * dt / sqrt(2 * q * q * q) AS w FROM p),
  b AS (SELECT *, CASE WHEN e < 1 THEN m0 - 2 * pi() * floor((m0 + pi()) / (2 * pi())) ELSE m0 END AS m, cbrt(w + sqrt(w * w + 1)) AS y FROM a),
@@ -250,17 +250,30 @@ def _asteroids_sql() -> str:
  li AS (SELECT *, {asteroids.LIGHT_DAYS!r}::DOUBLE * sqrt(pow(px - ex, 2) + pow(py - ey, 2) + pow(pz - ez, 2)) AS tau, {LONGITUDE!r}::DOUBLE + {sky.SIDEREAL_2000!r}::DOUBLE + (jd - 2451545) * {sky.SIDEREAL_RATE!r}::DOUBLE AS lst FROM ep),
  tp AS (SELECT *, px - ex - tau * vx - {radius / au * c!r}::DOUBLE * cos(lst) AS tx, py - ey - tau * vy - {radius / au * c!r}::DOUBLE * sin(lst) AS ty, pz - ez - tau * vz - {radius / au * s!r}::DOUBLE AS tz FROM li),
  sp AS (SELECT *, sqrt(tx * tx + ty * ty + tz * tz) AS delta, fmod(atan2(ty, tx) + {TWO_PI}, {TWO_PI}) AS ra, atan2(tz, sqrt(tx * tx + ty * ty)) AS dec, sqrt(px * px + py * py + pz * pz) AS rs, sqrt(ex * ex + ey * ey + ez * ez) AS re, sqrt(pow(px - ex, 2) + pow(py - ey, 2) + pow(pz - ez, 2)) AS rp FROM tp),
- ne AS (SELECT *, acos((rp * rp + rs * rs - re * re) / (2 * rp * rs)) AS phase FROM sp WHERE pow((fmod(ra - ra0 + 3 * pi(), {TWO_PI}) - pi()) * cos(dec0), 2) + pow(dec - dec0, 2) < {RADIUS * RADIUS!r}::DOUBLE),
- ma AS (SELECT *, h + 5 * log10(delta) + CASE WHEN comet THEN 10 * log10(rs) ELSE 5 * log10(rs) + ln(0.85::DOUBLE * exp(-3.33::DOUBLE * exp(0.63::DOUBLE * ln(tan(phase / 2) + 1e-8))) + 0.15::DOUBLE * exp(-1.87::DOUBLE * exp(1.22::DOUBLE * ln(tan(phase / 2) + 1e-8)))) * {-2.5 / math.log(10)!r}::DOUBLE END AS mag FROM ne)
+ {tail}"""
+
+
+NIGHTS = "SELECT s_suppkey AS frame, 2460000.0::DOUBLE + s_suppkey % 12 + s_suppkey * 7 % 10 / 10.0::DOUBLE AS jd, s_suppkey * 37 % 628 / 100.0::DOUBLE AS ra0, (s_suppkey * 53 % 181 - 90) / 100.0::DOUBLE AS dec0 FROM supplier"
+IN_FIELD = f"""ne AS (SELECT *, acos((rp * rp + rs * rs - re * re) / (2 * rp * rs)) AS phase FROM sp WHERE pow((fmod(ra - ra0 + 3 * pi(), {TWO_PI}) - pi()) * cos(dec0), 2) + pow(dec - dec0, 2) < {RADIUS * RADIUS!r}::DOUBLE),
+ ma AS (SELECT *, h + 5 * log10(delta) + CASE WHEN comet THEN 10 * log10(rs) ELSE 5 * log10(rs) + ln(0.85::DOUBLE * exp(-3.33::DOUBLE * exp(0.63::DOUBLE * ln(tan(phase / 2) + 1e-8))) + 0.15::DOUBLE * exp(-1.87::DOUBLE * exp(1.22::DOUBLE * ln(tan(phase / 2) + 1e-8)))) * {-2.5 / 2.302585092994046!r}::DOUBLE END AS mag FROM ne)
  SELECT frame, id, comet, round(ra, 6) AS ra, round(dec, 6) AS dec, round(delta, 6) AS delta, round(mag, 4) AS mag, NOT comet AND abs(tt - epoch) > 120 AS outdated FROM ma WHERE mag <= {FAINTEST}"""
 
 
-@query(_asteroids_sql())
+@query(_asteroids_sql(NIGHTS, IN_FIELD))
 def asteroids_in_field(spark, sf_dir):
     got = asteroids.in_fields(_nights(spark, sf_dir), asteroids.orbits(_elements(spark, sf_dir)), LATITUDE, LONGITUDE, FAINTEST)
     return got.select("frame", "id", "comet", r6("ra", "ra"), r6("dec", "dec"), r6("delta", "delta"), F.round("mag", 4).alias("mag"), "outdated")
 
 
+@query(_asteroids_sql("SELECT 0 AS frame, 2460000.0::DOUBLE AS jd, 0 AS ra0, 0 AS dec0", "t2 AS (SELECT 1) SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(delta, 6) AS distance FROM sp"))
+def minor_planet_positions(spark, sf_dir):
+    """Topocentric places of all orbits at one time, light time taken out."""
+    o = asteroids.orbits(_elements(spark, sf_dir))
+    at = asteroids.observed(spark.range(1).select(F.lit(2460000.0).alias("jd")), F.col("jd") + 0.0008, sky.sidereal(F.col("jd"), F.lit(LONGITUDE)), LATITUDE)
+    return asteroids.seen(o.crossJoin(at.drop("jd"))).select("id", r6("ra", "ra"), r6("dec", "dec"), r6("delta", "distance"))  # one time
+
+
+
 # ---- plate solving -------------------------------------------------------------------------------------------------
 
 #: A strip of sky with a star for each line number of an order, and a frame of 1000 x 1000 pixels for each supplier, with the brightest

@@ -25,7 +25,25 @@ def nutation(spark, sf_dir):
     return views.catalog(spark, sf_dir).select("id", r6(ra, "ra"), r6(dec, "dec"))
 
 
-@query()
+#: Aberration by the Earth's velocity, precession from J2000, then nutation, as `nutation` has it.
+APPARENT = f"""WITH {CATALOG}, j AS (SELECT id, ra, dec, 2455000.0::DOUBLE + id % 5000 AS jd, 2000 + (2455000.0::DOUBLE + id % 5000 - 2451544.5) / 365.25::DOUBLE AS y FROM catalog),
+ d AS (SELECT id, ra, dec, (jd + CASE WHEN floor(y + 0.5) BETWEEN 2016 AND 2020 THEN 68.3 + (y - 2016) * 0.54::DOUBLE WHEN floor(y + 0.5) BETWEEN 2021 AND 2024 THEN 71 + (y - 2021) * 0.5 ELSE 60 END / 86400 - 2451545) / 36525.0::DOUBLE AS t FROM j),
+ m AS (SELECT *, radians(357.52911::DOUBLE + 35999.05029::DOUBLE * t - 0.0001537::DOUBLE * t * t) AS m, 0.016708634::DOUBLE - 0.000042037::DOUBLE * t - 0.0000001267::DOUBLE * t * t AS e FROM d),
+ c AS (SELECT *, radians((1.914602::DOUBLE - 0.004817::DOUBLE * t - 0.000014::DOUBLE * t * t) * sin(m) + (0.019993::DOUBLE - 0.000101::DOUBLE * t) * sin(2 * m) + 0.000289::DOUBLE * sin(3 * m)) AS c FROM m),
+ l AS (SELECT *, m + c AS nu, 1.000001018::DOUBLE * (1 - e * e) / (1 + e * cos(m + c)) AS r, radians(280.46646::DOUBLE + 36000.76983::DOUBLE * t + 0.0003032::DOUBLE * t * t) + c + pi() - (5028.796195::DOUBLE * t + 1.1054348::DOUBLE * t * t) * {A} AS lon FROM c),
+ n AS (SELECT *, radians(360.0::DOUBLE / 365.256363004::DOUBLE) * pow(1 + e * cos(nu), 2) / pow(1 - e * e, 1.5) AS w FROM l),
+ v AS (SELECT *, r * e * sin(nu) * w / (1 + e * cos(nu)) AS dr FROM n),
+ s AS (SELECT *, dr * cos(lon) - r * sin(lon) * w AS ux, dr * sin(lon) + r * cos(lon) * w AS uy FROM v),
+ x AS (SELECT id, t, cos(dec) * cos(ra) + 0.00577552::DOUBLE * ux AS x, cos(dec) * sin(ra) + 0.00577552::DOUBLE * uy * cos({when.OBLIQUITY!r}::DOUBLE) AS y, sin(dec) + 0.00577552::DOUBLE * uy * sin({when.OBLIQUITY!r}::DOUBLE) AS z FROM s),
+ ab AS (SELECT id, t, atan2(y, x) AS ra, atan2(z, sqrt(x * x + y * y)) AS dec, (2306.2181::DOUBLE * t + 0.30188::DOUBLE * t * t + 0.017998::DOUBLE * t * t * t) * {A} AS ze, (2306.2181::DOUBLE * t + 1.09468::DOUBLE * t * t + 0.018203::DOUBLE * t * t * t) * {A} AS z, (2004.3109::DOUBLE * t - 0.42665::DOUBLE * t * t - 0.041833::DOUBLE * t * t * t) * {A} AS th FROM x),
+ pr AS (SELECT id, t, atan2(cos(dec) * sin(ra + ze), cos(th) * cos(dec) * cos(ra + ze) - sin(th) * sin(dec)) + z AS ra, asin(greatest(-1, least(1, sin(th) * cos(dec) * cos(ra + ze) + cos(th) * sin(dec)))) AS dec FROM ab),
+ a AS (SELECT *, 2 * pi() * (0.993133::DOUBLE + 99.997306::DOUBLE * t - floor(0.993133::DOUBLE + 99.997306::DOUBLE * t)) AS ls, 2 * pi() * (0.827362::DOUBLE + 1236.853087::DOUBLE * t - floor(0.827362::DOUBLE + 1236.853087::DOUBLE * t)) AS d, 2 * pi() * (0.259089::DOUBLE + 1342.227826::DOUBLE * t - floor(0.259089::DOUBLE + 1342.227826::DOUBLE * t)) AS f, 2 * pi() * (0.347346::DOUBLE - 5.372447::DOUBLE * t - floor(0.347346::DOUBLE - 5.372447::DOUBLE * t)) AS n, 0.4090928::DOUBLE - 2.2696e-4::DOUBLE * t AS eps FROM pr),
+ k AS (SELECT id, eps, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z, (-17.2 * sin(n) - 1.319 * sin(2 * (f - d + n)) - 0.227 * sin(2 * (f + n)) + 0.206 * sin(2 * n) + 0.143 * sin(ls)) * {A} AS dp, (9.203 * cos(n) + 0.574 * cos(2 * (f - d + n)) + 0.098 * cos(2 * (f + n)) - 0.09 * cos(2 * n)) * {A} AS de FROM a),
+ o AS (SELECT id, x - (dp * cos(eps) * y + dp * sin(eps) * z) AS x, y + (dp * cos(eps) * x - de * z) AS y, z + (dp * sin(eps) * x + de * y) AS z FROM k)
+ SELECT id, round(fmod(fmod(atan2(y, x), {TWO}) + {TWO}, {TWO}), 6) AS ra, round(atan2(z, sqrt(x * x + y * y)), 6) AS dec FROM o"""
+
+
+@query(APPARENT)
 def apparent_place(spark, sf_dir):
     c = views.catalog(spark, sf_dir).withColumn("jd", 2455000.0 + F.col("id") % 5000)
     return apparent.with_apparent(c, "ra", "dec", "jd").select("id", r6("ra", "ra"), r6("dec", "dec"))
@@ -169,18 +187,6 @@ def tolerant_numbers(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").select(k.alias("id"), text.tolerant_number(t, -1.0).alias("value"))
 
 
-@query()
-def minor_planet_positions(spark, sf_dir):
-    """Topocentric places of planets from orbits: light time is left to the caller's epoch."""
-    orbit = QUERIES["kepler"](spark, sf_dir)
-    ex, ey, ez = when.earth_position(F.lit(2460000.0))
-    x, y, z = when.ecliptic_to_equatorial(F.col("x"), F.col("y"), F.col("z"))
-    tx, ty, tz = apparent.parallax(x - ex, y - ey, z - ez, sky.sidereal(F.lit(2460000.0), F.lit(0.1)), 0.9)
-    orbit = orbit.select("id", tx.alias("tx"), ty.alias("ty"), tz.alias("tz"))
-    r, ra, dec = sky.spherical(F.col("tx"), F.col("ty"), F.col("tz"))
-    return orbit.select("id", r6(ra, "ra"), r6(dec, "dec"), r6(r, "distance"))
-
-
 SIP = ({(0, 2): 2e-6, (1, 1): -3e-6, (2, 0): 4e-6, (3, 0): 1e-9}, {(0, 2): -5e-6, (1, 1): 1e-6, (2, 0): 2e-6, (0, 3): -2e-9})
 INVERSE = ({(0, 0): 0.125, (0, 2): -2e-6, (1, 1): 3e-6, (2, 0): -4e-6, (1, 2): 1e-9}, {(0, 1): 1e-4, (0, 2): 5e-6, (1, 1): -1e-6, (2, 0): -2e-6, (2, 1): 2e-9})
 

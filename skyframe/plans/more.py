@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import apparent, fields, light, sky, text, when
 from skyframe.operators import fit, pixels
 from skyframe.plans import views
-from skyframe.plans.queries import D2R, NEAR, QUERIES, WCS, query, r6
+from skyframe.plans.queries import D2R, NEAR, WCS, query, r6
 from skyframe.plans.views import CATALOG, LC, PX
 
 PI, A = repr(sky.PI) + "::DOUBLE", repr(sky.ARCSEC) + "::DOUBLE"

@@ -63,9 +63,19 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).filter(file_kind(F.col("file")) == "fits").select("file", "content").mapInPandas(cards, CARDS)
 
 
+def put(folder: str, name: str, data: bytes) -> None:
+    """A file in a folder of any kind of store, written aside and renamed."""
+    from pyarrow import fs as afs
+
+    store, root = afs.FileSystem.from_uri(folder) if "://" in folder else (afs.LocalFileSystem(), folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/.{name}.part") as f:
+        f.write(data)
+    store.move(f"{root}/.{name}.part", f"{root}/{name}")
+
+
 def write_images(tiles: DataFrame, out: str, bits: int = -32) -> DataFrame:
     """A FITS file for each frame, under its own name; returns (file, bytes). Each is written aside and renamed."""
-    from pyarrow import fs as afs
 
     def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int((pdf["y0"] + pdf["h"]).max()), int((pdf["x0"] + pdf["w"]).max())
@@ -73,12 +83,8 @@ def write_images(tiles: DataFrame, out: str, bits: int = -32) -> DataFrame:
         for r in pdf.itertuples(index=False):
             img[r.ch, r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] = np.asarray(r.data).reshape(r.h, r.w)
         data = codecs.write_fits(img, bits=bits)
-        fs, root = afs.FileSystem.from_uri(out)
-        fs.create_dir(root, recursive=True)
         name = key[0].rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".fits"
-        with fs.open_output_stream(f"{root}/.{name}.part") as f:
-            f.write(data)
-        fs.move(f"{root}/.{name}.part", f"{root}/{name}")
+        put(out, name, data)
         return pd.DataFrame([(name, len(data))], columns=["file", "bytes"])
 
     return tiles.groupBy("file").applyInPandas(write, "file string, bytes long")

@@ -75,3 +75,37 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["-h"]) == 0 and cli.main(["-x"]) == 2 and cli.main(["-f", f"{tmp_path}/none.fits"], spark) == 16
     assert cli.main(["-f", f"{tmp_path}/a.fits", "-analyse", "-s", "1", "-stack", f"{tmp_path}/st"], spark) == 0
     assert "STARS=1" in capsys.readouterr().out and spark.read.parquet(f"{tmp_path}/st").count() == 8100
+
+
+def test_cli_solves(spark, tmp_path, capsys):
+    """Two frames of a planted sky, one turned, solved from a start that is off; a third of nothing is not."""
+    from skyframe.sources import startiles
+
+    rng = np.random.default_rng(3)
+    scale, side, ra0, dec0 = 4e-5, 400, 1.5, 0.3
+    xi, eta = rng.uniform(-0.016, 0.016, (2, 150))
+    d = np.cos(dec0) - eta * np.sin(dec0)
+    ra, dec = ra0 + np.arctan2(xi, d), np.arctan2(np.sin(dec0) + eta * np.cos(dec0), np.hypot(xi, d))
+    mag = np.round(rng.uniform(8, 13, 150), 1)
+    cat = spark.createDataFrame([(float(r), float(q), float(m), 0.5) for r, q, m in zip(ra, dec, mag, strict=True)], "ra double, dec double, mag double, colour double")
+    startiles.write(cat, f"file://{tmp_path}/tiles").collect()
+    yy, xx = np.mgrid[:side, :side]
+    for k, turn in enumerate((0.0, 0.5)):
+        c, s = np.cos(turn), np.sin(turn)
+        x, y = (side - 1) / 2 + (s * eta - c * xi) / scale, (side - 1) / 2 + (s * xi + c * eta) / scale
+        img = 100.0 + (xx * 7 + yy * 13) % 9
+        for px, py, m in zip(x, y, mag, strict=True):
+            if 20 < px < side - 20 and 20 < py < side - 20:
+                img += 6000 * 10 ** (-0.2 * (m - 8)) * np.exp(-((xx - px) ** 2 + (yy - py) ** 2) / 4.5)
+        (tmp_path / f"f{k}.fits").write_bytes(codecs.write_fits(img[None].astype(np.float32)))
+    where = ["-ra", str(np.degrees(ra0 + 0.001) / 15), "-spd", str(np.degrees(dec0 - 0.001) + 90), "-fov", str(np.degrees(scale * side))]
+    args = ["-f", f"{tmp_path}/f*.fits", "-d", f"file://{tmp_path}/tiles", *where, "-s", "30", "-o", f"{tmp_path}/out"]
+    assert cli.main(args, spark) == 0
+    for k in range(2):
+        ini = dict(line.split("=", 1) for line in (tmp_path / f"out/f{k}.ini").read_text().splitlines())
+        assert ini["PLTSOLVD"] == "T" and abs(float(ini["CRVAL1"]) - np.degrees(ra0)) < 2e-4 and abs(float(ini["CRVAL2"]) - np.degrees(dec0)) < 2e-4
+    assert cli.main([*args[:2], "-d", f"{tmp_path}/out", *where], spark) == 32
+    assert cli.main([*args[:4]], spark) == 2
+    (tmp_path / "g.fits").write_bytes(codecs.write_fits(np.full((1, 60, 60), 100, np.float32)))
+    assert cli.main(["-f", f"{tmp_path}/g.fits", "-d", f"file://{tmp_path}/tiles", *where], spark) == 1
+    assert "PLTSOLVD=F" in capsys.readouterr().out

@@ -140,7 +140,7 @@ def measure(img: np.ndarray, x: int, y: int, radius: int = 14, aperture: float =
     flux = max(float(value[inside].sum()), 1e-5)
     wide = int((value[inside] >= value[lit].max(initial=0.0) / 2).sum())
     hfd = max(0.7, 2 * float((value * far)[inside].sum()) / flux)
-    return {"x": xc, "y": yc, "hfd": hfd, "fwhm": 2 * np.sqrt(wide / np.pi), "flux": flux, "snr": flux / np.sqrt(flux + np.pi * (r * sd) ** 2)}
+    return {"x": xc, "y": yc, "hfd": hfd, "fwhm": 2 * np.sqrt(wide / np.pi), "flux": flux, "snr": flux / np.sqrt(flux + np.pi * (r * sd) ** 2), "sd": sd}
 
 
 def _disc(r: int) -> tuple[np.ndarray, np.ndarray]:

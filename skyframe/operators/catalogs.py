@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions import light
+
 
 def _packed(c: Column) -> Column:
     """0-9, then A = 10 and so on."""
@@ -74,3 +76,47 @@ def by_alias(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """catalog (pos, names), wanted (name): the first row one of whose names is the name, in whatever case."""
     named = catalog.select("pos", F.explode(F.array_distinct(F.transform("names", lambda n: F.upper(n)))).alias("key"))
     return wanted.withColumn("key", F.upper("name")).join(named, "key").groupBy("name").agg(F.min("pos").alias("pos"))
+
+
+#: Fixed values of replies in text: lines before a table, what its heading starts with, units of a turn and of a right angle.
+PREAMBLE, HEADING, RA_UNITS, DEC_UNITS = 35, "RA_ICRS", 864000, 324000
+
+
+def table_lines(lines: DataFrame) -> DataFrame:
+    """lines (reply, pos, text) of replies that hold a table after a preamble: the lines under its heading and rule, with
+    n, the number of the reply's lines. Replies are told by their headings' places, a row for each, so a reply of very many
+    lines is no single task's. A reply without a heading has no table; lines counts from 0."""
+    heads = lines.groupBy("reply").agg(F.min(F.when((F.col("pos") >= PREAMBLE) & F.startswith("text", F.lit(HEADING)), F.col("pos"))).alias("head"), (F.max("pos") + 1).alias("n"))
+    return lines.join(heads, "reply").filter(F.col("pos") > F.col("head") + 1).drop("head")
+
+
+def _fields(text: Column) -> list[Column]:
+    """Five columns parted by blanks; after a blank at least two characters belong to the next one, so that two blanks part
+    no empty column."""
+    first, other = "([^ ]*) ", "(.{2}[^ ]*)"
+    part = lambda k: F.regexp_extract(text, f"^{first}{other} {other}(?: {other})?(?: (.*))?$", k)
+    return [F.coalesce(F.trim(part(k)).try_cast("double"), F.lit(0.0)) for k in range(1, 6)]
+
+
+#: A line with its first three columns.
+WHOLE = "^[^ ]* .{2}[^ ]* .{2}[^ ]* "
+
+
+def gaia_stars(lines: DataFrame, band: str = "BP") -> DataFrame:
+    """lines (reply, pos, text) of replies in text: right ascension and declination in radians, the magnitudes G, BP and RP
+    (0 where there is none) and mag, that of a band (0 where it isn't defined). Lines start with a digit; the last two of a
+    reply are its foot."""
+    ok = table_lines(lines).filter((F.col("pos") < F.col("n") - 2) & F.rlike("text", F.lit(r"^[0-9]")) & F.rlike("text", F.lit(WHOLE)))
+    ra, dec, g, bp, rp = _fields(F.col("text"))
+    out = ok.select("reply", "pos", F.radians(ra).alias("ra"), F.radians(dec).alias("dec"), g.alias("g"), bp.alias("bp"), rp.alias("rp"))
+    return out.withColumn("mag", light.gaia_magnitude(band, F.col("g"), F.col("bp"), F.col("rp")))
+
+
+def vizier_stars(lines: DataFrame, band: str | None = None) -> DataFrame:
+    """lines (reply, pos, text) of replies in text: places in whole units, and the magnitude of a band (G without one);
+    stars of magnitude 0 go. Lines have over ten characters."""
+    ok = table_lines(lines).filter((F.length("text") > 10) & F.rlike("text", F.lit(WHOLE)))
+    ok = ok.select("reply", "pos", *[c.alias(n) for c, n in zip(_fields(F.col("text")), ("ra", "dec", "g", "bp", "rp"), strict=True)])
+    units = lambda c, whole: (F.signum(c) * F.floor(F.abs(F.col(c) * whole) + 0.5)).cast("long")
+    mag = light.gaia_magnitude(band, F.col("g"), F.col("bp"), F.col("rp")) if band else F.col("g")
+    return ok.select("reply", "pos", units("ra", RA_UNITS / 360.0).alias("ra_units"), units("dec", DEC_UNITS / 90.0).alias("dec_units"), mag.alias("mag")).filter("mag <> 0")

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from skyframe.plans import frames, more, queries  # noqa: F401
+from skyframe.plans import frames, measure, more, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -15,6 +15,8 @@ doc_id are separate rows; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 #: Label, keyword, pattern of the name (words in lower case), SPDX identifier as words, address as words.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat)(?: x11)?", r"mit(?: 0| cmu| feh)?", r"opensource org licenses mit"),
+    ("mit", "expat", r"expat", r"expat", r"directory fsf org wiki license expat"),
+    ("mit", "mit", r"mit(?: x11)?", r"mit(?: 0| cmu| feh)?", r"opensource org licenses mit"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1", r"apache 1 1", r"apache org licenses license 1 1"),
     ("apache", "apache", r"apache(?: software)?", r"apache", r"apache org licenses"),
@@ -36,7 +39,7 @@ NAMES = [
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?", r"gplv2", r"gnu org licenses gplv2"),
     ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2(?: 1)?", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public", r"lgpl 2 0(?: only| or later)?", r"gnu org copyleft lesser"),
+    ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public", r"lgpl 2 0(?: only| or later)?", r"gnu org copyleft lesser"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public(?: licen[sc]e)?(?: version 3)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
@@ -109,9 +112,9 @@ NOTICES = [
     ("reserved", "rights reserved", r"(?:all|some|no|certain) rights reserved", 2, 0.8),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?", 2, 0.7),
     ("copyright", "copyright", r"copyright (?:by|notice|holder|holders|owner)", 3, 0.5),
-    ("mit", "without restriction", r"permission is hereby granted free of charge to any person obtaining a copy", 0, 0.98),
-    ("isc", "without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0, 0.98),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 0, 0.95),
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0, 0.98),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0, 0.98),
+    ("bsd", "redistribution and use in", r"redistribution and use in source and binary forms", 0, 0.95),
     ("zlib", "altered source", r"altered source versions must be plainly marked", 0, 0.95),
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 1, 0.8),
     ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|reproduction|distribution)(?: \S+){0,4} (?:prohibited|forbidden)", 1, 0.8),
@@ -125,15 +128,35 @@ GRANT = HEAD + r"(?:a |an |the )?(?:terms (?:and conditions )?of )?(?:a |an |the
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """Label, keyword, pattern, priority, confidence. Each name gives an identifier, an address, a grant and a reference."""
+    """Label, keyword, pattern, priority, confidence. Each name gives an identifier, an address, a grant, a reference and a field
+("License: MIT"); identifiers with a version also count alone. A keyword is text that every match of its pattern holds."""
     out = []
     for label, key, name, spdx, url in NAMES:
+        plain = literal(spdx)
+        out.append((label, f"e {plain}" if plain else "licen", rf"licen[sc]e {spdx}", 2, 0.75))
+        if versioned(key, spdx):
+            out.append((label, f" {plain}", spdx, 3, 0.6))
         out += [(label, "spdx", rf"spdx licen[sc]e identifier {spdx}", 0, 1.0), (label, url.split(" ")[0], url, 0, 0.95), (label, key, GRANT + name + r"(?: (?:public )?licen[sc]e)?", 1, 0.9), (label, key, name + r" (?:public )?licen[sc]es?", 2, 0.8)]
         if alone(key):
             out.append((label, key, name, 3, 0.6))
     return out + NOTICES
 
 
+def literal(pattern: str) -> str:
+    """What a pattern begins with, up to its first choice."""
+    return re.match(r"[a-z0-9 ]*(?![?*+])", pattern)[0]
+
+
+#: Keywords of names whose versions are those of a product as often as of a licence.
+PRODUCTS = ("php", "python", "elastic", "bittorrent")
+
+
+def versioned(key: str, spdx: str) -> bool:
+    """Whether an identifier holds a version in any case, so that it counts without the word licence."""
+    plain = literal(spdx)
+    return key not in PRODUCTS and (re.search(r" \d", plain) is not None or spdx[len(plain) :].startswith("["))
+
+
 def alone(key: str) -> bool:
     """Whether a name with this keyword counts without a grant or the word licence."""
     return " " in key or key in ("cc0", "gpl", "lgpl", "wtfpl")
@@ -142,7 +165,7 @@ def alone(key: str) -> bool:
 def may_match(words: Column) -> Column:
     """False only for words (lower case) in which no rule and no phrase of BASE can match: identifiers and references
     hold 'licen', addresses their first two words, grants HEAD, all else its keyword."""
-    needed = {"licen"} | {" ".join(u.split(" ")[:2]) for *_, u in NAMES} | {k for _, k, *_ in NAMES if alone(k)} | {k for _, k, *_ in NOTICES} | {p for p, _ in BASE}
+    needed = {"licen"} | {f" {literal(x)}" for _, k, _, x, _ in NAMES if versioned(k, x)} | {" ".join(u.split(" ")[:2]) for *_, u in NAMES} | {k for _, k, *_ in NAMES if alone(k)} | {k for _, k, *_ in NOTICES} | {p for p, _ in BASE}
     needed = sorted(k for k in needed if not any(o != k and o in k for o in needed))
     gate = F.lit(False)
     for k in needed:

@@ -56,6 +56,40 @@ def test_no_rule_is_kept_from_a_text(spark):
     assert [got[i][5] for i in range(6)] == ["mit", "epl-1.0", "busl-1.1", "bittorrent-1.1", "lgpl", "w3c"]
 
 
+def test_forms_from_outside_the_table(spark):
+    """Texts as they are found, not made from the rules."""
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "License: MIT": "mit", "licence: BSD-3-Clause": "bsd-3-clause", "Apache-2.0": "apache-2.0", "(MPL-2.0)": "mpl-2.0", "license = \"GPL-3.0-or-later\"": "gpl-3.0",
+        "under the Expat license": "mit", "the GNU Library General Public License": "lgpl", "LGPL-2.1-only": "lgpl-2.1", "License: Unlicense": "unlicense", "EUPL-1.2": "eupl-1.2",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    }
+    got = {r[0]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, label) in enumerate(texts.items()):
+        assert label in got[i], (t, got[i])
+    clean = ["Python 2.0 was released in 2000", "PHP 3.0", "der Zug mit 2 Wagen", "the mit lab", "Elastic 2.0 is a server", "unicode 3.0"]
+    assert {r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")).collect()} == {""}
+
+
+def test_keywords_are_part_of_their_patterns():
+    """Every keyword is in each text that its pattern makes: no choice of a pattern goes without it."""
+    for label, key, pattern, *_ in licenses.rules():
+        plain = [pattern]
+        while any("(?:" in p or "[" in p or "?" in p for p in plain):
+            p = next(p for p in plain if "(?:" in p or "[" in p or "?" in p)
+            plain.remove(p)
+            if m := re.search(r"\(\?:([^()]*)\)(\{0,\d\}|\?)?", p):
+                plain += {p[: m.start()] + c + p[m.end() :] for c in [*m[1].split("|"), *[""] * bool(m[2])]}
+            elif m := re.search(r"\[([^]]*)\]", p):
+                plain += [p[: m.start()] + c + p[m.end() :] for c in m[1].replace("1-4", "1")]
+            else:
+                m = re.search(r"(.)\?", p)
+                plain += [p[: m.start()] + p[m.end() :], p[: m.start()] + m[1] + p[m.end() :]]
+            if len(plain) > 300:
+                plain = plain[:300]
+        assert all(key in f" {p} " for p in plain), (label, key, pattern)
+
+
 def test_very_long_text(spark):
     """Twenty thousand detections in one text."""
     rng = random.Random(2)

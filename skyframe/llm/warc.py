@@ -21,6 +21,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,14 +120,16 @@ def write_warc(pages: DataFrame, out: str, *, min_bytes: int = 0, shard_bytes: i
     bounds = shard_bounds(light.select(F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"), sub.alias("sub"), (F.col("n") + 400).alias("n")), shard_bytes)
     shards = len(bounds) + 1
 
+    first_ids, first_subs = (np.array([k[j] for k in bounds], np.int64) for j in (0, 1))  # 16 bytes for each shard, sent once
+
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series, subs: pd.Series) -> pd.Series:
-        a, b = (np.array([k[j] for k in bounds], np.int64) for j in (0, 1))
-        x, y = ids.to_numpy(np.int64), subs.to_numpy(np.int64)
-        low, high = np.searchsorted(a, x, side="left"), np.searchsorted(a, x, side="right")
-        for k in np.flatnonzero(high - low):  # bounds within this id
-            high[k] = low[k] + np.searchsorted(b[low[k] : high[k]], y[k], side="right")
-        return pd.Series(high.astype(np.int32))
+    def shard_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, subs in batches:
+            x, y = ids.to_numpy(np.int64), subs.to_numpy(np.int64)
+            low, high = np.searchsorted(first_ids, x, side="left"), np.searchsorted(first_ids, x, side="right")
+            for k in np.flatnonzero(high - low):  # bounds within this id
+                high[k] = low[k] + np.searchsorted(first_subs[low[k] : high[k]], y[k], side="right")
+            yield pd.Series(high.astype(np.int32))
 
     # a mark reaches the writer just before the page that it is for: one shuffle of the payloads, and no join with them
     null = F.lit(None).cast("string")
@@ -199,20 +202,22 @@ def write_warc(pages: DataFrame, out: str, *, min_bytes: int = 0, shard_bytes: i
     return with_long(spark.read.parquet(f"{out}/manifest"), "first_id", "last_id")
 
 
-def members(stream, chunk: int = 1 << 20):
-    """The gzip members of a stream, one at a time."""
-    z, parts, data = zlib.decompressobj(31), [], b""
-    while True:
-        data = data or stream.read(chunk)
-        if not data:
-            if parts or not z.eof and z.unconsumed_tail:
-                raise EOFError("the last member is cut off")
-            return
-        parts.append(z.decompress(data))
-        data = b""
-        if z.eof:
-            yield b"".join(parts)
-            data, z, parts = z.unused_data, zlib.decompressobj(31), []
+def members(stream, chunk: int = 1 << 20, step: int = 1 << 14):
+    """The gzip members of a stream, one at a time. What follows a member in the data given to zlib is copied, so it gets
+    `step` bytes at once."""
+    z, parts, begun = zlib.decompressobj(31), [], False
+    while data := stream.read(chunk):
+        view, at = memoryview(data), 0
+        while at < len(view):
+            piece = view[at : at + step]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+            begun = True
+            if z.eof:
+                yield b"".join(parts)
+                z, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
+        raise EOFError("the last member is cut off")
 
 
 def parse(member: bytes) -> dict | None:

@@ -77,3 +77,23 @@ def test_large_ids_beside_nulls(spark):
 def test_empty(spark):
     out = scratch(spark, "t")
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), out), out).count() == 0
+
+
+def test_many_small_members_are_read_in_linear_time():
+    """Members of some bytes, those that end with a slice, and one of many slices; a cut member is an error."""
+    import io
+    import os
+    import time
+
+    import pytest
+
+    small = [bytes([k % 251]) * (k % 7 + 1) for k in range(60_000)]
+    large = os.urandom(3_000_000)
+    blob = b"".join(warc._gz(b) for b in small) + warc._gz(large)
+    began = time.perf_counter()
+    got = list(warc.members(io.BytesIO(blob)))
+    assert got[:-1] == small and got[-1] == large and time.perf_counter() - began < 20
+    for step in (1, 2, 3, 64):
+        assert list(warc.members(io.BytesIO(blob[:2000][: len(b"".join(warc._gz(b) for b in small[:40]))]), chunk=50, step=step)) == small[:40]
+    with pytest.raises(EOFError):
+        list(warc.members(io.BytesIO(blob[:-5])))

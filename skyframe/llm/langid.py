@@ -149,7 +149,8 @@ def train(docs: DataFrame, sample: int = 2400) -> dict | None:
             got = [(i, g, f) for i, g, f in zip(pdf["doc_id"], pdf["lang"], map(features, pdf["text"]), strict=True) if f is not None]
             yield pd.DataFrame({"doc_id": [i for i, _, _ in got], "lang": [g for _, g, _ in got], "x": [f.astype(np.float16).tobytes() for _, _, f in got]}).astype({"doc_id": "int64"})
 
-    got = picked.mapInPandas(feats, "doc_id long, lang string, x binary").collect()
+    # rows that repeat a doc_id and a language count once, so that the sample's size bounds what is collected
+    got = picked.mapInPandas(feats, "doc_id long, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))

@@ -190,7 +190,10 @@ def viterbi(emission: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200) -> tuple[np.ndarray, np.ndarray]:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200, most_lines: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """The model learns from per_class documents of each label, of a document's lines from most_lines that follow one another
+    from a place by the text's hash on; rows that repeat a doc_id and a label count once. So 2 * per_class * most_lines
+    lines of N_FEATURES numbers are the most that is collected."""
     spark = documents.sparkSession
     small_batches(spark)
     labels = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").withColumn("h", F.xxhash64("doc_id"))
@@ -205,10 +208,13 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200) -> tup
                 _, _, x, which = describe(text)
                 lines = list(dict.fromkeys(t for t in text.split("\n") if t.strip(SPACES)))
                 keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in lines]
-                out.append((doc_id, quality, x.astype(np.float32).tobytes(), [keys[i] for i in which]))
+                begin = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % max(1, len(x) - most_lines + 1)
+                part = slice(begin, begin + most_lines)
+                out.append((doc_id, quality, x[part].astype(np.float32).tobytes(), [keys[i] for i in which[part]]))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "x", "keys"])
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(id_text("doc_id"), "quality", "text").mapInPandas(feats, "doc_id string, quality int, x binary, keys array<long>").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(id_text("doc_id"), "quality", "text").mapInPandas(feats, "doc_id string, quality int, x binary, keys array<long>")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("x", "keys")).alias("least")).select("doc_id", "quality", "least.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     docs = [(int(r["quality"]), np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES).astype(float), r["keys"]) for r in rows]
     return fit_crf([(x, y) for (_, x, _), y in zip(docs, weak_labels(docs), strict=True)])

@@ -100,3 +100,16 @@ def test_large_ids_beside_nulls(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert quality.judge(empty, quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
+def test_training_is_bounded_by_lines_and_ids(spark):
+    """Rows that repeat a doc_id count once, and of long texts most_lines lines are learned from."""
+    import numpy as np
+
+    good = "\n".join(f"The harbour of the town number {k} was quiet and the boats came home before the rain." for k in range(300))
+    bad = "\n".join(f"click | share | login | menu {k}" for k in range(300))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string")
+    model = quality.train(once, labels, most_lines=50)
+    again = quality.train(once.union(once).union(once), labels, most_lines=50)
+    assert all(np.array_equal(a, b) for a, b in zip(model, again, strict=True)) and model[0].any()

@@ -108,3 +108,17 @@ def sky_cells_around(ra: Column, dec: Column, size: Column) -> Column:
         own = F.floor(ra / TWO_PI * n)
         out += [(at + step) * (1 << 31) + F.pmod(own + k, n) for k in (-1, 0, 1)]
     return F.array_distinct(F.array(*out))
+
+
+def sky_cells_of_box(ra: Column, dec: Column, half: Column, size: Column) -> Column:
+    """The cells, of any size, that may hold a point p with |ra difference| * cos(dec) < half and |dec difference| < half."""
+    half = half * (1 + 1e-9) + 1e-12  # what rounding may take away
+    band = lambda d: F.floor((F.least(F.greatest(d, F.lit(-math.pi / 2)), F.lit(math.pi / 2)) + math.pi / 2) / size)
+    wide = F.least(half / F.greatest(F.cos(dec), F.lit(1e-9)), F.lit(math.pi))
+
+    def across(b: Column) -> Column:
+        n = _cells_of(b, size)
+        first, last = F.floor((ra - wide) / TWO_PI * n), F.floor((ra + wide) / TWO_PI * n)
+        return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda k: b * (1 << 31) + F.pmod(k, n))
+
+    return F.flatten(F.transform(F.sequence(band(dec - half), band(dec + half)), across))

@@ -99,4 +99,32 @@ def test_points_at_one_place_are_looked_up_once(spark):
     got = match.nearest_in_sky(points, catalog, 0.03, F.col("id"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") >= 2
-    assert {(r["pid"] % 4, r["id"]) for r in got.collect()} == {(0, 0), (1, 71), (2, 171), (3, 271)} and got.count() == 2000
+    assert {(r["pid"] % 4, r["id"]) for r in got.collect()} == {(0, 0), (1, 70), (2, 170), (3, 270)} and got.count() == 2000
+
+
+def test_brightest_in_square_is_that_of_all_pairs(spark):
+    """Over the poles and the turn of right ascension; and no more pairs are met as the catalogue gets dense."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skyframe.operators import field
+
+    rng = np.random.default_rng(8)
+    n = 6000
+    dec = np.where(np.arange(n) % 3 == 0, rng.uniform(1.3, 1.57, n), rng.uniform(-0.3, 0.3, n))
+    ra, mag = rng.uniform(0, 2 * np.pi, n), rng.integers(0, 40, n) / 2.0
+    cat = spark.createDataFrame([(i, float(ra[i]), float(dec[i]), float(mag[i]), i % 2) for i in range(n)], "id long, ra double, dec double, mag double, kind int")
+    fields = [(k, float(rng.uniform(0, 6.28)) if k % 4 else 0.01, (0.1, 1.5, -0.2, 1.569)[k % 4], 0.3 if k % 5 else 0.04, (7, 40)[k % 2], k % 2) for k in range(24)] + [(99, 1.0, -1.2, 0.2, 5, 0)]
+    frames = spark.createDataFrame(fields, "frame long, ra0 double, dec0 double, field double, wanted int, kind int")
+    want, pairs = set(), set()
+    for f, a, d, w, top, kind in fields:
+        inside = (np.abs((ra - a + np.pi) % (2 * np.pi) - np.pi) * np.cos(d) < w / 2) & (np.abs(dec - d) < w / 2)
+        pairs |= {(f, int(i)) for i in np.flatnonzero(inside)}
+        order = sorted((mag[i], int(i)) for i in np.flatnonzero(inside & (np.arange(n) % 2 == kind)))
+        want |= {(f, i, r + 1) for r, (_, i) in enumerate(order[:top])}
+    got = [(r["frame"], r["id"], r["rank"]) for r in field.brightest_in_square(frames, cat, ["frame"], ("kind",)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["frame"], r["id"]) for r in field.in_square(frames.drop("kind"), cat).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    plan = field.in_square(frames.drop("kind"), cat.filter(F.col("id") >= 0))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan

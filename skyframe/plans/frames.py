@@ -298,13 +298,12 @@ def _views(spark, sf_dir):
 def _stars_in_view(spark, sf_dir):
     """What a camera sees: the catalogue through each frame's true solution."""
     true = _views(spark, sf_dir).select("frame", "turned", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), (F.col("field") * 1.5).alias("field"))
-    near = field.in_square(true, _strip(spark, sf_dir))
     xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
     c, s, unit = F.cos("turned"), F.sin("turned"), VIEW / PIXELS
     mid = (PIXELS + 1) / 2
-    at = near.select("frame", "id", "mag", ((s * eta - c * xi) / unit + mid).alias("x"), ((s * xi + c * eta) / unit + mid).alias("y")).filter(F.col("x").between(1, PIXELS) & F.col("y").between(1, PIXELS))
-    first = F.row_number().over(Window.partitionBy("frame").orderBy("mag", "id"))
-    return at.withColumn("k", first).filter(F.col("k") <= BRIGHTEST).select("frame", F.col("k").cast("long").alias("id"), "x", "y")
+    x, y = (s * eta - c * xi) / unit + mid, (s * xi + c * eta) / unit + mid
+    seen = field.brightest_in_square(true.withColumn("wanted", F.lit(BRIGHTEST)), _strip(spark, sf_dir), ["frame"], within=x.between(1, PIXELS) & y.between(1, PIXELS))
+    return seen.select("frame", F.col("rank").cast("long").alias("id"), x.alias("x"), y.alias("y"))
 
 
 @query(f"SELECT s_suppkey AS frame, CAST(s_suppkey * 47 % 350 + 5 AS DOUBLE) AS ra, CAST(s_suppkey * 3 % 5 - 2 AS DOUBLE) AS dec, {round(VIEW / PIXELS * 648000 / sky.PI, 1)!r}::DOUBLE AS scale, CAST(s_suppkey * 17 % 60 AS DOUBLE) AS turned FROM supplier")

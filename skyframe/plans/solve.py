@@ -55,8 +55,8 @@ def searched(frames: DataFrame, stars: DataFrame, catalog: DataFrame, rings: int
     if places.isEmpty():
         return stars.sparkSession.createDataFrame([], "frame long, pos int, quads long, crval1 double, crval2 double, crpix1 double, crpix2 double, cd1_1 double, cd1_2 double, cd2_1 double, cd2_2 double, scale double")
     square = places.select("frame", "of", "pos", "n", "height", "field", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
-    near = field.in_square(square.withColumn("nominal", F.col("field") / F.col("height")).withColumn("field", F.col("field") * OVERSIZE), catalog)
-    bright = near.withColumn("k", F.row_number().over(Window.partitionBy("of", "pos").orderBy("mag", "id"))).filter(F.col("k") <= F.col("n") * SPARE + 10)
+    square = square.withColumn("nominal", F.col("field") / F.col("height")).withColumns({"field": F.col("field") * OVERSIZE, "wanted": F.floor(F.col("n") * SPARE + 10)})
+    bright = field.brightest_in_square(square, catalog, ["of", "pos"])
     xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
     flat = stored(bright.select(F.col("of").alias("frame"), "pos", "id", (xi / F.col("nominal")).alias("x"), (eta / F.col("nominal")).alias("y")), "flat")
     size = frames.agg(F.max(F.greatest("width", "height")).alias("side"), F.avg("n").alias("n")).first()

@@ -2,8 +2,9 @@
 
 Each orbit is followed once for each night that frames are of, not for each frame. From its place and distance at the
 middle of the day follows how far it can be from there when any frame of that day was taken; if that is little, the join
-with the frames is on the day and a sky cell. What is fast, close to the Sun or the Earth, or near a pole meets all frames
-of its day. Pairs that are left get exact places: light time, parallax, magnitude."""
+with the frames is on the day and a sky cell. What is fast, close to the Sun or the Earth, or near a pole meets all times
+of its day. Exact places (light time, parallax, magnitude) are worked out once for an orbit and a time, however many frames
+are of that time; they meet the frames on the time and a finer sky cell."""
 
 from __future__ import annotations
 
@@ -68,30 +69,41 @@ def seen(rows: DataFrame) -> DataFrame:
 
 
 def candidates(frames: DataFrame, orbits_: DataFrame) -> DataFrame:
-    """Pairs of frames (frame, jd_tt, ra0, dec0, radius) and orbits that may meet, all columns of both."""
+    """Pairs of the distinct times of frames (frame, jd_tt, ra0, dec0, radius, more) and orbits that may be in a frame of that
+    time: all columns of the orbit, and what frames have beside their own (jd_tt and more)."""
     widest = frames.agg(F.max("radius")).first()[0] or 0.05
     size = max(2 * widest, 0.1)
     frames = frames.withColumn("day", F.floor("jd_tt"))
     days = observed(frames.select("day").distinct(), F.col("day") + 0.5, F.lit(0.0), 0.0)  # a row for each night
-    at = seen(orbits_.crossJoin(days))
+    # few bytes make much work here: without a number of its own there would be few tasks
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = seen(orbits_.repartition(n, "id").crossJoin(days))
     moved = (1.2 * F.col("pace") + EARTH_PACE) / 2 + 1e-4  # from the middle to either end of the day, and parallax
     reach = 1.1 * moved / F.greatest(F.col("delta") - moved, F.lit(1e-9))
     slow = (F.col("sun") > 0.3) & (F.col("delta") > 0.1) & (F.abs("dec") < 1.3) & (reach < (size - widest) / 2.5)
     at = at.withColumns({"slow": F.coalesce(slow, F.lit(False)), "cell": tiles.sky_cell(F.col("ra"), F.col("dec"), F.lit(size))})
     own = [*orbits_.columns, "day"]
     at = stored(at.select(*own, "slow", "cell"), "nightly")
-    near = frames.withColumn("cell", F.explode(tiles.sky_cells_around(F.col("ra0"), F.col("dec0"), F.lit(size))))
-    return at.filter("slow").select(*own, "cell").join(near, ["day", "cell"]).drop("cell").unionByName(at.filter("not slow").select(*own).join(frames, "day"))
+    times = frames.drop("frame", "ra0", "dec0", "radius")
+    near = frames.withColumn("cell", F.explode(tiles.sky_cells_around(F.col("ra0"), F.col("dec0"), F.lit(size)))).select(*times.columns, "cell").distinct()
+    # a night's orbits and times, no more: neither is broadcast with its cells
+    return at.filter("slow").select(*own, "cell").hint("shuffle_merge").join(near, ["day", "cell"]).drop("cell").unionByName(at.filter("not slow").select(*own).join(times.distinct(), "day"))
 
 
 def in_fields(frames: DataFrame, orbits_: DataFrame, latitude: float, longitude: float, faintest: float = 99.0) -> DataFrame:
     """frames (frame, jd, jd_tt, ra0, dec0, radius), orbits as `orbits` gives them: what stands within the radius of a frame's
     centre on the flat sky and is no fainter than `faintest`: frame, id, comet, ra, dec, delta, sun, mag, outdated."""
-    frames = observed(frames, F.col("jd_tt"), sky.sidereal(F.col("jd"), F.lit(longitude)), latitude)
-    s = seen(candidates(frames, orbits_))
-    x, y = (F.pmod(F.col("ra") - F.col("ra0") + sky.PI, F.lit(sky.TWO_PI)) - sky.PI) * F.cos("dec0"), F.col("dec") - F.col("dec0")
+    at = observed(frames.select("frame", "jd", "jd_tt", "ra0", "dec0", "radius"), F.col("jd_tt"), sky.sidereal(F.col("jd"), F.lit(longitude)), latitude)
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = seen(candidates(at, orbits_).repartition(n, "id", "jd_tt"))
     dim = 5 * F.log10("delta")
     mag = F.col("h") + dim + F.when(F.col("comet"), F.col("g") * F.log10("sun")).otherwise(5 * F.log10("sun") + light.phase_magnitude(F.col("g"), F.col("phase")))
     old = ~F.col("comet") & (F.abs(F.col("jd_tt") - F.col("epoch")) > OUTDATED)
-    inside = s.filter(x * x + y * y < F.col("radius") * F.col("radius")).withColumns({"mag": mag, "outdated": old})
-    return inside.filter(F.col("mag") <= faintest).select("frame", "id", "comet", "ra", "dec", "delta", "sun", "mag", "outdated")
+    s = s.withColumns({"mag": mag, "outdated": old}).filter(F.col("mag") <= faintest)
+    # the widest field parts the sky; a frame has the cells that its own touches
+    size = F.lit(max(frames.agg(F.max("radius")).first()[0] or 0.05, 1e-3) / 2)
+    s = s.select("jd", "jd_tt", "id", "comet", "ra", "dec", "delta", "sun", "mag", "outdated", tiles.sky_cell(F.col("ra"), F.col("dec"), size).alias("cell"))
+    f = at.select("frame", "jd", "jd_tt", "ra0", "dec0", "radius", F.explode(tiles.sky_cells_of_box(F.col("ra0"), F.col("dec0"), F.col("radius"), size)).alias("cell"))
+    x, y = (F.pmod(F.col("ra") - F.col("ra0") + sky.PI, F.lit(sky.TWO_PI)) - sky.PI) * F.cos("dec0"), F.col("dec") - F.col("dec0")
+    met = s.repartition(n, "jd", "jd_tt", "cell").hint("shuffle_merge").join(f.repartition(n, "jd", "jd_tt", "cell"), ["jd", "jd_tt", "cell"])
+    return met.filter(x * x + y * y < F.col("radius") * F.col("radius")).select("frame", "id", "comet", "ra", "dec", "delta", "sun", "mag", "outdated")

@@ -48,3 +48,13 @@ def test_elements_and_empty(spark):
     assert (o[0]["comet"], round(o[0]["q"], 6), o[0]["t0"]) == (False, 2.25, 2460000.5) and (o[1]["comet"], o[1]["q"], o[1]["t0"]) == (True, 0.9, 2460100.5)
     orbits, frames = case(spark, 5, 5)
     assert asteroids.in_fields(frames.limit(0), orbits, 0.8, 0.2).count() == 0 == asteroids.in_fields(frames, orbits.limit(0), 0.8, 0.2).count()
+
+
+def test_an_orbit_is_followed_once_a_time(spark):
+    """Frames of one time share the exact places: pairs are of orbits and times."""
+    orbits, frames = case(spark, 200, 40)
+    one = frames.withColumns({"jd": F.lit(2460000.25), "jd_tt": F.lit(2460000.2508)})
+    pairs = asteroids.candidates(one, orbits)
+    assert pairs.count() <= 200 and pairs.select("id").distinct().count() == pairs.count()
+    alone = asteroids.in_fields(one.filter("frame = 7"), orbits, 0.8, 0.2).select("id", "ra", "mag").collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, asteroids.in_fields(one, orbits, 0.8, 0.2).filter("frame = 7").select("id", "ra", "mag").collect()))

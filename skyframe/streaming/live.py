@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sessions(frames: DataFrame, by: list[str], order: list[str], jump: float, gap: float) -> DataFrame:
-    """frames with v and a time (order[0]): a session ends when v moves by more than jump, or after gap seconds."""
+    """frames with v and a time (order[0]): a session ends when v moves by more than jump, or after gap seconds, parts of seconds included."""
     w = Window.partitionBy(*by).orderBy(*order)
-    seconds = F.unix_timestamp(order[0])
+    seconds = F.col(order[0]).cast("timestamp").cast("double")
     new = F.lag("v").over(w).isNull() | (F.abs(F.col("v") - F.lag("v").over(w)) > jump) | (seconds - F.lag(seconds).over(w) > gap)
     return frames.withColumn("new", new.cast("long")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
 

@@ -109,3 +109,11 @@ def test_cli_solves(spark, tmp_path, capsys):
     (tmp_path / "g.fits").write_bytes(codecs.write_fits(np.full((1, 60, 60), 100, np.float32)))
     assert cli.main(["-f", f"{tmp_path}/g.fits", "-d", f"file://{tmp_path}/tiles", *where], spark) == 1
     assert "PLTSOLVD=F" in capsys.readouterr().out
+
+
+def test_gaps_have_parts_of_seconds(spark):
+    from skyframe.streaming.live import sessions
+
+    rows = [(1, "2024-01-01 00:00:00.9", 5), (2, "2024-01-01 00:01:00.8", 5), (3, "2024-01-01 00:02:00.95", 5), (4, "2024-01-01 00:03:00.95", 5)]
+    df = spark.createDataFrame(rows, "id long, at string, v long").selectExpr("1 as star", "id", "cast(at as timestamp) as t", "v")
+    assert [r["session"] for r in sessions(df, ["star"], ["t", "id"], 100, 60).orderBy("id").collect()] == [1, 1, 2, 2]

@@ -10,12 +10,15 @@ levels follow from these, a number for each frame; a last pass blends."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.operators.scratch import stored
 
 FEW_PAIRS = 200_000  # frames and pairs of overlapping frames that the driver settles
+BLOCK = 2_000  # frames, next to one another in order, that a task settles as far as earlier blocks allow
 
 
 def placed(px: DataFrame, frames: DataFrame) -> DataFrame:
@@ -65,12 +68,65 @@ def level_factors(places: DataFrame, limit: float) -> DataFrame:
 
 def levels(frames: DataFrame, factors: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
     """(frame, level): what is added to each frame; 0 for one that shares no place with earlier ones. Up to `few` pairs of
-    frames are settled in one walk over them; of more, a round settles all frames whose earlier neighbours are settled."""
+    frames are settled in one walk over them; more, by blocks of frames, which leave only those open that other blocks
+    look back to; where blocks don't help, a round settles all frames whose earlier neighbours are settled."""
     own = factors.filter("frame = other").select("frame", "n", "difference")
     needs = stored(factors.filter("frame <> other").join(own.select("frame", F.col("n").alias("shared")), "frame").select("frame", "other", (F.col("factor") / F.col("shared")).alias("factor")), "needs")
     base = stored(frames.select(F.col("order").cast("long").alias("frame")).join(own, "frame", "left").select("frame", F.coalesce(F.col("difference") / F.col("n"), F.lit(0.0)).alias("base")), "base")
     if needs.count() <= few and base.count() <= few:
         return _walked(base, needs)
+    return _by_blocks(base, needs, few)
+
+
+def _by_blocks(base: DataFrame, needs: DataFrame, few: int, block: int | None = None) -> DataFrame:
+    """The levels by blocks in order: each frame's level becomes a sum over frames of earlier blocks, and only those that
+    stand in such sums are settled, the same way, before the rest."""
+    block = block or BLOCK
+    k = int(base.count() / block) + 1
+    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(base.approxQuantile("frame", [i / k for i in range(1, k)], 0.1 / k)))]) if k > 1 else F.expr("cast(array() as array<bigint>)")
+    in_block = lambda c: F.size(F.filter(cuts, lambda cut: cut <= F.col(c)))
+    own = base.withColumn("block", in_block("frame"))
+    links = needs.withColumns({"block": in_block("frame"), "out": in_block("other") < in_block("frame")})
+
+    def run(frames: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        inputs = np.unique(pairs["other"][pairs["out"]].to_numpy(np.int64))
+        at = {int(o): i for i, o in enumerate(inputs)}
+        earlier: dict[int, list] = {}
+        for f, o, c in sorted(zip(pairs["frame"], pairs["other"], pairs["factor"], strict=True)):
+            earlier.setdefault(f, []).append((o, c))
+        level: dict[int, tuple[float, np.ndarray]] = {}
+        rows = []
+        for f, b in sorted(zip(frames["frame"], frames["base"], strict=True)):
+            sum_, weights = float(b), np.zeros(len(inputs))
+            for o, c in earlier.get(f, []):
+                if o in level:
+                    sum_, weights = sum_ + c * level[o][0], weights + c * level[o][1]
+                else:
+                    weights[at[o]] += c
+            level[f] = sum_, weights
+            used = np.flatnonzero(weights)
+            rows.append((f, sum_, inputs[used].tolist(), weights[used].tolist()))
+        return pd.DataFrame(rows, columns=["frame", "base", "others", "factors"])
+
+    pairs = links.select("block", "frame", "other", "factor", "out").groupBy("block")
+    sums = stored(own.groupBy("block").cogroup(pairs).applyInPandas(run, "frame long, base double, others array<long>, factors array<double>"), "sums")
+    terms = sums.select("frame", F.explode(F.arrays_zip("others", "factors")).alias("t")).select("frame", F.col("t.others").alias("other"), F.col("t.factors").alias("factor"))
+    asked = stored(terms.select(F.col("other").alias("frame")).distinct(), "asked")
+    base2, needs2 = sums.select("frame", "base").join(asked, "frame"), stored(terms.join(asked, "frame", "left_semi"), "needs")
+    base2 = stored(base2, "base")
+    left = base2.count()
+    if left <= few and needs2.count() <= few:
+        settled = _walked(base2, needs2)
+    elif 2 * left <= base.count():
+        settled = _by_blocks(base2, needs2, few, block)
+    else:
+        settled = _by_rounds(base2, needs2)
+    # a frame's terms are summed to its base; without any, the base is its level
+    added = terms.join(settled.withColumnRenamed("frame", "other"), "other").groupBy("frame").agg(F.sum(F.col("factor") * F.col("level")).alias("sum"))
+    return stored(sums.select("frame", "base").join(added, "frame", "left").select("frame", (F.col("base") + F.coalesce("sum", F.lit(0.0))).alias("level")), "levels")
+
+
+def _by_rounds(base: DataFrame, needs: DataFrame) -> DataFrame:
     done = stored(base.join(needs.select("frame").distinct(), "frame", "left_anti").select("frame", F.col("base").alias("level")), "levels")
     while True:
         open_ = base.join(done, "frame", "left_anti")

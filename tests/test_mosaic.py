@@ -55,3 +55,16 @@ def test_levels_by_rounds_and_by_a_walk(spark):
 def test_empty(spark):
     _, _, px, fr = case(spark)
     assert mosaic.mosaic(px.limit(0), fr, 10.0).count() == 0
+
+
+def test_levels_by_blocks(spark, monkeypatch):
+    """A strip of frames, each on the one before and those of the row below: blocks, and blocks of blocks, come to the walk's
+    levels."""
+    n = 400
+    links = [(f, f - d, 0.3 + 0.01 * (f * d % 7)) for f in range(n) for d in (1, 4, 5) if f >= d]
+    base, needs = spark.createDataFrame([(f, f * 7 % 11 - 5.0) for f in range(n)], "frame long, base double"), spark.createDataFrame(links, "frame long, other long, factor double").withColumn("factor", mosaic.F.col("factor") / 4)
+    want = {r["frame"]: r["level"] for r in mosaic._walked(base, needs).collect()}
+    monkeypatch.setattr(mosaic, "_by_rounds", None)
+    for few, block in ((1000, 50), (20, 100)):
+        got = {r["frame"]: r["level"] for r in mosaic._by_blocks(base, needs, few, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want)

@@ -95,8 +95,11 @@ def wide_field(spark, sf_dir):
 # ---- photometric calibration ---------------------------------------------------------------------------------------
 
 #: Two frames for each 50 parts, 25 stars in each: every eleventh star is red, every seventh has a catalogue magnitude that is a
-#: whole one off, every thirteenth is saturated. Frames have zero points from 24 to 28.
+#: whole one off, every thirteenth is saturated. Frames have zero points from 24 to 28. Fields stand on a grid, BANDS in
+#: declination and COLUMNS in right ascension (up to 2,160,000 frames), 0.1 degrees or more apart: what is within a frame and its
+#: slop, 0.057 degrees from its centre, holds none of another's stars, which are up to 0.028 from theirs.
 SHOT, SPREAD = 220, 2.0
+UNIT, BANDS, COLUMNS = 2.5e-4, 1200, 1800
 
 
 def _shots(spark, sf_dir):
@@ -125,8 +128,8 @@ def _shot_solutions(spark, sf_dir):
     f = F.col("frame")
     s = _shots(spark, sf_dir).select("frame").distinct()
     angle = F.radians((f * 17 % 360).cast("double"))
-    unit = 1e-3
-    return s.select("frame", F.lit(SHOT).alias("width"), F.lit(SHOT).alias("height"), F.radians(F.pmod(f * 137.508, F.lit(360.0))).alias("ra0"), F.radians((f * 29 % 120 - 60).cast("double")).alias("dec0"), F.lit(SHOT / 2 + 0.5).alias("crpix1"), F.lit(SHOT / 2 + 0.5).alias("crpix2"), (-F.cos(angle) * unit).alias("cd1_1"), (F.sin(angle) * unit).alias("cd1_2"), (F.sin(angle) * unit).alias("cd2_1"), (F.cos(angle) * unit).alias("cd2_2"), F.lit(65000.0).alias("datamax"))
+    unit = UNIT
+    return s.select("frame", F.lit(SHOT).alias("width"), F.lit(SHOT).alias("height"), F.radians(F.floor(f / BANDS) % COLUMNS * 0.2).alias("ra0"), F.radians(f % BANDS * 0.1 - 59.95).alias("dec0"), F.lit(SHOT / 2 + 0.5).alias("crpix1"), F.lit(SHOT / 2 + 0.5).alias("crpix2"), (-F.cos(angle) * unit).alias("cd1_1"), (F.sin(angle) * unit).alias("cd1_2"), (F.sin(angle) * unit).alias("cd2_1"), (F.cos(angle) * unit).alias("cd2_2"), F.lit(65000.0).alias("datamax"))
 
 
 def _shot_catalog(spark, sf_dir, solutions):
@@ -142,7 +145,7 @@ def _calibrated(spark, sf_dir, ratio: float):
     solutions, images = _shot_solutions(spark, sf_dir), stored(_exposed(spark, sf_dir), "images")
     catalog = stored(_shot_catalog(spark, sf_dir, solutions), "catalogue")
     sizes = calibration.apertures(frames.found_stars(images), ratio, 8.0) if ratio else None
-    # fields may lie over one another: what is measured is a place, and other frames' stars have none here
+    # fields must not lie over one another: an image shows its own frame's stars alone
     stars = calibration.measured(images, calibration.candidates(solutions, catalog), sizes, solutions.select("frame", "datamax"))
     return solutions, stored(stars, "measured")
 

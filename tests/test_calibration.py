@@ -91,3 +91,16 @@ def test_guarded_flat_frame_keeps_its_colours(spark):
     got = {(r["r"], r["g"], r["b"]) for r in demosaic.guarded(px, level, 12, 12).collect()}
     assert got == {(100.0, 135.0, 170.0), (100.0, 150.0, 170.0), (100.0, 120.0, 170.0)}
     assert demosaic.x_trans(px, 12, 12).count() == 81
+
+
+def test_fields_stay_apart(spark, monkeypatch):
+    """As many frames as a larger table has: no star is a candidate of another's frame."""
+    from pyspark.sql import functions as F
+
+    from skyframe.plans import measure
+
+    parts = spark.range(1, 120_001).select(F.col("id").alias("p_partkey"))
+    monkeypatch.setattr(measure.views, "table", lambda *a: parts)
+    s = measure._shot_solutions(spark, "")
+    got = calibration.candidates(s, measure._shot_catalog(spark, "", s)).join(measure._shots(spark, "").select("k", F.col("frame").alias("own")), F.col("id") == F.col("k"))
+    assert got.filter("frame <> own").count() == 0 and got.count() == parts.filter("p_partkey % 11 <> 0").count()

@@ -150,3 +150,13 @@ def test_gaussian_of_pixels_is_that_of_the_frame(spark):
         for r in pixels.gaussian(df, radius).collect():
             got[r["y"], r["x"]] = r["v"]
         assert np.allclose(got, image.gaussian_blur(img, radius))
+
+
+def test_a_pixel_is_measured_once_for_all_levels(monkeypatch):
+    from skyframe.kernels import stars as kernel
+
+    y, x = np.mgrid[:80, :80]
+    img = 100.0 + ((x * 7919 + y * 104729) % 21 - 10) + sum(p * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 8.0) for a, b, p in ((30, 30, 4000.0), (52, 47, 900.0)))
+    asked, measure = [], kernel.measure
+    monkeypatch.setattr(kernel, "measure", lambda i, x, y, *more: asked.append((x, y)) or measure(i, x, y, *more))
+    assert len(kernel.find(img)) == 2 and len(asked) == len(set(asked))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.operators.scratch import stored
+
 
 def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values with the ranks (lo, hi) that they take among n."""
@@ -70,17 +72,35 @@ def best_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 BINS, FEW = 1024, 10_000
+OCTAVE, COARSE = 65536, 4096  # first bins for a doubling of the value; first bins that are summed up for the driver
+
+
+def _bin_of(counts: DataFrame, rank: int) -> tuple[int, int, int]:
+    """counts (bin, k), some thousands at most: the bin with the value of that rank, the rank within it, and its count."""
+    for bin_, k in sorted(tuple(r) for r in counts.collect()):
+        if rank <= k:
+            return bin_, rank, k
+        rank -= k
+    raise AssertionError("ranks and counts disagree")
 
 
 def overall_upper_median(df: DataFrame, value: str) -> float | None:
     """The value of rank n div 2 + 1 of all rows (None without any), by histograms that close in on it: no task sees more
-    than FEW values at the end, however many rows there are."""
+    than FEW values at the end, however many rows there are. df is worked out twice and never written, so it may be a join with
+    very many rows: first for counts in bins of the logarithm, then for the values of the one bin that has the rank."""
     v = F.col(value).cast("double")
-    rows = df.filter(F.col(value).isNotNull()).select(v.alias("v"))
-    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    size = F.coalesce(F.floor(F.log2(F.abs("v")) * OCTAVE), F.lit(0)) + 1100 * OCTAVE  # over 0 for every double
+    rows = df.filter(F.col(value).isNotNull()).select(v.alias("v")).withColumn("first", (F.signum("v") * size).cast("long"))
+    counts = stored(rows.groupBy("first").agg(F.count("*").alias("k")), "bins")
+    n = counts.agg(F.sum("k")).first()[0]
     if not n:
         return None
-    rank, inside = n // 2 + 1, n  # the rank is counted within low .. high
+    rank = n // 2 + 1  # counted within what is left
+    coarse = F.floor(F.col("first") / COARSE)
+    at, rank, _ = _bin_of(counts.groupBy(coarse.alias("bin")).agg(F.sum("k").alias("k")), rank)
+    at, rank, inside = _bin_of(counts.filter(coarse == at).select(F.col("first").alias("bin"), "k"), rank)
+    rows = stored(rows.filter(F.col("first") == at).select("v"), "values")
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
     while inside > FEW and low < high:
         width = (high - low) / BINS
         bins = rows.filter(F.col("v").between(low, high)).groupBy(F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))

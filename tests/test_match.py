@@ -1,7 +1,10 @@
 """Nearest neighbours against all pairs; holes and boxes on a small frame."""
 
+import os
 import random
 
+import pytest
+
 from skyframe.operators import match, pixels
 
 
@@ -158,3 +161,35 @@ def test_pairs_of_a_crowd_are_few_before_they_are_ranked(spark, monkeypatch):
         away = sorted(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b in stars if j != i)
         want |= {(i, j, k + 1) for k, (_, j) in enumerate([p for p in away if p[0] > 1][:3])}
     assert {(g["id"], g["other"], g["rank"]) for g in got} == want and len(got) == len(want)
+
+
+def test_median_of_pairs_goes_over_them_twice(spark):
+    """Pairs may be as many as the square of a table: they are not worked out again for each round of the search."""
+    from skyframe.operators import robust
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(60_001).selectExpr("cast(pmod(id * 7919, 60001) as double) / 30000 - 0.5 as v").mapInArrow(count, "v double")
+    assert robust.overall_upper_median(df, "v") == 0.5 and seen.value <= 2 * 60_001
+
+
+def test_median_below_zero_and_far_apart(spark):
+    from skyframe.operators import robust
+
+    for values in ([-5.0, -3.0, 0.0, 0.0, 1e-300, 4.0], [-0.25] * 9 + [-4.0] * 9 + [8.0], [-1e300, -1e-300, 1e300], [0.0] * 5):
+        assert robust.overall_upper_median(spark.createDataFrame([(v,) for v in values], "v double"), "v") == sorted(values)[len(values) // 2]
+
+
+def test_ratio_filter_writes_no_pairs(spark, monkeypatch):
+    from skyframe.plans import queries
+
+    names, stored = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name: names.append(name) or stored(df, name))
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    assert queries.quad_ratio_filter(spark, "/root/testdata/sf0.001").columns == ["id_a", "id_b", "ratio"] and names == ["quads"]

@@ -53,17 +53,34 @@ def found_stars(images: DataFrame, least: int = 500) -> DataFrame:
     return images.select("frame", "height", "width", "data").mapInPandas(run, STARS)
 
 
-def measured(images: DataFrame, places: DataFrame, radius: int = 14) -> DataFrame:
-    """places (frame, id, x, y): the star at each place of a frame, if there is one. images as in found_stars."""
+MEASURED = "frame long, id long, x double, y double, hfd double, fwhm double, flux double, snr double"
+
+
+def _measured(frame: int, img: np.ndarray, places, radius: int) -> pd.DataFrame:
+    """places: (id, x, y)."""
+    rows = [(frame, i, *[m[c] for c in ("x", "y", "hfd", "fwhm", "flux", "snr")]) for i, x, y in places if (m := stars.measure(img, int(x), int(y), radius))]
+    return pd.DataFrame(rows, columns=["frame", "id", "x", "y", "hfd", "fwhm", "flux", "snr"])
+
+
+def measured(images: DataFrame, places: DataFrame | None = None, radius: int = 14) -> DataFrame:
+    """places (frame, id, x, y): the star at each place of a frame, if there is one. images as in found_stars; those that bring
+    their own places, an array of (id, x, y), are measured where they are and never shuffled."""
+    if places is None:
+
+        def run_own(batches):
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    yield _measured(r.frame, image_of(r), ((p["id"], p["x"], p["y"]) for p in r.places), radius)
+
+        return images.select("frame", "height", "width", "data", "places").mapInPandas(run_own, MEASURED)
     images = images if "data" in images.columns else images_of(images)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         img = image_of(next(left.itertuples(index=False))) if len(left) else np.zeros((1, 1))
-        rows = [(r.frame, r.id, *[m[c] for c in ("x", "y", "hfd", "fwhm", "flux", "snr")]) for r in right.itertuples(index=False) if (m := stars.measure(img, int(r.x), int(r.y), radius))]
-        return pd.DataFrame(rows, columns=["frame", "id", "x", "y", "hfd", "fwhm", "flux", "snr"])
+        return _measured(int(right["frame"].iloc[0]) if len(right) else 0, img, zip(right["id"], right["x"], right["y"], strict=True), radius)
 
     own = places.select("frame", "id", "x", "y").groupBy("frame")
-    return images.select("frame", "height", "width", "data").groupBy("frame").cogroup(own).applyInPandas(run, "frame long, id long, x double, y double, hfd double, fwhm double, flux double, snr double")
+    return images.select("frame", "height", "width", "data").groupBy("frame").cogroup(own).applyInPandas(run, MEASURED)
 
 
 def filtered(px: DataFrame, kernel) -> DataFrame:

@@ -160,3 +160,30 @@ def test_a_pixel_is_measured_once_for_all_levels(monkeypatch):
     asked, measure = [], kernel.measure
     monkeypatch.setattr(kernel, "measure", lambda i, x, y, *more: asked.append((x, y)) or measure(i, x, y, *more))
     assert len(kernel.find(img)) == 2 and len(asked) == len(set(asked))
+
+
+def test_hfd_measures_where_the_image_is(spark, tmp_path):
+    """Images are drawn and measured in one stage: what is shuffled before are the parts, and no frame after."""
+    from skyframe.plans import queries
+
+    spark.range(0, 70).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.hfd(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInPandas" in plan and "CoGroups" not in plan
+    assert sorted(r["id"] for r in got.collect()) == list(range(70))
+
+
+def test_measured_with_places_of_its_own_is_that_of_places_beside(spark):
+    from skyframe.operators import frames as ops
+
+    y, x = np.mgrid[:80, :80]
+    images, places = [], []
+    for f in range(3):
+        img = 100.0 + ((x * 7919 + y * 104729) % 21 - 10) + (900.0 + 500 * f) * np.exp(-((x - 30) ** 2 + (y - 41) ** 2) / 8.0)
+        images.append((f, 80, 80, bytearray(img.tobytes())))
+        places += [(f, 10 * f + 1, 31, 40), (f, 10 * f + 2, 60, 60), (f, 10 * f + 3, 2, 2)]
+    images = spark.createDataFrame(images, "frame long, height int, width int, data binary")
+    places = spark.createDataFrame(places, "frame long, id long, x long, y long")
+    own = images.join(places.groupBy("frame").agg(F.collect_list(F.struct("id", "x", "y")).alias("places")), "frame")
+    beside = sorted(tuple(r) for r in ops.measured(images, places).collect())
+    assert len(beside) >= 3 and sorted(tuple(r) for r in ops.measured(own).collect()) == beside

@@ -22,7 +22,7 @@ def spiral(rings: int) -> list[tuple[int, int]]:
 
 
 ARC = 648000 / math.pi  # seconds of arc
-OVERSIZE, SPARE = 1.5, 1.8  # the catalogue's square against the field, and its stars against the frame's
+OVERSIZE = 1.5  # the catalogue's square against the field, or more where a frame's diagonal is longer
 STEP = 0.5  # of a field from one start position to the next
 
 
@@ -48,14 +48,17 @@ def searched(frames: DataFrame, stars: DataFrame, catalog: DataFrame, rings: int
     crval2 (degrees), crpix1, crpix2, cd1_1 .. cd2_2, and scale (seconds of arc a pixel).
 
     Start positions are rows, not a loop: the catalogue's stars about each are joined on sky cells and flattened there at the
-    frame's nominal scale; quads of frame and position meet on the frame and cells of their ratios; of each frame the position
+    frame's nominal scale. The square holds the frame however it is turned, and gives as many stars for its area as the frame
+    has: with fewer, what is faint in the frame has no partner and its quads are others. Quads of frame and position meet on the frame and cells of their ratios; of each frame the position
     with most quads of one scale wins."""
     frames = frames.join(stars.groupBy("frame").agg(F.count("*").alias("n")), "frame")
     places = stored(starts(frames, rings).withColumnRenamed("frame", "of").withColumn("frame", F.concat_ws(":", "of", "pos")), "starts")
     if places.isEmpty():
         return stars.sparkSession.createDataFrame([], "frame long, pos int, quads long, crval1 double, crval2 double, crpix1 double, crpix2 double, cd1_1 double, cd1_2 double, cd2_1 double, cd2_2 double, scale double")
-    square = places.select("frame", "of", "pos", "n", "height", "field", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
-    square = square.withColumn("nominal", F.col("field") / F.col("height")).withColumns({"field": F.col("field") * OVERSIZE, "wanted": F.floor(F.col("n") * SPARE + 10)})
+    square = places.select("frame", "of", "pos", "n", "width", "height", "field", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
+    wider = F.greatest(F.lit(OVERSIZE), F.sqrt(F.col("width") * F.col("width") / (F.col("height") * F.col("height")) + 1))
+    wanted = F.floor(F.col("n") * F.col("height") / F.col("width") * wider * wider + 0.5)
+    square = square.withColumn("nominal", F.col("field") / F.col("height")).withColumns({"field": F.col("field") * wider, "wanted": wanted}).drop("width")
     bright = field.brightest_in_square(square, catalog, ["of", "pos"])
     xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
     flat = stored(bright.select(F.col("of").alias("frame"), "pos", "id", (xi / F.col("nominal")).alias("x"), (eta / F.col("nominal")).alias("y")), "flat")

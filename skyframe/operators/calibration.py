@@ -2,7 +2,7 @@
 trusted are marked with the reason, and a robust mean of flux ratios gives the frame's zero point.
 
     places = candidates(solutions, catalogue)
-    sizes = apertures(found, ratio, annulus)          # or none: the whole star
+    sizes = apertures(frames.analysed(images), ratio, annulus)    # or none: the whole star
     stars = measured(images, places, sizes)           # a row for each star, reason null where it counts
     frame_calibration(solutions, stars, ratio)        # a row for each frame
 """
@@ -50,8 +50,8 @@ def candidates(solutions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def apertures(found: DataFrame, ratio: float, annulus: float) -> DataFrame:
-    """found (frame, hfd, snr): the stars of each frame -> (frame, aperture, ring): an aperture of ratio times half the median
-    HFD of its stars over SNR, and the ring's radius likewise. Frames without such a star, and a ratio of 0, have no row: the
+    """found (frame, hfd, snr): the stars of each frame, as frames.analysed finds them -> (frame, aperture, ring): an aperture
+    (radius) of ratio times half the median HFD of its stars over SNR, and the ring's radius likewise. Frames without such a star, and a ratio of 0, have no row: the
     whole star is taken."""
     med = robust.smedian(found.filter((F.col("snr") > SNR) & F.lit(bool(ratio))), ["frame"], "hfd").filter("median > 0")
     ring = F.least(F.lit(WIDEST), F.floor(F.col("median") * (annulus / 2) + 0.5) - 1)

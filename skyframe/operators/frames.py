@@ -53,6 +53,21 @@ def found_stars(images: DataFrame, least: int = 500) -> DataFrame:
     return images.select("frame", "height", "width", "data").mapInPandas(run, STARS)
 
 
+def analysed(images: DataFrame, image=None, least: int = 500, snr: float = 30.0) -> DataFrame:
+    """images: IMAGE, or rows (frame, more) that `image` makes an image of, one at a time and where it is used. (frame, hfd, snr)
+    of the stars over snr that a frame's median HFD is taken from."""
+    images, image = (images, image) if image else (images.select("frame", "height", "width", "data"), image_of)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                out = pd.DataFrame(stars.analysed(image(r), least, snr_min=snr), columns=["hfd", "snr"])
+                out.insert(0, "frame", int(r.frame))
+                yield out
+
+    return images.mapInPandas(run, "frame long, hfd double, snr double")
+
+
 MEASURED = "frame long, id long, x double, y double, hfd double, fwhm double, flux double, snr double"
 
 

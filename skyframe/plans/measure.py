@@ -144,7 +144,7 @@ def _shot_catalog(spark, sf_dir, solutions):
 def _calibrated(spark, sf_dir, ratio: float):
     solutions, images = _shot_solutions(spark, sf_dir), stored(_exposed(spark, sf_dir), "images")
     catalog = stored(_shot_catalog(spark, sf_dir, solutions), "catalogue")
-    sizes = calibration.apertures(frames.found_stars(images), ratio, 8.0) if ratio else None
+    sizes = calibration.apertures(frames.analysed(images), ratio, 8.0) if ratio else None
     # fields must not lie over one another: an image shows its own frame's stars alone
     stars = calibration.measured(images, calibration.candidates(solutions, catalog), sizes, solutions.select("frame", "datamax"))
     return solutions, stored(stars, "measured")

@@ -27,6 +27,7 @@ HEADROOM = 1000.0  # below a frame's largest value: a star that comes that near
 BASE = 21.0  # magnitude for whose flux ratios are averaged
 WHOLE, ANNULUS, WIDEST = 99.0, 14, 50  # aperture and ring without a median HFD, and the widest ring
 LIMIT_SNR, GAUSS, LARGE = 7.0, 2.3548, 10.0
+ROWS = 5000  # measured stars that a task hands on at once
 
 SOLUTION = ["ra0", "dec0", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2"]
 MEASURED = "frame long, id long, mag double, x double, y double, hfd double, flux double, snr double, sd double, peak double"
@@ -58,29 +59,59 @@ def apertures(found: DataFrame, ratio: float, annulus: float) -> DataFrame:
     return med.select("frame", (F.col("median") * (ratio / 2)).alias("aperture"), ring.cast("int").alias("ring"))
 
 
-def measured(images: DataFrame, places: DataFrame, sizes: DataFrame | None = None, saturations: DataFrame | None = None) -> DataFrame:
+def _star_row(img: np.ndarray, frame: int, id_: int, mag: float, x: float, y: float, aperture: float, ring: int) -> tuple:
+    m = kernel.measure(img, int(np.floor(x + 0.5)), int(np.floor(y + 0.5)), int(ring), aperture)
+    if m is None:
+        return (frame, id_, mag, x, y, *[None] * 5)
+    cx, cy = int(np.floor(m["x"] + 0.5)), int(np.floor(m["y"] + 0.5))
+    inner = 1 <= cx < img.shape[1] - 1 and 1 <= cy < img.shape[0] - 1
+    peak = float(img[cy - 1 : cy + 2, cx - 1 : cx + 2].max()) if inner else None
+    return (frame, id_, mag, m["x"], m["y"], m["hfd"], m["flux"], m["snr"], m["sd"], peak)
+
+
+def _star_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
+    return out.astype({c: "float64" for c in out.columns[2:]})
+
+
+def _drawn(images: DataFrame, own: DataFrame, image) -> DataFrame:
+    """The places of own within what `image` makes of the rows of images: only rows and places meet, in partitions of the
+    session's number, as few bytes make much work here; a task has one image at a time."""
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = own.repartition(n, "frame").groupBy("frame").agg(F.collect_list(F.struct("id", "mag", "x", "y")).alias("p"), F.first("aperture").alias("aperture"), F.first("ring").alias("ring"))
+    wanted = wanted.select("frame", *[F.col(f"p.{c}").alias(f"at_{c}") for c in ("id", "mag", "x", "y")], "aperture", "ring")
+    there = images.withColumn("there", F.lit(True)).repartition(n, "frame").hint("merge").join(wanted, "frame", "right")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                img = image(r) if r.there is True else np.zeros((1, 1))
+                rows += [_star_row(img, int(r.frame), *at, r.aperture, r.ring) for at in zip(r.at_id, r.at_mag, r.at_x, r.at_y, strict=True)]
+                if len(rows) > ROWS:
+                    yield _star_rows(rows)
+                    rows = []
+            yield _star_rows(rows)
+
+    return there.mapInPandas(run, MEASURED)
+
+
+def measured(images: DataFrame, places: DataFrame, sizes: DataFrame | None = None, saturations: DataFrame | None = None, image=None) -> DataFrame:
     """images (frames.IMAGE), places as candidates gives them, sizes as apertures gives them, saturations (frame, datamax):
     a row for each place with what was measured and the reason why it doesn't count ('no star', 'size', 'noise', 'edge' or
-    'saturated'; null if it does). Without saturations the limit is 64000 with the headroom."""
+    'saturated'; null if it does). Without saturations the limit is 64000 with the headroom. With `image`, images are rows
+    (frame, more) that it makes an image of: none is shuffled or written then."""
     own = places.join(sizes, "frame", "left") if sizes is not None else places.withColumns({"aperture": F.lit(None).cast("double"), "ring": F.lit(None).cast("int")})
     own = own.select("frame", "id", "mag", "x", "y", F.coalesce("aperture", F.lit(WHOLE)).alias("aperture"), F.coalesce("ring", F.lit(ANNULUS)).alias("ring"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         img = frames.image_of(next(left.itertuples(index=False))) if len(left) else np.zeros((1, 1))
-        rows = []
-        for r in right.itertuples(index=False):
-            m = kernel.measure(img, int(np.floor(r.x + 0.5)), int(np.floor(r.y + 0.5)), int(r.ring), r.aperture)
-            if m is None:
-                rows.append((r.frame, r.id, r.mag, r.x, r.y, *[None] * 5))
-                continue
-            cx, cy = int(np.floor(m["x"] + 0.5)), int(np.floor(m["y"] + 0.5))
-            inner = 1 <= cx < img.shape[1] - 1 and 1 <= cy < img.shape[0] - 1
-            peak = float(img[cy - 1 : cy + 2, cx - 1 : cx + 2].max()) if inner else None
-            rows.append((r.frame, r.id, r.mag, m["x"], m["y"], m["hfd"], m["flux"], m["snr"], m["sd"], peak))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
-        return out.astype({c: "float64" for c in out.columns[2:]})
-
-    got = images.select("frame", "height", "width", "data").groupBy("frame").cogroup(own.groupBy("frame")).applyInPandas(run, MEASURED)
+        return _star_rows([_star_row(img, r.frame, r.id, r.mag, r.x, r.y, r.aperture, r.ring) for r in right.itertuples(index=False)])
+
+    if image is None:
+        got = images.select("frame", "height", "width", "data").groupBy("frame").cogroup(own.groupBy("frame")).applyInPandas(run, MEASURED)
+    else:
+        got = _drawn(images, own, image)
     got = got.select("frame", "id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mag", "x", "y", "hfd", "flux", "snr", "sd", "peak")])
     got = got.join(saturations.select("frame", F.col("datamax").cast("double")), "frame", "left") if saturations is not None else got.withColumn("datamax", F.lit(None).cast("double"))
     limit = F.coalesce("datamax", F.lit(64000.0)) - HEADROOM

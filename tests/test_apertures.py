@@ -51,3 +51,22 @@ def test_aperture_reaches_the_flux(spark):
     inside = 1 - math.exp(-((5.01 / 2) ** 2) / 8)  # of a star whose HFD is 5.01
     for k in range(9):
         assert flux[1.0][k] == pytest.approx(inside * flux[0.0][k], rel=0.05)
+
+
+def test_drawn_images_stay_where_they_are(spark, tmp_path):
+    """What is drawn from rows gives what images give, and a frame without a row has no star; no step holds an image."""
+    from skyframe.plans import measure
+
+    spark.range(1, 101).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    rows = measure._exposures(spark, str(tmp_path))
+    images = spark.createDataFrame([(r["frame"], measure.SHOT, measure.SHOT, measure._exposed(r).tobytes()) for r in rows.collect()], frames.IMAGE)
+    solutions = measure._shot_solutions(spark, str(tmp_path))
+    places = calibration.candidates(solutions, measure._shot_catalog(spark, str(tmp_path), solutions))
+    places = places.unionByName(spark.createDataFrame([(99, 7, 10.0, 50.0, 50.0)], "frame long, id long, mag double, x double, y double"))
+    both = []
+    for some, image in ((images, None), (rows, measure._exposed)):
+        sizes = calibration.apertures(frames.analysed(some, image), 2.0, 8.0)
+        both.append(calibration.measured(some, places, sizes, image=image))
+    stored, drawn = ([tuple(r) for r in df.orderBy("frame", "id").collect()] for df in both)
+    assert len(drawn) == 92 and drawn == stored and drawn[-1][-1] == "no star"
+    assert "data" not in {c for line in both[1]._jdf.queryExecution().analyzed().toString().split() for c in line.replace(",", " ").split("#")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import sky, tiles, when
 from skyframe.operators import asteroids, field, mosaic as mosaics, sip
 from skyframe.operators.fit import POWERS
-from skyframe.operators.scratch import path_for
+from skyframe.operators.scratch import path_for, stored
 from skyframe.plans import solve, views
 from skyframe.plans.queries import TWO_PI, _tiles_sql, query, r6
 from skyframe.plans.views import CATALOG
@@ -283,7 +283,7 @@ STRIP, VIEW, BRIGHTEST, PIXELS = 0.1, 0.11, 60, 1000
 
 def _strip(spark, sf_dir):
     k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    li = views.table(spark, sf_dir, "lineitem").select(k.alias("id")).distinct()
+    li = stored(views.table(spark, sf_dir, "lineitem").select(k.alias("id")).distinct(), "strip")  # all else follows from the ids
     i = F.col("id")
     ra, dec = (i * 7919 + (i % 1009) * (i % 757)) % 1000003 / 1000003.0, (i * 104729 + (i % 911) * (i % 613)) % 999983 / 999983.0
     return li.select("id", (ra * sky.TWO_PI).alias("ra"), ((dec * 2 - 1) * STRIP).alias("dec"), (i % 997 / 100.0).alias("mag"))
@@ -295,20 +295,21 @@ def _views(spark, sf_dir):
     return s.select("frame", "ra", "dec", "turned", (F.col("ra") + 0.012).alias("ra0"), (F.col("dec") - 0.01).alias("dec0"), F.lit(VIEW).alias("field"), F.lit(PIXELS).alias("width"), F.lit(PIXELS).alias("height"))
 
 
-def _stars_in_view(spark, sf_dir):
+def _stars_in_view(spark, sf_dir, strip):
     """What a camera sees: the catalogue through each frame's true solution."""
     true = _views(spark, sf_dir).select("frame", "turned", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), (F.col("field") * 1.5).alias("field"))
     xi, eta = sky.to_standard(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
     c, s, unit = F.cos("turned"), F.sin("turned"), VIEW / PIXELS
     mid = (PIXELS + 1) / 2
     x, y = (s * eta - c * xi) / unit + mid, (s * xi + c * eta) / unit + mid
-    seen = field.brightest_in_square(true.withColumn("wanted", F.lit(BRIGHTEST)), _strip(spark, sf_dir), ["frame"], within=x.between(1, PIXELS) & y.between(1, PIXELS))
+    seen = field.brightest_in_square(true.withColumn("wanted", F.lit(BRIGHTEST)), strip, ["frame"], within=x.between(1, PIXELS) & y.between(1, PIXELS))
     return seen.select("frame", F.col("rank").cast("long").alias("id"), x.alias("x"), y.alias("y"))
 
 
 @query(f"SELECT s_suppkey AS frame, CAST(s_suppkey * 47 % 350 + 5 AS DOUBLE) AS ra, CAST(s_suppkey * 3 % 5 - 2 AS DOUBLE) AS dec, {round(VIEW / PIXELS * 648000 / sky.PI, 1)!r}::DOUBLE AS scale, CAST(s_suppkey * 17 % 60 AS DOUBLE) AS turned FROM supplier")
 def plate_solve(spark, sf_dir):
     """The solutions of all frames at once; the SQL has the true ones."""
-    got = solve.solve_all(_views(spark, sf_dir).drop("ra", "dec"), _stars_in_view(spark, sf_dir), _strip(spark, sf_dir))
+    strip = _strip(spark, sf_dir)
+    got = solve.solve_all(_views(spark, sf_dir).drop("ra", "dec"), _stars_in_view(spark, sf_dir, strip), strip)
     zero = lambda c, n: F.round(c, n) + 0.0
     return got.select("frame", zero(F.col("crval1"), 2).alias("ra"), zero(F.col("crval2"), 2).alias("dec"), F.round("scale", 1).alias("scale"), zero(F.degrees(F.atan2("cd2_1", "cd2_2")), 0).alias("turned"))

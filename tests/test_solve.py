@@ -30,3 +30,23 @@ def test_catalogue_is_as_dense_as_the_frame(spark, width, height):
         stars, catalog, (ra0, dec0, field, w, h) = sky_and_frame(spark, width, height, seed)
         s = solve.solve(stars, catalog, ra0 + 2e-4, dec0 - 1e-4, field, w, h, rings=0)
         assert s is not None and s["QUADS"] >= 21 and abs(s["CRVAL1"] - math.degrees(ra0)) < 1e-4 and abs(s["CRVAL2"] - math.degrees(dec0)) < 1e-4
+
+
+def test_frames_that_begin_alike_share_their_positions(spark, monkeypatch):
+    """The quads of a position are worked out once for all of its frames, in whatever number of copies they are met; the
+    catalogue is not written whole."""
+    from pyspark.sql import functions as F
+
+    from skyframe.operators import field as fields
+
+    stars, catalog, (ra0, dec0, field, w, h) = sky_and_frame(spark, 1000, 1000, 2)
+    both = stars.select(F.lit(0).cast("long").alias("frame"), "id", "x", "y").union(stars.select(F.lit(1).cast("long"), "id", w + 1 - F.col("x"), h + 1 - F.col("y")))
+    frames = spark.createDataFrame([(f, ra0 + 2e-4, dec0 - 1e-4, field, w, h) for f in (0, 1)], "frame long, ra0 double, dec0 double, field double, width int, height int")
+    groups, ranked, quads_by, stored = [], [], solve.match.quads_by, fields.stored
+    monkeypatch.setattr(solve.match, "quads_by", lambda df, cell, by: groups.append((by, df.select(*by).distinct().count())) or quads_by(df, cell, by))
+    monkeypatch.setattr(fields, "stored", lambda df, name: ranked.append(df.count()) or stored(df, name) if name == "ranked" else stored(df, name))
+    monkeypatch.setattr(solve, "TOGETHER", 1)
+    got = {r["frame"]: r for r in solve.searched(frames, both, catalog, 0, 0.007, 3).collect()}
+    assert [g[1] for g in groups] == [2, 1]  # the frames' own, the position's
+    assert got[0]["quads"] == got[1]["quads"] >= 20 and got[0]["cd1_1"] == pytest.approx(-got[1]["cd1_1"], rel=1e-3)
+    assert ranked and max(ranked) < 3000

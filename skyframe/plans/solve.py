@@ -25,6 +25,7 @@ OVERSIZE = 1.5  # the catalogue's square against the field, or more where a fram
 STEP = 0.5  # of a field from one start position to the next
 TOGETHER = 256  # frames that begin alike and meet one copy of their positions' quads
 CELL = 8  # tolerances that a cell of ratios is wide
+OUTSIDE, LEAST_OFF = 5, 1.0  # of the median distance from the map, and pixels, beyond which a pair is a false one
 
 
 def starts(frames: DataFrame, rings: int) -> DataFrame:
@@ -90,7 +91,7 @@ def searched(frames: DataFrame, stars: DataFrame, catalog: DataFrame, rings: int
     each = Window.partitionBy("frame", "pos")
     pairs = pairs.withColumns({"nth": F.row_number().over(each.orderBy("ratio")), "n": F.count("*").over(each)})
     pairs = pairs.withColumn("med", F.max(F.when(F.col("nth") == F.floor(F.col("n") / 2) + 1, F.col("ratio"))).over(each))
-    kept = stored(pairs.filter(F.abs(F.col("ratio") - F.col("med")) <= tolerance * F.col("med")).drop("nth", "n", "med"), "pairs")
+    kept = _consistent(stored(pairs.filter(F.abs(F.col("ratio") - F.col("med")) <= tolerance * F.col("med")).drop("ratio", "nth", "n", "med"), "pairs"))
     fits = fit.affine(kept, ["frame", "pos"]).join(kept.groupBy("frame", "pos").agg(F.count("*").alias("quads")), ["frame", "pos"])
     along, up = F.sqrt(F.col("a") * F.col("a") + F.col("d") * F.col("d")), F.sqrt(F.col("b") * F.col("b") + F.col("e") * F.col("e"))
     good = fits.filter((F.col("quads") >= least) & F.col("a").isNotNull() & (along > 0.9 * up) & (along < 1.1 * up) & (up > 0))
@@ -117,6 +118,17 @@ def _agreeing(own: DataFrame, theirs: DataFrame, tolerance: float) -> DataFrame:
     return met.filter(near).select("frame", "pos", "x", "y", "u", "v", (F.col("da") / F.col("db")).alias("ratio"))
 
 
+def _consistent(pairs: DataFrame) -> DataFrame:
+    """pairs (frame, pos, x, y, u, v) without those far off the map that all of a frame's position give: quads that are alike by
+    chance, or share three stars, may agree in all ratios and stand elsewhere, and one of them is enough to spoil a map."""
+    each = Window.partitionBy("frame", "pos")
+    off = lambda p, q, r, to: F.col(p) * F.col("x") + F.col(q) * F.col("y") + F.col(r) - F.col(to)
+    far = pairs.join(fit.affine(pairs, ["frame", "pos"]), ["frame", "pos"]).withColumn("off", F.coalesce(F.hypot(off("a", "b", "c", "u"), off("d", "e", "f", "v")), F.lit(0.0)))
+    far = far.withColumns({"nth": F.row_number().over(each.orderBy("off")), "k": F.count("*").over(each)})
+    far = far.withColumn("med", F.max(F.when(F.col("nth") == F.floor(F.col("k") / 2) + 1, F.col("off"))).over(each))
+    return stored(far.filter(F.col("off") <= F.greatest(F.lit(LEAST_OFF), OUTSIDE * F.col("med"))).select(*pairs.columns), "consistent")
+
+
 def _solution(best: DataFrame) -> DataFrame:
     """The affine map (pixels to flat coordinates at the nominal scale about ra, dec) as a WCS at the frame's centre."""
     cx, cy = (F.col("width") + 1) / 2, (F.col("height") + 1) / 2

@@ -50,3 +50,20 @@ def test_frames_that_begin_alike_share_their_positions(spark, monkeypatch):
     assert [g[1] for g in groups] == [2, 1]  # the frames' own, the position's
     assert got[0]["quads"] == got[1]["quads"] >= 20 and got[0]["cd1_1"] == pytest.approx(-got[1]["cd1_1"], rel=1e-3)
     assert ranked and max(ranked) < 3000
+
+
+def test_one_false_pair_does_not_spoil_the_map(spark, monkeypatch):
+    """A pair of quads that agree in all ratios and stand some 30 pixels apart."""
+    from pyspark.sql import functions as F
+
+    stars, catalog, (ra0, dec0, field, w, h) = sky_and_frame(spark, 1000, 1000, 2)
+    agreeing = solve._agreeing
+
+    def with_a_false_one(*a):
+        pairs = agreeing(*a)
+        first = pairs.orderBy("x").limit(1).select(*[c if c not in "uv" else (F.col(c) + 30).alias(c) for c in pairs.columns])
+        return pairs.union(first)
+
+    monkeypatch.setattr(solve, "_agreeing", with_a_false_one)
+    s = solve.solve(stars, catalog, ra0 + 2e-4, dec0 - 1e-4, field, w, h, rings=0)
+    assert s["QUADS"] == 32 and abs(s["CRVAL1"] - math.degrees(ra0)) < 1e-4 and abs(s["CRVAL2"] - math.degrees(dec0)) < 1e-4
